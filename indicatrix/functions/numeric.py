@@ -64,5 +64,5 @@ def as_points(rate: Column | str) -> Column:
 
 
 def rounded(value: Column | str, digits: int = 2) -> Column:
-    """Half-up rounding that ignores floating-point noise beyond the tenth decimal, so 2.1749999999999998 rounds as 2.175."""
-    return F.round(F.round(col(value), 10), digits)
+    """Half-up rounding that ignores floating-point noise beyond the sixth decimal, so 2.1749999999999998 rounds as 2.175."""
+    return F.round(F.round(col(value), 6), digits)

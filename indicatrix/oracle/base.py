@@ -125,5 +125,5 @@ def half_up(sql: str) -> str:
             i = start + 6
             continue
         inner, digits = half_up(sql[start + 6:comma]), sql[comma + 1:j - 1].strip()
-        out.append(sql[i:start] + f"CAST(round(CAST({inner} AS DECIMAL(30, 10)), {digits}) AS DOUBLE)")
+        out.append(sql[i:start] + f"CAST(round(CAST({inner} AS DECIMAL(30, 6)), {digits}) AS DOUBLE)")
         i = j

@@ -73,7 +73,7 @@ def main() -> None:
     sf, wanted = (sys.argv[1] if len(sys.argv) > 1 else "0.01"), sys.argv[2:]
     sf_dir = f"/root/testdata/sf{sf}"
     spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-                                                  "spark.driver.memory": "8g"})
+                                                  "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     sql = catalog.oracle_sql()
     con = duck(sf_dir)
