@@ -70,7 +70,7 @@ def lag_pairs(df: DataFrame, cause: str, effect: str, lags: Sequence[int], serie
                  F.col(effect).alias("effect"))
         for k in lags
     ])
-    out = df.select(*series, F.inline(pairs))
+    out = df.select(*series, pairs.alias("_pairs")).select(*series, F.inline("_pairs"))
     return out.where("cause is not null and effect is not null")
 
 

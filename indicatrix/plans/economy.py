@@ -10,12 +10,14 @@ All measures are whole cents, points or counts, so sums are exact whatever order
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from indicatrix.functions.keys import period_key, period_start
 from indicatrix.functions.numeric import as_cents, as_points, pct_change, ratio
+from indicatrix.operators.joins import outer_merge
 from indicatrix.registry import CRISIS_WINDOWS as registry_windows, ECONOMIC_PERIODS, PILLARS
 from indicatrix.registry import PHILLIPS_PERIODS as registry_phillips
 
@@ -32,6 +34,8 @@ CRISIS_WINDOWS = [("Sovereign Debt Crisis", 1996, 1997), ("COVID-19 Pandemic", 1
 PHILLIPS_PERIODS = [("pre_crisis", 1995, 1996), ("troika", 1996, 1997), ("recovery", 1998, 1999),
                     ("covid", 2000, 2000), ("post_covid", 2001, 2001)]
 
+Build = Callable[[], DataFrame]
+
 MEASURES = [
     "n_orders", "price_c", "price_open_c", "n_low", "n_unspecified", "n_low_filled", "n_pending",
     "n_lines", "gross_c", "net_e4", "gross_n_c", "gross_a_c", "gross_big_c", "disc_p", "tax_p",
@@ -213,22 +217,31 @@ def quarterly_columns(series: tuple[str, ...] = ("entity",)) -> dict[str, Column
     return gdp_columns(series) | public_debt_columns(series)
 
 
-@dataclass
 class Warehouse:
     """The six pillar facts plus the labelled periods that go with them.
 
     Build it from the order tables with ``economy``, or from six fact DataFrames with ``from_facts``. Facts are lazy: a
     query reads only the columns it names, down to the scan. Pillars of one grain are columns of one table (``monthly``,
     ``quarterly``), and ``mixed`` holds both grains with a ``grain`` column, so that a query over several pillars still
-    passes over the raw tables once.
+    passes over the raw tables once. Each of the three is built on first use.
     """
 
-    monthly: DataFrame
-    quarterly: DataFrame
-    mixed: DataFrame
-    periods: list[tuple[str, int, int]] = field(default_factory=lambda: list(PERIODS))
-    crisis_windows: list[tuple[str, int, int]] = field(default_factory=lambda: list(CRISIS_WINDOWS))
-    phillips_periods: list[tuple[str, int, int]] = field(default_factory=lambda: list(PHILLIPS_PERIODS))
+    def __init__(self, monthly: Build, quarterly: Build, mixed: Build, periods=PERIODS, crisis_windows=CRISIS_WINDOWS,
+                 phillips_periods=PHILLIPS_PERIODS) -> None:
+        self._builders = {"monthly": monthly, "quarterly": quarterly, "mixed": mixed}
+        self.periods, self.crisis_windows, self.phillips_periods = periods, crisis_windows, phillips_periods
+
+    @cached_property
+    def monthly(self) -> DataFrame:
+        return self._builders["monthly"]()
+
+    @cached_property
+    def quarterly(self) -> DataFrame:
+        return self._builders["quarterly"]()
+
+    @cached_property
+    def mixed(self) -> DataFrame:
+        return self._builders["mixed"]()
 
     def fact(self, pillar: str) -> DataFrame:
         spec = PILLARS[pillar]
@@ -236,39 +249,44 @@ class Warehouse:
         return wide.select("entity", "period_start", "date_key", *spec.columns)
 
     @classmethod
-    def from_facts(cls, facts: dict[str, DataFrame], **periods: list[tuple[str, int, int]]) -> "Warehouse":
-        """Join pillar facts of one grain on their key; used with facts that were loaded rather than derived."""
+    def from_facts(cls, facts: dict[str, DataFrame], periods=ECONOMIC_PERIODS, crisis_windows=registry_windows,
+                   phillips_periods=registry_phillips) -> "Warehouse":
+        """Bring pillar facts of one grain together on their key; used with facts that were loaded rather than derived."""
         keys = ["entity", "period_start", "date_key"]
-        wide = {}
-        for grain in ("month", "quarter"):
+
+        def wide(grain: str) -> DataFrame:
             parts = [facts[k].select(*keys, *p.columns) for k, p in PILLARS.items() if p.grain == grain and k in facts]
-            joined = parts[0]
-            for part in parts[1:]:
-                joined = joined.join(part, keys, "full_outer")
-            wide[grain] = joined
-        labelled = [wide[g].withColumn("grain", F.lit(g)) for g in ("month", "quarter")]
-        mixed = labelled[0].unionByName(labelled[1], allowMissingColumns=True)
-        named = {
-            "periods": ECONOMIC_PERIODS, "crisis_windows": registry_windows, "phillips_periods": registry_phillips,
-        } | periods
-        return cls(wide["month"], wide["quarter"], mixed, **named)
+            return outer_merge(parts, keys)
 
+        def mixed() -> DataFrame:
+            labelled = [wide(g).withColumn("grain", F.lit(g)) for g in ("month", "quarter")]
+            return labelled[0].unionByName(labelled[1], allowMissingColumns=True)
 
-def economy(spark: SparkSession, sf_dir: str, entity: str = "nation") -> Warehouse:
-    """The stand-in economies of the order tables."""
-    cube = monthly_cube(spark, sf_dir, entity)
-    monthly = _keyed(cube, "month", monthly_columns())
-    quarterly = _keyed(roll_up(cube, "quarter"), "quarter", quarterly_columns())
-    both = roll_up_mixed(cube)
+        return cls(lambda: wide("month"), lambda: wide("quarter"), mixed, periods, crisis_windows, phillips_periods)
+
+
+def mixed_grain(cube: DataFrame) -> DataFrame:
     is_month = F.col("grain") == "month"
-    key = F.when(is_month, period_key(F.col("period_start"), "month")).otherwise(
-        period_key(F.col("period_start"), "quarter"))
-    mixed = both.select(
+    start = F.col("period_start")
+    key = F.when(is_month, period_key(start, "month")).otherwise(period_key(start, "quarter"))
+    return roll_up_mixed(cube).select(
         "entity", "grain", "period_start", key.alias("date_key"),
         *[F.when(is_month, c).alias(n) for n, c in monthly_columns().items()],
         *[F.when(~is_month, c).alias(n) for n, c in quarterly_columns(("entity", "grain")).items()],
     )
-    return Warehouse(monthly, quarterly, mixed)
+
+
+def economy(spark: SparkSession, sf_dir: str, entity: str = "nation") -> Warehouse:
+    """The stand-in economies of the order tables."""
+
+    def cube() -> DataFrame:
+        return monthly_cube(spark, sf_dir, entity)
+
+    return Warehouse(
+        lambda: _keyed(cube(), "month", monthly_columns()),
+        lambda: _keyed(roll_up(cube(), "quarter"), "quarter", quarterly_columns()),
+        lambda: mixed_grain(cube()),
+    )
 
 
 def to_panel(wide: DataFrame, columns: list[str], keep: tuple[str, ...] = ("entity", "period_start")) -> DataFrame:
