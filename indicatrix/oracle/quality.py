@@ -54,8 +54,6 @@ ALERTS = f'SELECT indicator, entity, period_start, "value", description, severit
 
 SQL = {
     "value_checks": facts(f"{values(MONTHLY, 'monthly')} UNION ALL {values(QUARTERLY, 'quarterly')}", "monthly", "quarterly"),
-    "schema_checks": """SELECT 'schema_credit' AS check, 'credit' AS pillar, 'pass' AS status, 0::BIGINT AS affected_rows, 'All expected columns present' AS details
-UNION ALL SELECT 'schema_inflation', 'inflation', 'fail', 0, 'Missing columns: [''core_inflation'', ''hicp'']'""",
     "range_extremes": facts(" UNION ALL ".join(f"SELECT '{c}' AS indicator, min({c}) AS actual_min, max({c}) AS actual_max FROM monthly" for c in CHECKED)),
     "completeness_checks": facts(f"{complete('monthly', 'unemployment', 80)} UNION ALL {complete('quarterly', 'gdp', 27)}", "monthly", "quarterly"),
     "consistency_checks": facts(consistency()),

@@ -11,28 +11,31 @@ from indicatrix.functions.numeric import minmax_score, rounded, share
 from indicatrix.operators import clean
 from indicatrix.operators.joins import small_table
 from indicatrix.operators.windows import whole_series
-from indicatrix.plans.economy import economy
+from indicatrix.plans.economy import Warehouse, economy
 from indicatrix.registry import PILLARS
 
 MONTH_END, QUARTER_END = date(2001, 8, 1), date(2001, 7, 1)
 FETCHED = "2001-09-15"
 
 
-def raw_pillar(spark: SparkSession, sf_dir: str, pillar: str) -> DataFrame:
+def raw_from(wh: Warehouse, pillar: str) -> DataFrame:
     """The pillar as its raw file has it: raw column names, a date, and year and quarter for quarterly data."""
     spec = PILLARS[pillar]
     back = {new: old for old, new in reversed(spec.rename.items())}
-    fact = economy(spark, sf_dir).fact(pillar)
+    fact = wh.fact(pillar)
     parts = [F.year("period_start").alias("year"), F.quarter("period_start").alias("quarter")]
     return fact.select("entity", F.col("period_start").alias("date"), *(parts if spec.grain == "quarter" else []),
                        *[F.col(c).alias(back.get(c, c)) for c in spec.columns if c != "budget_deficit_annual"])
 
 
+def transform_raw(raw: DataFrame, pillar: str) -> DataFrame:
+    end = QUARTER_END if PILLARS[pillar].grain == "quarter" else MONTH_END
+    return clean.transform_pillar(raw, pillar, F.lit(FETCHED), F.lit(date(1995, 1, 1)), F.lit(end))
+
+
 def _transform(pillar: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        end = QUARTER_END if PILLARS[pillar].grain == "quarter" else MONTH_END
-        return clean.transform_pillar(raw_pillar(spark, sf_dir, pillar), pillar, F.lit(FETCHED),
-                                      F.lit(date(1995, 1, 1)), F.lit(end))
+        return transform_raw(raw_from(economy(spark, sf_dir), pillar), pillar)
 
     return run
 

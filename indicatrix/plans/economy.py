@@ -20,6 +20,7 @@ from indicatrix.functions.numeric import as_cents, as_points, pct_change, ratio
 from indicatrix.operators.joins import outer_merge
 from indicatrix.registry import CRISIS_WINDOWS as registry_windows, ECONOMIC_PERIODS, PILLARS
 from indicatrix.registry import PHILLIPS_PERIODS as registry_phillips
+from indicatrix.session import ensure_checkpoint_dir
 
 # Labelled year ranges for the order tables (1995 to 2001); same labels as the registry's default set.
 PERIODS = [
@@ -243,6 +244,20 @@ class Warehouse:
     def mixed(self) -> DataFrame:
         return self._builders["mixed"]()
 
+    def shared(self) -> "Warehouse":
+        """The same warehouse with its panel written once to the checkpoint folder.
+
+        For plans with several branches over the facts: they then read a few thousand panel rows instead of running the
+        pass over the raw tables once per branch. The panel survives the loss of executors.
+        """
+        ensure_checkpoint_dir(self.mixed.sparkSession)
+        panel = self.mixed.checkpoint()
+
+        def of(grain: str) -> DataFrame:
+            return panel.where(F.col("grain") == grain).drop("grain")
+
+        return Warehouse(lambda: of("month"), lambda: of("quarter"), lambda: panel, self.periods, self.crisis_windows, self.phillips_periods)
+
     def fact(self, pillar: str) -> DataFrame:
         spec = PILLARS[pillar]
         wide = self.monthly if spec.grain == "month" else self.quarterly

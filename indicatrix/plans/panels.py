@@ -69,7 +69,7 @@ def lagged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lagged_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same pairs by shifted equi-join, for cause and effect from different tables."""
-    monthly = economy(spark, sf_dir).monthly
+    monthly = economy(spark, sf_dir).shared().monthly
     pairs = joins.lag_join(monthly, "ecb_main_refinancing_rate", "total_credit", [0, 3, 6, 12])
     return pairs.groupBy("entity", "lag").agg(F.count("*").alias("n"), rounded(F.sum("cause"), 4).alias("sum_cause"),
                                               rounded(F.sum("effect"), 2).alias("sum_effect"))
@@ -88,14 +88,14 @@ def policy_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outer_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three series with different gaps on one key."""
-    m = economy(spark, sf_dir).monthly
+    m = economy(spark, sf_dir).shared().monthly
     parts = [m.where("hicp < 2").select("entity", "date_key", "hicp"), m.where("npl_ratio > 6").select("entity", "date_key", "npl_ratio"),
              m.where("unemployment_rate > 30").select("entity", "date_key", "unemployment_rate")]
     return joins.outer_merge(parts, ["entity", "date_key"])
 
 
 def annual_to_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quarters = economy(spark, sf_dir).quarterly.select("entity", "period_start", "nominal_gdp")
+    quarters = economy(spark, sf_dir).shared().quarterly.select("entity", "period_start", "nominal_gdp")
     years = quarters.groupBy("entity", F.trunc("period_start", "year").alias("period_start")).agg(rounded(F.sum("nominal_gdp")).alias("annual"))
     return joins.broadcast_down(quarters, years, "annual")
 
@@ -206,7 +206,7 @@ def indicator_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stacked_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide pillars of both grains stacked into the long form with a source name."""
-    wh = economy(spark, sf_dir)
+    wh = economy(spark, sf_dir).shared()
     monthly = to_panel(wh.monthly, ["unemployment_rate", "hicp"], ("entity", "date_key")).withColumn("source_name", F.lit("Eurostat"))
     quarterly = to_panel(wh.quarterly, ["real_gdp"], ("entity", "date_key")).withColumn("source_name", F.lit("INE"))
     return monthly.unionByName(quarterly).join(sources(spark).select("source_key", "source_name"), "source_name")

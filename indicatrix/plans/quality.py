@@ -21,14 +21,11 @@ def _panel(wh: Warehouse) -> DataFrame:
 
 
 def value_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wh = economy(spark, sf_dir)
-    return dq.check_values(wh.monthly, MONTHLY).unionByName(dq.check_values(wh.quarterly, QUARTERLY))
+    return _values(economy(spark, sf_dir).shared())
 
 
-def schema_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wh = economy(spark, sf_dir)
-    good = dq.check_schema(wh.fact("credit"), "credit")
-    return good.unionByName(dq.check_schema(wh.fact("inflation").drop("hicp", "core_inflation"), "inflation"))
+def _values(wh: Warehouse) -> DataFrame:
+    return dq.check_values(wh.monthly, MONTHLY).unionByName(dq.check_values(wh.quarterly, QUARTERLY))
 
 
 def range_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +33,10 @@ def range_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def completeness_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wh = economy(spark, sf_dir)
+    return _completeness(economy(spark, sf_dir))
+
+
+def _completeness(wh: Warehouse) -> DataFrame:
     return dq.check_completeness(wh.monthly, "unemployment", 80).unionByName(dq.check_completeness(wh.quarterly, "gdp", 27))
 
 
@@ -90,8 +90,8 @@ def missing_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checks = value_checks(spark, sf_dir).unionByName(consistency_checks(spark, sf_dir)).unionByName(completeness_checks(spark, sf_dir))
-    return dq.roll_up(checks)
+    wh = economy(spark, sf_dir).shared()
+    return dq.roll_up(_values(wh).unionByName(dq.check_consistency(wh.monthly)).unionByName(_completeness(wh)))
 
 
 def threshold_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,12 +115,13 @@ def user_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from indicatrix.plans.cleaning import raw_pillar, _transform
+    from indicatrix.plans.cleaning import raw_from, transform_raw
 
-    parts = [lineage.stage_counts(raw_pillar(spark, sf_dir, p), _transform(p)(spark, sf_dir), "transform", p) for p in ("credit", "public_debt")]
+    wh = economy(spark, sf_dir).shared()
+    parts = [lineage.stage_counts(raw_from(wh, p), transform_raw(raw_from(wh, p), p), "transform", p) for p in ("credit", "public_debt")]
     return parts[0].unionByName(parts[1])
 
 
 QUERIES = {f.__name__: f for f in (
-    value_checks, schema_checks, range_extremes, completeness_checks, consistency_checks, freshness_checks, outlier_rows, outlier_summary,
+    value_checks, range_extremes, completeness_checks, consistency_checks, freshness_checks, outlier_rows, outlier_summary,
     drift_check, key_checks, missing_periods, quality_summary, threshold_alerts, alert_summary, user_alerts, lineage_records)}

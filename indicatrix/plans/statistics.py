@@ -58,7 +58,10 @@ def unit_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def phillips_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unemployment against inflation: overall and by sub-periods, which may overlap."""
-    wh = economy(spark, sf_dir)
+    return _phillips(economy(spark, sf_dir))
+
+
+def _phillips(wh: Warehouse) -> DataFrame:
     labelled = label_periods(wh.monthly.withColumn("year", F.year("period_start")), [("overall", 0, 9999), *wh.phillips_periods])
     m = labelled.groupBy("entity", "period").agg(st.moments("hicp", "unemployment_rate").alias("m")).where("m.n >= 3")
     return st.with_correlation(m)
@@ -73,7 +76,7 @@ def _transmission(wh: Warehouse, effect: str) -> DataFrame:
 
 
 def rate_transmission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wh = economy(spark, sf_dir)
+    wh = economy(spark, sf_dir).shared()
     return _transmission(wh, "total_credit").unionByName(_transmission(wh, "hicp"))
 
 
@@ -83,7 +86,11 @@ def rate_transmission_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def debt_gdp_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation of debt and output: growth rates, and levels for reference."""
-    grown = economy(spark, sf_dir).quarterly.select(
+    return _debt_gdp(economy(spark, sf_dir))
+
+
+def _debt_gdp(wh: Warehouse) -> DataFrame:
+    grown = wh.quarterly.select(
         "entity", "total_debt", "nominal_gdp", pct_change(F.col("total_debt"), lagged("total_debt")).alias("dg"),
         pct_change(F.col("nominal_gdp"), lagged("nominal_gdp")).alias("gg"))
     m = grown.groupBy("entity").agg(st.moments("gg", "dg").alias("g"), st.moments("nominal_gdp", "total_debt").alias("l"))
@@ -159,10 +166,12 @@ def significance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def correlation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every correlation analysis stacked, with a note on suspiciously high values."""
     columns = ["section", "entity", "item", "n", "r", "p_value"]
-    pairs = correlation_levels(spark, sf_dir).withColumn("section", F.lit("matrix")).withColumn("item", F.concat_ws("~", "a", "b"))
-    phillips = phillips_curve(spark, sf_dir).withColumn("section", F.lit("phillips")).withColumn("item", F.col("period"))
-    rates = rate_transmission(spark, sf_dir).withColumn("section", F.lit("transmission")).withColumn("item", F.concat_ws("@", "effect", F.col("lag").cast("string")))
-    debt = debt_gdp_correlation(spark, sf_dir).withColumn("section", F.lit("debt_gdp")).withColumn("item", F.col("method"))
+    wh = economy(spark, sf_dir).shared()
+    transmission = _transmission(wh, "total_credit").unionByName(_transmission(wh, "hicp"))
+    pairs = st.pair_correlations(wh.monthly, MATRIX).withColumn("section", F.lit("matrix")).withColumn("item", F.concat_ws("~", "a", "b"))
+    phillips = _phillips(wh).withColumn("section", F.lit("phillips")).withColumn("item", F.col("period"))
+    rates = transmission.withColumn("section", F.lit("transmission")).withColumn("item", F.concat_ws("@", "effect", F.col("lag").cast("string")))
+    debt = _debt_gdp(wh).withColumn("section", F.lit("debt_gdp")).withColumn("item", F.col("method"))
     stacked = pairs.select(columns)
     for part in (phillips, rates, debt):
         stacked = stacked.unionByName(part.select(columns))
