@@ -1 +1,127 @@
-SQL = {}
+"""DuckDB forms of the forecasts and backtests."""
+
+from __future__ import annotations
+
+from indicatrix.oracle.base import facts
+from indicatrix.plans.forecasts import REVERTING
+
+BANDS = ["forecast", "lower_68", "upper_68", "lower_95", "upper_95"]
+
+
+def panel(name: str, source: str, columns: list[str], last: int | None = None) -> str:
+    cut = f"QUALIFY row_number() OVER (PARTITION BY entity, indicator ORDER BY period_start DESC) <= {last}" if last else ""
+    return f"""{name} AS (SELECT *, CAST(row_number() OVER w - 1 AS DOUBLE) AS t, lag(v) OVER w AS before, count(*) OVER (PARTITION BY entity, indicator) AS n FROM (
+  SELECT entity, indicator, period_start, v FROM (UNPIVOT (SELECT entity, period_start, {", ".join(columns)} FROM {source}) ON {", ".join(columns)}
+  INTO NAME indicator VALUE v) {cut}) WINDOW w AS (PARTITION BY entity, indicator ORDER BY period_start))"""
+
+
+def bands(source: str, horizon: int, unit: str, digits: int, log: bool = False, extra: str = "") -> str:
+    """``source`` has entity, indicator, last_period, h, c, w."""
+    f = "exp({0})" if log else "{0}"
+    parts = ", ".join(f"round({f.format(e)}, {digits}) AS {n}" for n, e in zip(BANDS, ["c", "c - w", "c + w", "c - 1.96 * w", "c + 1.96 * w"]))
+    return f"""SELECT entity, indicator, h, CAST(last_period + to_months(CAST(h AS INTEGER) * {3 if unit == 'quarter' else 1}) AS DATE) AS period_start, {parts}{extra} FROM ({source})"""
+
+
+def line(p: str, horizon: int, y: str = "v", log: bool = False) -> str:
+    sd = "sqrt(greatest(syy - sxy * sxy / sxx, 0) / (n - 2))"
+    width = f"greatest({sd}, 1e-10)" if log else f"{sd} * sqrt(1 + h / CAST(n AS DOUBLE))"
+    return f"""SELECT *, a + b * (n - 1 + h) AS c, {width} AS w FROM (SELECT entity, indicator, count(*) AS n, regr_intercept({y}, t) AS a, regr_slope({y}, t) AS b,
+  regr_sxx({y}, t) AS sxx, regr_syy({y}, t) AS syy, regr_sxy({y}, t) AS sxy, max(period_start) AS last_period FROM {p} GROUP BY 1, 2)
+  CROSS JOIN (SELECT CAST(unnest(range(1, {horizon + 1})) AS INTEGER) AS h)"""
+
+
+def revert(p: str, horizon: int, target: str = "mean") -> str:
+    return f"""SELECT *, g + (last - g) * pow(1 - k, h) AS c, sqrt(s * s / (2 * k) * (1 - exp(-2 * k * h))) AS w FROM (
+  SELECT *, {target} AS g, sqrt(greatest(syy + 2 * k * sxy + k * k * sxx, 0) / (m - 1)) AS s FROM (SELECT *, CASE WHEN sxx / m <= 1e-12 THEN 0.05 ELSE greatest(-b, 0.001) END AS k FROM (
+  SELECT entity, indicator, regr_count(v - before, before) AS m, regr_slope(v - before, before) AS b, regr_sxx(v - before, before) AS sxx,
+    regr_syy(v - before, before) AS syy, regr_sxy(v - before, before) AS sxy, avg(v) AS mean, arg_max(v, period_start) AS last, max(period_start) AS last_period
+  FROM {p} GROUP BY 1, 2))) CROSS JOIN (SELECT CAST(unnest(range(1, {horizon + 1})) AS INTEGER) AS h)"""
+
+
+LOG = "ln(greatest(v, 1e-6))"
+
+
+def backtest(p: str, model: str, steps: int, origin: str) -> str:
+    """Refit at every origin on the rows before it: a self-join, unlike the running aggregates it checks."""
+    y = LOG if model == "log_linear" else "b.v"
+    y = y.replace("(v", "(b.v")
+    if model == "mean_reversion":
+        fit = "avg(b.v) AS mean, arg_max(b.v, b.t) AS last, CASE WHEN regr_sxx(b.v - b.before, b.before) / regr_count(b.v - b.before, b.before) <= 1e-12 THEN 0.05 ELSE greatest(-regr_slope(b.v - b.before, b.before), 0.001) END AS k"
+        predict = "f.mean + (f.last - f.mean) * pow(1 - f.k, h)"
+    else:
+        fit = f"regr_intercept({y}, b.t) AS a, regr_slope({y}, b.t) AS s"
+        predict = "f.a + f.s * (f.o - 1 + h)" if model == "linear" else "exp(f.a + f.s * (f.o - 1 + h))"
+    return f"""SELECT f.entity, f.indicator, '{model}' AS model, CAST(f.o AS INTEGER) AS origin, h, x.v AS actual, {predict} AS predicted
+  FROM (SELECT o.entity, o.indicator, o.t + 1 AS o, {fit} FROM {p} o JOIN {p} b ON b.entity = o.entity AND b.indicator = o.indicator AND b.t <= o.t
+    WHERE {origin} AND o.t + {steps} < o.n GROUP BY 1, 2, 3) f CROSS JOIN (SELECT CAST(unnest(range(1, {steps + 1})) AS INTEGER) AS h)
+  JOIN {p} x ON x.entity = f.entity AND x.indicator = f.indicator AND x.t = f.o - 1 + h"""
+
+
+def scored(source: str, by: str) -> str:
+    return f"""SELECT {by}, count(*) AS n, round(avg(abs(actual - predicted)), 4) AS mae, round(sqrt(avg(pow(actual - predicted, 2))), 4) AS rmse,
+  round(avg(abs((actual - predicted) / NULLIF(actual, 0))) * 100.0::DOUBLE, 2) AS mape, round(avg(CASE WHEN da IS NOT NULL THEN CASE WHEN (da >= 0) = (dp >= 0) THEN 100.0::DOUBLE ELSE 0 END END), 1)
+  AS directional_accuracy_pct FROM (SELECT *, actual - lag(actual) OVER w AS da, predicted - lag(predicted) OVER w AS dp FROM ({source})
+  WINDOW w AS (PARTITION BY entity, indicator, origin ORDER BY h)) GROUP BY {by}"""
+
+
+EXPAND = "o.t + 1 >= {0} AND CAST(o.t + 1 AS INTEGER) % {1} = {0} % {1}"
+SPLITS = "(o.n - o.t - 1) IN (12, 24, 36) AND o.t + 1 >= 12"
+
+
+def weights(p: str, models: list[str]) -> str:
+    stacked = " UNION ALL ".join(backtest(p, m, 12, SPLITS) for m in models)
+    return f"""SELECT *, CASE WHEN sum(CASE WHEN mae > 0 THEN 1 / mae END) OVER e IS NULL THEN 1.0::DOUBLE / count(*) OVER e
+  ELSE coalesce(CASE WHEN mae > 0 THEN 1 / mae END, 0) / sum(CASE WHEN mae > 0 THEN 1 / mae END) OVER e END AS weight FROM (
+  SELECT entity, indicator, model, avg(e) AS mae FROM (SELECT entity, indicator, model, origin, avg(abs(actual - predicted)) AS e FROM ({stacked}) GROUP BY ALL) GROUP BY ALL)
+  WINDOW e AS (PARTITION BY entity, indicator)"""
+
+
+def model_rows(source: str, model: str, log: bool = False) -> str:
+    f = "exp({0})" if log else "{0}"
+    parts = ", ".join(f"{f.format(e)} AS {n}" for n, e in zip(BANDS, ["c", "c - w", "c + w", "c - 1.96 * w", "c + 1.96 * w"]))
+    return f"SELECT entity, indicator, '{model}' AS model, h, CAST(last_period + to_months(h) AS DATE) AS period_start, {parts} FROM ({source})"
+
+
+RATES, CREDIT = panel("rp", "monthly", REVERTING), panel("kp", "monthly", ["total_credit"])
+UP = panel("up", "monthly", ["unemployment_rate"])
+SMOOTH = """al AS (SELECT CAST(unnest(range(1, 20)) AS DOUBLE) / 20 AS alpha),
+sm AS (SELECT a.entity, a.indicator, a.t, a.v, a.period_start, al.alpha, sum(b.v * CASE WHEN b.t = 0 THEN 1.0::DOUBLE ELSE alpha END * pow(1 - alpha, a.t - b.t)) AS s
+  FROM up a JOIN up b ON a.entity = b.entity AND b.t <= a.t CROSS JOIN al GROUP BY ALL),
+se AS (SELECT entity, indicator, alpha, sum(pow(v - p, 2)) AS sse FROM (SELECT *, lag(s) OVER (PARTITION BY entity, alpha ORDER BY t) AS p FROM sm) GROUP BY ALL),
+ba AS (SELECT entity, indicator, arg_min(alpha, sse) AS alpha, min(sse) AS sse FROM se GROUP BY ALL)"""
+SMOOTHED = """, sp AS (SELECT sm.entity, sm.indicator, sm.period_start, s AS v, lag(s) OVER (PARTITION BY sm.entity ORDER BY t) AS before FROM sm JOIN ba ON sm.entity = ba.entity AND sm.alpha = ba.alpha),
+tg AS (SELECT entity, avg(v) AS target FROM up GROUP BY 1)"""
+DEBT = """SELECT entity, h, CAST(last_period + to_months(CAST(h AS INTEGER) * 3) AS DATE) AS period_start, round(c, 2) AS forecast, round(c - w, 2) AS lower_68, round(c + w, 2) AS upper_68,
+  round(c - 1.96 * w, 2) AS lower_95, round(c + 1.96 * w, 2) AS upper_95 FROM (
+  SELECT *, least(debt * pow(a, h) - pb * CASE WHEN abs(a - 1) < 1e-12 THEN h ELSE (pow(a, h) - 1) / (a - 1) END, 500) AS c, sigma * sqrt(h) AS w FROM (
+  SELECT *, (1 + r) / (1 + g) AS a FROM (SELECT entity, arg_max(debt_to_gdp_ratio, period_start) AS debt, coalesce(avg(growth) FILTER (k <= 4), 0.005) AS g,
+    arg_max(budget_deficit, period_start) / 4.0 AS pb, stddev_pop(move) AS sigma, max(period_start) AS last_period FROM (
+    SELECT *, (nominal_gdp - lag(nominal_gdp) OVER w) / lag(nominal_gdp) OVER w AS growth, debt_to_gdp_ratio - lag(debt_to_gdp_ratio) OVER w AS move,
+      row_number() OVER (PARTITION BY entity ORDER BY period_start DESC) AS k FROM quarterly WINDOW w AS (PARTITION BY entity ORDER BY period_start)) GROUP BY 1)
+  JOIN (SELECT entity, pow(1 + arg_max(portugal_10y_bond_yield, period_start) FILTER (portugal_10y_bond_yield IS NOT NULL) / 100.0, 0.25) - 1 AS r FROM monthly GROUP BY 1) USING (entity))
+  CROSS JOIN (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS h))"""
+GP = panel("gp", "quarterly", ["real_gdp"])
+
+SQL = {
+    "gdp_forecast": facts("SELECT *, year(period_start) || '-Q' || quarter(period_start) AS date_key FROM (" + bands(line("gp", 8, LOG, True), 8, "quarter", 2, True) + ")",
+                          "quarterly", extra=GP),
+    "credit_forecast": facts("SELECT *, strftime(period_start, '%Y-%m') AS date_key FROM (" + bands(line("cp", 12, LOG, True), 12, "month", 2, True) + ")",
+                             extra=panel("cp", "monthly", ["total_credit"], 36)),
+    "credit_growth": facts(f"""SELECT entity, indicator, count(*) AS n, round(regr_slope({LOG}, t), 6) AS slope, round(regr_r2({LOG}, t), 4) AS r_squared,
+  round((exp(regr_slope({LOG}, t) * 12) - 1) * 100, 4) AS annual_growth FROM cp GROUP BY 1, 2""", extra=panel("cp", "monthly", ["total_credit"], 36)),
+    "rate_forecast": facts(bands(revert("xp", 12), 12, "month", 3), extra=panel("xp", "monthly", ["ecb_main_refinancing_rate", "euribor_12m"])),
+    "inflation_forecast": facts(bands(revert("xp", 12, "2.0::DOUBLE"), 12, "month", 2), extra=panel("xp", "monthly", ["hicp"])),
+    "smoothing_weights": facts("SELECT entity, indicator, alpha, round(sse, 3) AS sse FROM ba", extra=UP + ", " + SMOOTH),
+    "unemployment_forecast": facts(bands(revert("sp", 12, "target").replace("FROM sp GROUP BY 1, 2", "FROM sp GROUP BY 1, 2) JOIN tg USING (entity"), 12, "month", 2),
+                                   extra=UP + ", " + SMOOTH + SMOOTHED),
+    "trend_forecast": facts(bands(line("rp", 12), 12, "month", 3), extra=RATES),
+    "debt_forecast": facts(DEBT, "monthly", "quarterly"),
+    "backtest_origins": facts(scored(backtest("gp", "log_linear", 4, EXPAND.format(12, 4)), "entity, indicator, model, origin"), "quarterly", extra=GP),
+    "backtest_gdp": facts(scored(backtest("gp", "log_linear", 4, EXPAND.format(12, 4)), "entity, indicator, model"), "quarterly", extra=GP),
+    "backtest_unemployment": facts(scored(backtest("up", "mean_reversion", 12, EXPAND.format(36, 12)), "entity, indicator, model"), extra=UP),
+    "ensemble_weights": facts(f"SELECT entity, indicator, model, round(mae, 4) AS mae, round(weight, 4) AS weight FROM ({weights('rp', ['linear', 'mean_reversion'])})", extra=RATES),
+    "ensemble_forecast": facts(f"""SELECT entity, indicator, h, period_start, {", ".join(f"round(sum({b} * weight), 2) AS {b}" for b in BANDS)} FROM (
+{model_rows(line("rp", 12), "linear")} UNION ALL {model_rows(line("kp", 12), "linear")} UNION ALL {model_rows(revert("rp", 12), "mean_reversion")}
+UNION ALL {model_rows(line("kp", 12, LOG, True), "log_linear", True)}) JOIN ({weights('rp', ['linear', 'mean_reversion'])} UNION ALL {weights('kp', ['linear', 'log_linear'])})
+USING (entity, indicator, model) GROUP BY 1, 2, 3, 4""", extra=RATES + ", " + CREDIT),
+}
