@@ -61,11 +61,6 @@ def as_cents(amount: Column | str) -> Column:
     return F.rint(col(amount) * 100).cast("bigint")
 
 
-def as_points(rate: Column | str) -> Column:
-    """A rate with two decimals as whole percentage points."""
-    return F.rint(col(rate) * 100).cast("bigint")
-
-
 def rounded(value: Column | str, digits: int = 2) -> Column:
     """Half-up rounding that ignores floating-point noise beyond the sixth decimal, so 2.1749999999999998 rounds as 2.175."""
     return F.round(F.round(col(value), 6), digits)

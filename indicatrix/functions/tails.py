@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _lgamma(values: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in np.ravel(values)]).reshape(np.shape(values))
 
 
 def regularised_beta(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

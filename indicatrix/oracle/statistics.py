@@ -121,11 +121,11 @@ SQL = {
     "trend_tests_monthly": facts(trend("mp", "period_start"), extra=MP),
     "period_anova": facts(ANOVA, extra=MP + ", " + PSTATS.format("mp")),
     "period_pairwise": facts(f"""SELECT entity, indicator, period_a, period_b, round(t, 4) AS t_statistic, round(p, 6) AS p_value,
-  round(least(p * m, 1), 6) AS p_value_bonferroni, p < 0.05 AS significant_nominal, p < 0.05 / m AS significant,
-  round(gap / sqrt((va + vb) / 2), 3) AS cohens_d, round(gap, 4) AS mean_diff FROM (
+  round(CASE WHEN p IS NOT NULL THEN least(p * m, 1) END, 6) AS p_value_bonferroni, p < 0.05 AS significant_nominal, p < 0.05 / m AS significant,
+  round(CASE WHEN sqrt((va + vb) / 2) > 1e-12 THEN gap / sqrt((va + vb) / 2) ELSE 0 END, 3) AS cohens_d, round(gap, 4) AS mean_diff FROM (
   SELECT *, {f_p("t * t", "1", "df")} AS p FROM (SELECT a.entity, a.indicator, a.period AS period_a, b.period AS period_b, a.mean - b.mean AS gap,
-    a.var AS va, b.var AS vb, (a.mean - b.mean) / sqrt(a.var / a.n + b.var / b.n) AS t, a.k * (a.k - 1) / 2 AS m,
-    pow(a.var / a.n + b.var / b.n, 2) / (pow(a.var / a.n, 2) / (a.n - 1) + pow(b.var / b.n, 2) / (b.n - 1)) AS df
+    a.var AS va, b.var AS vb, (a.mean - b.mean) / NULLIF(sqrt(a.var / a.n + b.var / b.n), 0) AS t, a.k * (a.k - 1) / 2 AS m,
+    pow(a.var / a.n + b.var / b.n, 2) / NULLIF(pow(a.var / a.n, 2) / (a.n - 1) + pow(b.var / b.n, 2) / (b.n - 1), 0) AS df
   FROM pk a JOIN pk b ON a.entity = b.entity AND a.indicator = b.indicator AND a.period < b.period))""",
         extra=MP + ", " + PSTATS.format("mp") + ", pk AS (SELECT *, count(*) OVER (PARTITION BY entity, indicator) AS k FROM ps)"),
     "structural_breaks": facts(CHOW, "monthly", "quarterly", extra=annual(AT)),

@@ -80,6 +80,6 @@ SQL = {
     "quarter_means": facts("""SELECT entity, q AS period_start, months, round(u, 4) AS mean_rate, round(u - lag(u) OVER (PARTITION BY entity ORDER BY q), 4) AS rate_change
 FROM (SELECT entity, CAST(date_trunc('quarter', period_start) AS DATE) AS q, avg(unemployment_rate) AS u, count(*) AS months FROM monthly GROUP BY 1, 2)"""),
     "last_36_months": facts("""SELECT entity, period_start, total_credit FROM monthly QUALIFY row_number() OVER (PARTITION BY entity ORDER BY period_start DESC) <= 36"""),
-    "customer_statistics": f"""SELECT c_mktsegment, count(*) AS count, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS min,
-  round(max(v), 4) AS max FROM (SELECT c_mktsegment, CAST({_P} AS DOUBLE) AS v FROM orders JOIN customer ON o_custkey = c_custkey) GROUP BY 1""",
+    "order_statistics": f"""SELECT o_orderpriority, count(*) AS count, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS min,
+  round(max(v), 4) AS max FROM (SELECT o_orderpriority, CAST({_P} AS DOUBLE) AS v FROM orders) GROUP BY 1""",
 }

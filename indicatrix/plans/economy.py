@@ -13,10 +13,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from indicatrix.functions.keys import period_key, period_start
-from indicatrix.functions.numeric import as_cents, as_points, pct_change, ratio
 from indicatrix.operators.joins import outer_merge
 from indicatrix.registry import CRISIS_WINDOWS as registry_windows, ECONOMIC_PERIODS, PILLARS
 from indicatrix.registry import PHILLIPS_PERIODS as registry_phillips
@@ -37,64 +36,62 @@ PHILLIPS_PERIODS = [("pre_crisis", 1995, 1996), ("troika", 1996, 1997), ("recove
 
 Build = Callable[[], DataFrame]
 
-MEASURES = [
-    "n_orders", "price_c", "price_open_c", "n_low", "n_unspecified", "n_low_filled", "n_pending",
-    "n_lines", "gross_c", "net_e4", "gross_n_c", "gross_a_c", "gross_big_c", "disc_p", "tax_p",
-    "tax_short_p", "n_short", "tax_mid_p", "n_mid", "tax_core_p", "n_core", "qty",
-]
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _sum_if(test: Column, value: Column | int = 1) -> Column:
-    return F.sum(F.when(test, value).otherwise(0))
+def _aggregates(expressions: dict[str, str]) -> list[Column]:
+    """Aggregates written as SQL text: one call to the JVM each instead of one per operator in them."""
+    return [F.expr(f"{text} AS {name}") for name, text in expressions.items()]
+
+
+# rint keeps the conversion to whole cents and points inside generated code
+GROSS, DISCOUNT, TAX, PRICE = (f"CAST(rint({c} * 100) AS BIGINT)" for c in ("l_extendedprice", "l_discount", "l_tax", "o_totalprice"))
+LINE_MEASURES = {
+    "n_lines": "count(*)",
+    "gross_c": f"sum({GROSS})",
+    "net_e4": f"sum({GROSS} * (100 - {DISCOUNT}))",
+    "gross_n_c": f"sum(CASE WHEN l_returnflag = 'N' THEN {GROSS} ELSE 0 END)",
+    "gross_a_c": f"sum(CASE WHEN l_returnflag = 'A' THEN {GROSS} ELSE 0 END)",
+    "gross_big_c": f"sum(CASE WHEN l_quantity >= 48 THEN {GROSS} ELSE 0 END)",
+    "disc_p": f"sum({DISCOUNT})",
+    "tax_p": f"sum({TAX})",
+    "tax_short_p": f"sum(CASE WHEN l_linenumber <= 2 THEN {TAX} ELSE 0 END)",
+    "n_short": "count_if(l_linenumber <= 2)",
+    "tax_mid_p": f"sum(CASE WHEN l_linenumber <= 4 THEN {TAX} ELSE 0 END)",
+    "n_mid": "count_if(l_linenumber <= 4)",
+    "tax_core_p": f"sum(CASE WHEN l_returnflag <> 'R' THEN {TAX} ELSE 0 END)",
+    "n_core": "count_if(l_returnflag <> 'R')",
+    "qty": "sum(CAST(l_quantity AS BIGINT))",
+}
+ORDER_MEASURES = {
+    "n_orders": "count(*)",
+    "price_c": f"sum({PRICE})",
+    "price_open_c": f"sum(CASE WHEN o_orderstatus = 'O' THEN {PRICE} ELSE 0 END)",
+    "n_low": "count_if(o_orderpriority = '5-LOW')",
+    "n_unspecified": "count_if(o_orderpriority = '4-NOT SPECIFIED')",
+    "n_low_filled": "count_if(o_orderpriority = '5-LOW' AND o_orderstatus = 'F')",
+    "n_pending": "count_if(o_orderstatus = 'P')",
+}
+MEASURES = [*ORDER_MEASURES, *LINE_MEASURES]
+
+
+def _resum(names: list[str]) -> list[Column]:
+    return _aggregates({m: f"sum({m})" for m in names})
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: additive line measures."""
-    line = table(spark, sf_dir, "lineitem")
-    gross, tax = as_cents("l_extendedprice"), as_points("l_tax")
-    number = F.col("l_linenumber")
-    core = F.col("l_returnflag") != "R"
-    return line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.count("*").alias("n_lines"),
-        F.sum(gross).alias("gross_c"),
-        F.sum(gross * (100 - as_points("l_discount"))).alias("net_e4"),
-        _sum_if(F.col("l_returnflag") == "N", gross).alias("gross_n_c"),
-        _sum_if(F.col("l_returnflag") == "A", gross).alias("gross_a_c"),
-        _sum_if(F.col("l_quantity") >= 48, gross).alias("gross_big_c"),
-        F.sum(as_points("l_discount")).alias("disc_p"),
-        F.sum(tax).alias("tax_p"),
-        _sum_if(number <= 2, tax).alias("tax_short_p"), _sum_if(number <= 2).alias("n_short"),
-        _sum_if(number <= 4, tax).alias("tax_mid_p"), _sum_if(number <= 4).alias("n_mid"),
-        _sum_if(core, tax).alias("tax_core_p"), _sum_if(core).alias("n_core"),
-        F.sum(F.col("l_quantity").cast("bigint")).alias("qty"),
-    )
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*_aggregates(LINE_MEASURES))
 
 
 def customer_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer and month with every additive measure."""
     orders = table(spark, sf_dir, "orders")
-    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
-    price = as_cents("o_totalprice")
-    low = priority == "5-LOW"
-    line_sums = [F.sum(m).alias(m) for m in MEASURES[7:]]
-    return (
-        orders.join(order_lines(spark, sf_dir), "o_orderkey", "left")
-        .groupBy("o_custkey", period_start(F.col("o_orderdate"), "month").alias("period_start"))
-        .agg(
-            F.count("*").alias("n_orders"),
-            F.sum(price).alias("price_c"),
-            _sum_if(status == "O", price).alias("price_open_c"),
-            _sum_if(low).alias("n_low"),
-            _sum_if(priority == "4-NOT SPECIFIED").alias("n_unspecified"),
-            _sum_if(low & (status == "F")).alias("n_low_filled"),
-            _sum_if(status == "P").alias("n_pending"),
-            *line_sums,
-        )
-    )
+    month = period_start(F.col("o_orderdate"), "month").alias("period_start")
+    return orders.join(order_lines(spark, sf_dir), "o_orderkey", "left").groupBy("o_custkey", month).agg(
+        *_aggregates(ORDER_MEASURES), *_resum(list(LINE_MEASURES)))
 
 
 def monthly_cube(spark: SparkSession, sf_dir: str, entity: str = "nation") -> DataFrame:
@@ -112,17 +109,13 @@ def monthly_cube(spark: SparkSession, sf_dir: str, entity: str = "nation") -> Da
         # nation and region hold a fixed 25 and 5 rows; Spark's own size check turns these joins into broadcasts
         customer = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
     customer = customer.select("c_custkey", F.col(label).alias("entity"))
-    return (
-        months.join(customer, months.o_custkey == customer.c_custkey)
-        .groupBy("entity", "period_start")
-        .agg(*[F.sum(m).alias(m) for m in MEASURES])
-    )
+    return months.join(customer, months.o_custkey == customer.c_custkey).groupBy("entity", "period_start").agg(*_resum(MEASURES))
 
 
 def roll_up(cube: DataFrame, grain: str) -> DataFrame:
     """Re-aggregate the monthly cube; all its measures are additive."""
     return cube.groupBy("entity", F.trunc("period_start", grain).alias("period_start")).agg(
-        *[F.sum(m).alias(m) for m in MEASURES]
+        *_resum(MEASURES)
     )
 
 
@@ -137,85 +130,55 @@ def roll_up_mixed(cube: DataFrame, grains: tuple[str, ...] = ("month", "quarter"
     ]))
     spread = cube.withColumn("_period", periods)
     return spread.groupBy("entity", F.col("_period.grain").alias("grain"), F.col("_period.start").alias("period_start")).agg(
-        *[F.sum(m).alias(m) for m in MEASURES]
-    )
-
-
-def _keyed(df: DataFrame, grain: str, columns: dict[str, Column]) -> DataFrame:
-    return df.select(
-        "entity", "period_start", period_key(F.col("period_start"), grain).alias("date_key"),
-        *[c.alias(name) for name, c in columns.items()],
+        *_resum(MEASURES)
     )
 
 
-def gdp_columns(series: tuple[str, ...] = ("entity",)) -> dict[str, Column]:
-    by_period = Window.partitionBy(*series).orderBy("period_start")
-    real = F.col("net_e4") / 10000.0
-    return {
-        "nominal_gdp": F.col("gross_c") / 100.0,
-        "real_gdp": real,
-        "gdp_growth_yoy": pct_change(real, F.lag(real, 4).over(by_period)),
-        "gdp_growth_qoq": pct_change(real, F.lag(real, 1).over(by_period)),
-        "gdp_per_capita": real / F.col("n_orders"),
-    }
-
-
-def unemployment_columns() -> dict[str, Column]:
-    n = F.col("n_orders")
-    return {
-        "unemployment_rate": 100.0 * F.col("n_low") / n,
-        "youth_unemployment_rate": 100.0 * (F.col("n_low") + F.col("n_unspecified")) / n,
-        "long_term_unemployment_rate": 100.0 * F.col("n_low_filled") / n,
-        "labour_force_participation_rate": 100.0 * (n - F.col("n_pending")) / n,
-    }
-
-
-def credit_columns() -> dict[str, Column]:
-    return {
-        "total_credit": F.col("gross_c") / 100.0,
-        "credit_nfc": F.col("gross_n_c") / 100.0,
-        "credit_households": F.col("gross_a_c") / 100.0,
-        "npl_ratio": ratio(100.0 * F.col("gross_big_c"), "gross_c"),
-    }
-
-
-def interest_rate_columns() -> dict[str, Column]:
-    return {
-        "ecb_main_refinancing_rate": 4.0 * ratio("disc_p", "n_lines") - 18.0,
-        "euribor_3m": ratio("tax_short_p", "n_short"),
-        "euribor_6m": ratio("tax_mid_p", "n_mid"),
-        "euribor_12m": ratio("tax_p", "n_lines"),
-        "portugal_10y_bond_yield": ratio("qty", F.col("n_lines") * 5),
-    }
-
-
-def inflation_columns() -> dict[str, Column]:
-    return {
-        "hicp": 3.0 * ratio("tax_p", "n_lines") - 10.0,
-        "cpi_estimated": 3.0 * ratio("tax_mid_p", "n_mid") - 10.0,
-        "core_inflation": 3.0 * ratio("tax_core_p", "n_core") - 10.0,
-    }
-
-
-def public_debt_columns(series: tuple[str, ...] = ("entity",)) -> dict[str, Column]:
-    last_four = Window.partitionBy(*series).orderBy("period_start").rowsBetween(-3, 0)
-    returned = F.col("gross_c") - F.col("gross_n_c") - F.col("gross_a_c")
-    balance = ratio(20.0 * (F.col("gross_n_c") - returned), "gross_c")
-    return {
-        "total_debt": F.col("price_c") / 100.0,
-        "debt_to_gdp_ratio": ratio(100.0 * F.col("price_c"), "gross_c"),
-        "budget_deficit": balance,
-        "budget_deficit_annual": F.when(F.count(balance).over(last_four) >= 4, F.avg(balance).over(last_four)),
-        "external_debt_share_estimated": ratio(100.0 * F.col("price_open_c"), "price_c"),
-    }
-
-
-def monthly_columns() -> dict[str, Column]:
-    return unemployment_columns() | credit_columns() | interest_rate_columns() | inflation_columns()
-
-
-def quarterly_columns(series: tuple[str, ...] = ("entity",)) -> dict[str, Column]:
-    return gdp_columns(series) | public_debt_columns(series)
+def _keyed(df: DataFrame, grain: str, columns: dict[str, str]) -> DataFrame:
+    return df.select("entity", "period_start", period_key(F.col("period_start"), grain).alias("date_key"), *_aggregates(columns))
+
+
+RETURNED = "(gross_c - gross_n_c - gross_a_c)"
+GDP = {
+    "nominal_gdp": "gross_c / 100.0D",
+    "real_gdp": "net_e4 / 10000.0D",
+    "gdp_growth_yoy": "(net_e4 / 10000.0D - lag(net_e4 / 10000.0D, 4) OVER (PARTITION BY {series} ORDER BY period_start))"
+                      " / nullif(lag(net_e4 / 10000.0D, 4) OVER (PARTITION BY {series} ORDER BY period_start), 0) * 100.0D",
+    "gdp_growth_qoq": "(net_e4 / 10000.0D - lag(net_e4 / 10000.0D, 1) OVER (PARTITION BY {series} ORDER BY period_start))"
+                      " / nullif(lag(net_e4 / 10000.0D, 1) OVER (PARTITION BY {series} ORDER BY period_start), 0) * 100.0D",
+    "gdp_per_capita": "net_e4 / 10000.0D / n_orders",
+}
+BALANCE = f"(20.0D * (gross_n_c - {RETURNED}) / nullif(gross_c, 0))"
+PUBLIC_DEBT = {
+    "total_debt": "price_c / 100.0D",
+    "debt_to_gdp_ratio": "100.0D * price_c / nullif(gross_c, 0)",
+    "budget_deficit": BALANCE,
+    "budget_deficit_annual": f"CASE WHEN count({BALANCE}) OVER (PARTITION BY {{series}} ORDER BY period_start ROWS 3 PRECEDING) >= 4"
+                             f" THEN avg({BALANCE}) OVER (PARTITION BY {{series}} ORDER BY period_start ROWS 3 PRECEDING) END",
+    "external_debt_share_estimated": "100.0D * price_open_c / nullif(price_c, 0)",
+}
+MONTHLY = {
+    "unemployment_rate": "100.0D * n_low / n_orders",
+    "youth_unemployment_rate": "100.0D * (n_low + n_unspecified) / n_orders",
+    "long_term_unemployment_rate": "100.0D * n_low_filled / n_orders",
+    "labour_force_participation_rate": "100.0D * (n_orders - n_pending) / n_orders",
+    "total_credit": "gross_c / 100.0D",
+    "credit_nfc": "gross_n_c / 100.0D",
+    "credit_households": "gross_a_c / 100.0D",
+    "npl_ratio": "100.0D * gross_big_c / nullif(gross_c, 0)",
+    "ecb_main_refinancing_rate": "4.0D * (CAST(disc_p AS DOUBLE) / nullif(n_lines, 0)) - 18.0D",
+    "euribor_3m": "CAST(tax_short_p AS DOUBLE) / nullif(n_short, 0)",
+    "euribor_6m": "CAST(tax_mid_p AS DOUBLE) / nullif(n_mid, 0)",
+    "euribor_12m": "CAST(tax_p AS DOUBLE) / nullif(n_lines, 0)",
+    "portugal_10y_bond_yield": "CAST(qty AS DOUBLE) / nullif(n_lines * 5, 0)",
+    "hicp": "3.0D * (CAST(tax_p AS DOUBLE) / nullif(n_lines, 0)) - 10.0D",
+    "cpi_estimated": "3.0D * (CAST(tax_mid_p AS DOUBLE) / nullif(n_mid, 0)) - 10.0D",
+    "core_inflation": "3.0D * (CAST(tax_core_p AS DOUBLE) / nullif(n_core, 0)) - 10.0D",
+}
+
+
+def quarterly_text(series: str = "entity") -> dict[str, str]:
+    return {name: text.format(series=series) for name, text in (GDP | PUBLIC_DEBT).items()}
 
 
 class Warehouse:
@@ -281,14 +244,11 @@ class Warehouse:
 
 
 def mixed_grain(cube: DataFrame) -> DataFrame:
-    is_month = F.col("grain") == "month"
     start = F.col("period_start")
-    key = F.when(is_month, period_key(start, "month")).otherwise(period_key(start, "quarter"))
-    return roll_up_mixed(cube).select(
-        "entity", "grain", "period_start", key.alias("date_key"),
-        *[F.when(is_month, c).alias(n) for n, c in monthly_columns().items()],
-        *[F.when(~is_month, c).alias(n) for n, c in quarterly_columns(("entity", "grain")).items()],
-    )
+    key = F.when(F.col("grain") == "month", period_key(start, "month")).otherwise(period_key(start, "quarter"))
+    monthly = {name: f"CASE WHEN grain = 'month' THEN {text} END" for name, text in MONTHLY.items()}
+    quarterly = {name: f"CASE WHEN grain = 'quarter' THEN {text} END" for name, text in quarterly_text("entity, grain").items()}
+    return roll_up_mixed(cube).select("entity", "grain", "period_start", key.alias("date_key"), *_aggregates(monthly), *_aggregates(quarterly))
 
 
 def economy(spark: SparkSession, sf_dir: str, entity: str = "nation") -> Warehouse:
@@ -298,8 +258,8 @@ def economy(spark: SparkSession, sf_dir: str, entity: str = "nation") -> Warehou
         return monthly_cube(spark, sf_dir, entity)
 
     return Warehouse(
-        lambda: _keyed(cube(), "month", monthly_columns()),
-        lambda: _keyed(roll_up(cube(), "quarter"), "quarter", quarterly_columns()),
+        lambda: _keyed(cube(), "month", MONTHLY),
+        lambda: _keyed(roll_up(cube(), "quarter"), "quarter", quarterly_text()),
         lambda: mixed_grain(cube()),
     )
 
