@@ -10,11 +10,16 @@ B = "ecb_main_refinancing_rate"
 
 
 def f_p(f: str, d1: str, d2: str) -> str:
-    """P(F > f): 2 / B(d1/2, d2/2) times the integral of sin^(d1-1) cos^(d2-1) from atan(sqrt(d1 f / d2)) to pi/2."""
-    start = f"atan(sqrt({d1} * ({f}) / ({d2})))"
-    step = f"((pi() / 2 - {start}) / 2000)"
-    term = (f"(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(sin({start} + i * {step}), {d1} - 1) "
-            f"* pow(greatest(cos({start} + i * {step}), 0), {d2} - 1)")
+    """P(F > f): 2 / B(d1/2, d2/2) times the integral of cos^(d1-1)(s) sin^(d2-1)(s) from 0 to pi/2 - atan(sqrt(d1 f / d2)).
+
+    With few degrees of freedom the substitution s = u^6 keeps the integrand smooth at 0.
+    """
+    q = f"(CASE WHEN {d2} < 4 THEN 6 ELSE 1 END)"
+    end = f"pow(greatest(pi() / 2 - atan(sqrt({d1} * ({f}) / ({d2}))), 0), 1.0::DOUBLE / {q})"
+    step = f"({end} / 2000)"
+    u = f"(i * {step})"
+    term = (f"(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {q} * pow({u}, {q} - 1) * pow(sin(pow({u}, {q})), {d2} - 1) "
+            f"* pow(greatest(cos(pow({u}, {q})), 0), {d1} - 1)")
     beta = f"exp(lgamma({d1} / 2.0) + lgamma(({d2}) / 2.0) - lgamma({d1} / 2.0 + ({d2}) / 2.0))"
     return f"(2 / {beta} * {step} / 3 * list_sum(list_transform(range(0, 2001), lambda i: {term})))"
 
