@@ -13,10 +13,9 @@ from indicatrix import catalog  # noqa: E402
 from indicatrix.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "unemp_trend_ma12", "gdp_annual_summary", "gdp_growth_ranking", "credit_evolution", "deleveraging_episodes", "yield_spread", "inflation_price_index",
-    "real_interest_rate", "debt_vs_gdp", "macro_dashboard_latest", "health_scorecard", "annual_snapshot", "transform_credit", "dense_customers",
-    "customer_ranks", "user_days", "calendar_averages", "pillar_statistics", "correlation_levels", "trend_tests_monthly", "lead_lag_tests", "unit_roots",
-    "quality_summary", "threshold_alerts", "peer_comparison", "ensemble_forecast", "scenario_combined", "briefing_headlines", "kpi_yoy", "upserted_orders",
+    "unemp_trend_ma12", "gdp_annual_summary", "credit_evolution", "deleveraging_episodes", "debt_vs_gdp", "macro_dashboard_latest", "health_scorecard",
+    "annual_snapshot", "transform_credit", "dense_customers", "customer_ranks", "user_days", "trend_tests_monthly", "lead_lag_tests", "unit_roots",
+    "threshold_alerts", "peer_comparison", "upserted_orders",
 ]
 
 
