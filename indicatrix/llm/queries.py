@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from indicatrix.llm import shards
+from indicatrix.llm import shards, token_files
+
+#: Where the public vocabularies lie.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +25,11 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(_table(spark, sf_dir, "documents"), tree, shards.with_shard(tree, "region1", "rack1.1", 16))
 
 
-QUERIES: dict[str, Query] = {"op6_shards": op6_shards}
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = Path(TOKENIZERS, "word_bpe_49k.json").read_text(encoding="utf-8")
+    return token_files.written_index(_table(spark, sf_dir, "documents"), vocabulary, end_id=1)
+
+
+QUERIES: dict[str, Query] = {"op6_shards": op6_shards, "op7_token_files": op7_token_files}
 
 ORACLE_SQL: dict[str, str] = {}
