@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from indicatrix.llm import shards, token_files
+from indicatrix.llm import quality, shards, token_files
+from indicatrix.llm.common import doc_bucket
 
 #: Where the public vocabularies lie.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+TOKENIZERS = "/opt/tokenizers"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +21,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(doc_bucket(F.col("doc_id"), 5) != 0))
+    return quality.score(docs, model).select("doc_id", (doc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = shards.even_tree()
     return shards.shard_documents(_table(spark, sf_dir, "documents"), tree, shards.with_shard(tree, "region1", "rack1.1", 16))
@@ -30,6 +37,6 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written_index(_table(spark, sf_dir, "documents"), vocabulary, end_id=1)
 
 
-QUERIES: dict[str, Query] = {"op6_shards": op6_shards, "op7_token_files": op7_token_files}
+QUERIES: dict[str, Query] = {"op4_quality": op4_quality, "op6_shards": op6_shards, "op7_token_files": op7_token_files}
 
 ORACLE_SQL: dict[str, str] = {}
