@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indicatrix.llm import quality, shards, token_files
+from indicatrix.llm import fingerprints, quality, shards, token_files
 from indicatrix.llm.common import doc_bucket
 
 #: Where the public vocabularies lie.
@@ -37,6 +37,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written_index(_table(spark, sf_dir, "documents"), vocabulary, end_id=1)
 
 
-QUERIES: dict[str, Query] = {"op4_quality": op4_quality, "op6_shards": op6_shards, "op7_token_files": op7_token_files}
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {"op4_quality": op4_quality, "op6_shards": op6_shards, "op7_token_files": op7_token_files, "op8_fingerprints": op8_fingerprints}
 
 ORACLE_SQL: dict[str, str] = {}
