@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indicatrix.llm import fingerprints, licenses, quality, shards, token_files
+from indicatrix.llm import decontamination, fingerprints, licenses, quality, shards, token_files
 from indicatrix.llm.common import doc_bucket
 
 #: Where the public vocabularies lie.
@@ -31,6 +31,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (doc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = shards.even_tree()
     return shards.shard_documents(_table(spark, sf_dir, "documents"), tree, shards.with_shard(tree, "region1", "rack1.1", 16))
@@ -45,6 +49,6 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op3_licenses": op3_licenses, "op4_quality": op4_quality, "op6_shards": op6_shards, "op7_token_files": op7_token_files, "op8_fingerprints": op8_fingerprints}
+QUERIES: dict[str, Query] = {"op3_licenses": op3_licenses, "op4_quality": op4_quality, "op5_decontamination": op5_decontamination, "op6_shards": op6_shards, "op7_token_files": op7_token_files, "op8_fingerprints": op8_fingerprints}
 
 ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.oracle_sql()}
