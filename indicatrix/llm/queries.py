@@ -8,8 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indicatrix.llm import decontamination, fingerprints, licenses, quality, shards, substrings, token_files
-from indicatrix.llm.common import doc_bucket
+from indicatrix.llm import dart_minhash, decontamination, fingerprints, licenses, quality, shards, substrings, token_files
+from indicatrix.llm.common import Scratch, doc_bucket
 
 #: Where the public vocabularies lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -53,6 +53,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op2_substrings": op2_substrings, "op3_licenses": op3_licenses, "op4_quality": op4_quality, "op5_decontamination": op5_decontamination, "op6_shards": op6_shards, "op7_token_files": op7_token_files, "op8_fingerprints": op8_fingerprints}
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_classes(_table(spark, sf_dir, "documents"), Scratch(spark, "near")).select("doc_id", "class_id")
+
+
+QUERIES: dict[str, Query] = {"op2_substrings": op2_substrings, "op3_licenses": op3_licenses, "op4_quality": op4_quality, "op5_decontamination": op5_decontamination, "op6_shards": op6_shards, "op7_token_files": op7_token_files, "op8_fingerprints": op8_fingerprints, "op9_near_duplicates": op9_near_duplicates}
 
 ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.oracle_sql()}
