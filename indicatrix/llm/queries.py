@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indicatrix.llm import dart_minhash, decontamination, fingerprints, licenses, pitman_yor, quality, shards, substrings, token_files
+from indicatrix.llm import dart_minhash, decontamination, fingerprints, licenses, pieces, pitman_yor, quality, shards, substrings, token_files
 from indicatrix.llm.common import Scratch, doc_bucket
 
 #: Where the public vocabularies lie.
@@ -21,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trips(_table(spark, sf_dir, "documents"), Path(TOKENIZERS, "piece_bpe_32k.model").read_bytes())
+
+
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_words(_table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,6 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score_documents(_table(spark, sf_dir, "documents"), doc_bucket(F.col("doc_id"), 7) == 2)
 
 
-QUERIES: dict[str, Query] = {"op2_substrings": op2_substrings, "op3_licenses": op3_licenses, "op4_quality": op4_quality, "op5_decontamination": op5_decontamination, "op6_shards": op6_shards, "op7_token_files": op7_token_files, "op8_fingerprints": op8_fingerprints, "op9_near_duplicates": op9_near_duplicates, "op10_language_model": op10_language_model}
+QUERIES: dict[str, Query] = {"op1_pieces": op1_pieces, "op2_substrings": op2_substrings, "op3_licenses": op3_licenses, "op4_quality": op4_quality, "op5_decontamination": op5_decontamination, "op6_shards": op6_shards, "op7_token_files": op7_token_files, "op8_fingerprints": op8_fingerprints, "op9_near_duplicates": op9_near_duplicates, "op10_language_model": op10_language_model}
 
 ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.oracle_sql()}
