@@ -1,15 +1,53 @@
-"""A training corpus from raw documents."""
+"""A training corpus from raw documents: five stages, each on all that the one before kept.
+
+Quality classifier (rejected texts go), near-duplicates (one row of each class stays), repeated passages (cut out of all but their first document), benchmark
+passages (their documents go), SentencePiece ids (with the text decoded from them). ORACLE_SQL is None: none of the five has an SQL form; they are
+tested against brute force on small tables.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from indicatrix.llm import dart_minhash, decontamination, pieces, quality, substrings
+from indicatrix.llm.common import Scratch
+from indicatrix.llm.queries import GOOD, piece_model, quality_model
+
+
+def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.accepted(docs, quality_model(spark, docs, sf_dir), GOOD)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return dart_minhash.first_of_each(docs)
+
+
+def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(docs)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    names = [c for c in docs.columns if c != "text"]
+    model = piece_model()
+    coded = pieces.decode(pieces.encode(docs, model, names), model)
+    return coded.select(*[F.col("decoded").alias("text") if c == "text" else F.col("carried")[c].alias(c) for c in docs.columns], F.size("ids").alias("n_pieces"), F.col("ids").alias("piece_ids"))
+
+
+STAGES = [("quality classifier", good_texts), ("near-duplicates", one_of_each), ("substring dedup", no_repeats), ("benchmark decontamination", no_benchmark), ("pieces", as_pieces)]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table; each stage's rows are written to the shared folder and read back, and dropped when the next one is written."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{number}")
+        scratch.drop(f"stage-{number - 1}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -139,3 +139,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = [_search(docs, items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else items) for part in range(parts)]
     best = reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("best"))
     return best.select("doc_id", "item_id", "best.similarity", (-F.col("best.back")).alias("start_word"), F.col("best.n").alias("n_words"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs whose document has no passage of the benchmark, unchanged."""
+    hit = contaminated(docs, benchmark).select(F.col("doc_id").alias("__hit")).distinct()
+    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["__hit"]), "left_anti")

@@ -274,8 +274,3 @@ def round_trips(docs: DataFrame, model: bytes, chunk_chars: int = CHUNK_CHARS) -
     digits = F.concat_ws(",", F.transform("ids", lambda i: i.cast("string")))
     return back.select(F.col("carried.doc_id").cast("long").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), F.crc32(digits.cast("binary")).alias("ids_crc32"), "chunks",
                        (F.md5(F.col("decoded").cast("binary")) == F.col("carried.digest")).alias("round_trip"))
-
-
-def read_model(spark: SparkSession, path: str) -> bytes:
-    """The bytes of a model file, by any path that Spark reads."""
-    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])

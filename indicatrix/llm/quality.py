@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from indicatrix.llm.common import doc_texts
 
@@ -98,20 +99,29 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Classifie
     return Classifier(good, bad, _calibrate(x, y[held]), float(y.mean()))
 
 
-def score(docs: DataFrame, model: Classifier, *columns: str) -> DataFrame:
-    """doc_id, the named columns and score: how likely the text is good, 0 to 1, from the text alone.
+def _with_scores(docs: DataFrame, model: Classifier) -> DataFrame:
+    """row (a struct of all columns) and score."""
+    source = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = (_compressor(model.good), _compressor(model.bad)) if model.weights else None
+        for big in batches:
+            for batch in (big.slice(k, 256) for k in range(0, big.num_rows, 256)):
+                texts = [t.encode() for t in batch.column("text").to_pylist()]
+                p = 1 / (1 + np.exp(-np.clip(_features(texts, *pair) @ np.array(model.weights), -700, 700))) if pair else np.full(len(texts), model.prior)
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(p, pa.float64())], names=["row", "score"])
+
+    return source.mapInArrow(scored, T.StructType([source.schema["row"], T.StructField("score", T.DoubleType())]))
+
+
+def score(docs: DataFrame, model: Classifier) -> DataFrame:
+    """doc_id and score of every row: how likely the text is good, 0 to 1, from the text alone.
 
     Null texts count as empty, and the empty text has a score like any other. Long texts are compressed whole. Rows repeat as they do in docs.
     """
-    names = [c for c in columns if c != "doc_id"]
-    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *[docs[c] for c in names], F.coalesce(docs["text"], F.lit("")).alias("__text"))
+    return _with_scores(docs.select("doc_id", "text"), model).select(F.col("row.doc_id").cast("long").alias("doc_id"), "score")
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = (_compressor(model.good), _compressor(model.bad)) if model.weights else None
-        for batch in batches:
-            texts = [t.encode() for t in batch.column("__text").to_pylist()]
-            p = 1 / (1 + np.exp(-np.clip(_features(texts, *pair) @ np.array(model.weights), -700, 700))) if pair else np.full(len(texts), model.prior)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
-    kept = source.drop("__text").schema
-    return source.mapInArrow(scored, kept.add("score", "double"))
+def accepted(docs: DataFrame, model: Classifier, least: float) -> DataFrame:
+    """The rows of docs whose score is at least so much, with all their columns."""
+    return _with_scores(docs, model).where(F.col("score") >= least).select(*[F.col("row")[c].alias(c) for c in docs.columns])

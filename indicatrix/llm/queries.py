@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from indicatrix.llm import dart_minhash, decontamination, fingerprints, licenses, pieces, pitman_yor, quality, shards, substrings, token_files
 from indicatrix.llm.common import Scratch, doc_bucket
 
-#: Where the public vocabularies lie.
+#: Where the public vocabularies lie; read on the driver and sent to the tasks.
 TOKENIZERS = "/opt/tokenizers"
+#: A text of at least this score counts as good.
+GOOD = 0.3
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +23,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def piece_model() -> bytes:
+    return Path(TOKENIZERS, "piece_bpe_32k.model").read_bytes()
+
+
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.round_trips(_table(spark, sf_dir, "documents"), Path(TOKENIZERS, "piece_bpe_32k.model").read_bytes())
+    return pieces.round_trips(_table(spark, sf_dir, "documents"), piece_model())
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +39,15 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Classifier:
+    """Learnt from the labelled rows that are not held out."""
+    return quality.fit(docs, _table(spark, sf_dir, "labels").where(doc_bucket(F.col("doc_id"), 5) != 0))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    model = quality.fit(docs, labels.where(doc_bucket(F.col("doc_id"), 5) != 0))
-    return quality.score(docs, model).select("doc_id", (doc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_model(spark, docs, sf_dir)
+    return quality.score(docs, model).select("doc_id", (doc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
