@@ -210,7 +210,7 @@ def _blocks(members: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, text_key (the text's digest) and class_id, the smallest doc_id among the near-duplicates of a row, of every row of docs.
+    """doc_id, text_key (the text's digest), class_key (one text of the class) and class_id, the smallest doc_id among the near-duplicates of a row, of every row.
 
     Classes are the components of the links at weighted Jaccard 0.8 or more over five-word shingles. Equal texts are one node. Nodes that share a band are tied
     to the smallest node of the band's bucket, never to each other in pairs; the components of these ties hold all links that any bucket holds. Within a
@@ -252,16 +252,16 @@ def near_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     classes = components(found, scratch, "classes").select(F.col("node").alias("text_key"), "root")
     placed = signed.select("doc_id", "text_key").join(classes, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
     first = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    alone = docs.where(docs["text"].isNull()).select(docs["doc_id"].cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("text_key"), docs["doc_id"].cast("long").alias("class_id"))
-    return placed.join(first, "root").select("doc_id", "text_key", "class_id").unionByName(alone)
+    alone = docs.where(docs["text"].isNull()).select(docs["doc_id"].cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("text_key"), F.lit(None).cast("binary").alias("class_key"), docs["doc_id"].cast("long").alias("class_id"))
+    return placed.join(first, "root").select("doc_id", "text_key", F.col("root").alias("class_key"), "class_id").unionByName(alone)
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
     """One row of each class: that of the smallest doc_id, among rows of one id that of the smallest text digest. Null texts stay."""
     scratch = Scratch(docs.sparkSession, "near-first")
     classes = scratch.keep(near_classes(docs, scratch).where("text_key is not null"), "rows")
-    kept = classes.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_key")).alias("k")) if classes.where("doc_id is null").isEmpty() else \
-        classes.groupBy("class_id").agg(F.min_by(F.struct("doc_id", "text_key"), F.struct(F.coalesce("doc_id", F.lit(-2**63)), "text_key")).alias("k"))
+    order = F.struct(F.coalesce("doc_id", F.lit(-(2**63))), "text_key")  # a null id is the smallest
+    kept = classes.groupBy("class_key").agg(F.min_by(F.struct("doc_id", "text_key"), order).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.text_key").alias("__key"))
     keyed = docs.withColumns({"__doc": docs["doc_id"].cast("long"), "__text": F.unhex(F.md5(docs["text"].cast("binary")))})
     stay = keyed.join(kept, keyed["__doc"].eqNullSafe(kept["__id"]) & (keyed["__text"] == kept["__key"]), "left_semi")

@@ -1,0 +1,56 @@
+import corpus_pipeline
+import pytest
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """Rows before and after each stage."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs, out = spark.read.parquet(f"{sf_dir}/documents.parquet"), {}
+    folder = tmp_path_factory.mktemp("stages")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        after = stage(spark, docs, sf_dir)
+        after.write.parquet(f"{folder}/{k}")
+        after = spark.read.parquet(f"{folder}/{k}")
+        out[name] = docs, after
+        docs = after
+    return out
+
+
+def rows(df):
+    return {r["doc_id"]: r["text"] for r in df.collect()}
+
+
+def test_columns_and_order(stages):
+    names = list(stages)
+    assert names == ["quality classifier", "near-duplicates", "substring dedup", "benchmark decontamination", "pieces"]
+    for name in names[:-1]:
+        before, after = stages[name]
+        assert sorted(after.columns) == sorted(before.columns)
+
+
+def test_each_stage_takes_effect_and_keeps_the_rest(spark, stages):
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    before, after = map(rows, stages["quality classifier"])
+    good = [d for d in before if labels.get(d) == 1]
+    assert len(good) - sum(d in after for d in good) <= 0.01 * len(good) and all(after[d] == before[d] for d in after)
+    assert sum(d in after for d in before if labels.get(d) == 0) < 0.3 * sum(labels.get(d) == 0 for d in before)
+
+    from test_dart_minhash import brute as classes
+    from test_decontamination import brute as leaks
+    from test_substrings import brute as repeats
+
+    before, after = map(rows, stages["near-duplicates"])
+    assert sorted(after) == sorted({c for _, c in classes(sorted(before.items()))})
+    before, after = map(rows, stages["substring dedup"])
+    cut = {d: n for d, _, n, _ in repeats(sorted(before.items()))}
+    assert all((after[d] == before[d]) == (cut[d] == 0) and len(after[d].split()) == len(before[d].split()) - cut[d] for d in before) and any(cut.values())
+    before, after = map(rows, stages["benchmark decontamination"])
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    assert set(before) - set(after) == {d for d, _ in leaks(sorted(before.items()), items)}
+    before, after = map(rows, stages["pieces"])
+    assert before == after and stages["pieces"][1].where("n_pieces != size(piece_ids)").count() == 0
+
+
+def test_run_gives_the_last_stage(spark, stages):
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.01").select("doc_id").exceptAll(stages["pieces"][1].select("doc_id")).isEmpty()
