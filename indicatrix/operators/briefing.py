@@ -62,8 +62,8 @@ def crisis_impact(summary: DataFrame) -> DataFrame:
                                                               rounded(growth, 4).alias("mean_growth"), impact.alias("impact"))
 
 
-def secondary_findings(report: DataFrame, keywords: Sequence[tuple[str, str]], limit: int = 6) -> DataFrame:
-    """Latest-value rows of indicators whose name holds a keyword, first keyword first, at most ``limit`` per entity (a report's own cap)."""
+def secondary_findings(report: DataFrame, keywords: Sequence[tuple[str, str]], limit: int | None = None) -> DataFrame:
+    """Latest-value rows of indicators whose name holds a keyword, first keyword first, numbered per entity; ``limit`` is a report's own cap."""
     rank = None
     label = None
     for i, (word, name) in enumerate(keywords):
@@ -72,7 +72,8 @@ def secondary_findings(report: DataFrame, keywords: Sequence[tuple[str, str]], l
         label = F.when(test, name) if label is None else label.when(test, name)
     kept = report.withColumn("_r", rank).withColumn("topic", label).where("_r is not null")
     order = Window.partitionBy("entity").orderBy("_r", "indicator")
-    return kept.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit).drop("_r")
+    numbered = kept.withColumn("position", F.row_number().over(order)).drop("_r")
+    return numbered if limit is None else numbered.where(F.col("position") <= limit)
 
 
 def relations(summary: DataFrame) -> DataFrame:

@@ -197,7 +197,7 @@ def transform_all(raw: dict[str, DataFrame], **options) -> dict[str, DataFrame]:
     return {key: transform_pillar(df, key, **options) for key, df in raw.items() if key in PILLARS}
 
 
-def timeseries(fact: DataFrame, first_year: int, last_year: int, columns: Sequence[str], limit: int | None = 1000) -> DataFrame:
+def timeseries(fact: DataFrame, first_year: int, last_year: int, columns: Sequence[str], limit: int | None = None) -> DataFrame:
     """Year range, column subset and row limit of one fact, in key order: the parameterised fetch of a report page."""
     start, stop = F.lit(date(first_year, 1, 1)), F.lit(date(last_year, 12, 31))
     kept = fact.where(F.col("period_start").between(start, stop)).select("entity", "date_key", *columns)

@@ -53,7 +53,7 @@ class RunTracker:
             yield counts
             self.record(name, pillar, duration_s=time.monotonic() - started, **counts)
         except Exception as error:
-            self.record(name, pillar, status="failed", duration_s=time.monotonic() - started, error=str(error)[:500])
+            self.record(name, pillar, status="failed", duration_s=time.monotonic() - started, error=str(error))
             raise
 
     def __enter__(self) -> "RunTracker":

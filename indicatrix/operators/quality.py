@@ -30,7 +30,7 @@ def _rows(one: DataFrame, rows: Sequence[Column]) -> DataFrame:
 def check_schema(df: DataFrame, pillar: str) -> DataFrame:
     """Expected columns against the columns there are; decided from the schema, nothing is read."""
     missing = sorted(set(PILLARS[pillar].columns) - set(df.columns))
-    status, details = ("fail", f"Missing columns: {missing}") if missing else ("pass", "All expected columns present")
+    status, details = ("fail", f"lacks {missing}") if missing else ("pass", "no column is lacking")
     return df.sparkSession.createDataFrame([(f"schema_{pillar}", pillar, status, 0, details)], CHECK_SCHEMA)
 
 
@@ -62,21 +62,22 @@ def range_extremes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _rows(one, [F.struct(F.lit(c).alias("indicator"), F.col(f"lo_{c}").alias("actual_min"), F.col(f"hi_{c}").alias("actual_max")) for c in columns])
 
 
-def check_freshness(df: DataFrame, pillar: str, end_year: int) -> DataFrame:
+def check_freshness(df: DataFrame, pillars: Sequence[Pillar], end_year: int) -> DataFrame:
+    """The newest key of pillars held in one table against the year that should be there."""
     one = df.agg(F.max("date_key").alias("newest"))
     fresh = F.col("newest").contains(str(end_year))
-    return _rows(one, [_row(f"freshness_{pillar}", pillar, F.when(fresh, "pass").otherwise("warn"), F.lit(0),
-                            F.concat(F.lit("Latest date_key: "), F.col("newest")))])
+    return _rows(one, [_row(f"freshness_{p.key}", p.key, F.when(fresh, "pass").otherwise("warn"), F.lit(0), F.concat(F.lit("newest key "), F.col("newest"))) for p in pillars])
 
 
-def check_completeness(df: DataFrame, pillar: str, expected_periods: int) -> DataFrame:
-    """Rows there are against series x periods."""
-    per_series = df.groupBy("entity").agg(F.count("*").alias("n"))
-    one = per_series.agg(F.sum("n").alias("n"), F.count("*").alias("series"))
-    expected = F.col("series") * expected_periods
+def check_completeness(df: DataFrame, pillars: Sequence[Pillar]) -> DataFrame:
+    """Rows there are against series x periods, from the first period to the last, of pillars of one grain held in one table."""
+    per_series = df.groupBy("entity").agg(F.count("*").alias("n"), F.min("period_start").alias("lo"), F.max("period_start").alias("hi"))
+    one = per_series.agg(F.sum("n").alias("n"), F.count("*").alias("series"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    step = 1 if pillars[0].grain == "month" else 3
+    expected = F.col("series") * (F.floor(F.months_between("hi", "lo") / step) + 1).cast("bigint")
     short = expected - F.col("n")
-    return _rows(one, [_row(f"completeness_{pillar}", pillar, F.when(short > 0, "warn").otherwise("pass"), F.greatest(short, F.lit(0)),
-                            F.format_string("Expected %d rows, got %d", expected, F.col("n")))])
+    return _rows(one, [_row(f"completeness_{p.key}", p.key, F.when(short > 0, "warn").otherwise("pass"), F.greatest(short, F.lit(0)), F.format_string("%d of %d rows", F.col("n"), expected))
+                       for p in pillars])
 
 
 def check_consistency(df: DataFrame) -> DataFrame:

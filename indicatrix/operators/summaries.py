@@ -16,22 +16,50 @@ HALF_SPLIT = ([(">", 5.0, "increasing"), ("<", -5.0, "decreasing")], "stable")
 MOMENTUM_GAP = ([(">", 1.0, "above trend"), ("<", -1.0, "below trend")], "near trend")
 
 
-def describe(panel: DataFrame, by: Sequence[str] = LONG, value: str = "value", digits: int = 4,
-             exact_median: bool = True) -> DataFrame:
+def _moments(value: str, digits: int) -> list[Column]:
+    v = F.col(value)
+    n, spread = F.count(v), F.stddev_pop(v)
+    skew = F.when((n > 2) & (spread > 1e-12), F.skewness(v) * F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2)).when(n > 2, 0.0)
+    return [n.alias("count"), rounded(F.avg(v), digits).alias("mean"), rounded(F.when(n > 1, F.stddev_samp(v)), digits).alias("std"), rounded(F.min(v), digits).alias("min"),
+            rounded(F.max(v), digits).alias("max"), rounded(skew, digits).alias("skewness")]
+
+
+DESCRIBED = ["count", "mean", "median", "std", "min", "max", "skewness"]
+
+
+def describe(panel: DataFrame, by: Sequence[str] = LONG, value: str = "value", digits: int = 4) -> DataFrame:
     """count, mean, median, sample std, min, max and bias-corrected skewness, each null below its minimum count.
 
-    The exact median keeps a group's distinct values in one buffer: right for a series (one value per period). Groups that
-    grow with the raw data should pass ``exact_median=False``.
+    For series: a group's distinct values, one for each period, lie in one buffer for the median. See ``describe_large`` for groups of raw rows.
     """
-    v = F.col(value)
-    n = F.count(v)
-    median = F.percentile(v, F.lit(0.5)) if exact_median else F.percentile_approx(v, 0.5, 10_000)
-    spread = F.stddev_pop(v)
-    skew = F.when((n > 2) & (spread > 1e-12), F.skewness(v) * F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2)).when(n > 2, 0.0)
-    return panel.groupBy(*by).agg(
-        n.alias("count"), rounded(F.avg(v), digits).alias("mean"), rounded(median, digits).alias("median"),
-        rounded(F.when(n > 1, F.stddev_samp(v)), digits).alias("std"), rounded(F.min(v), digits).alias("min"),
-        rounded(F.max(v), digits).alias("max"), rounded(skew, digits).alias("skewness"))
+    return panel.groupBy(*by).agg(*_moments(value, digits), rounded(F.percentile(F.col(value), F.lit(0.5)), digits).alias("median")).select(*by, *DESCRIBED)
+
+
+def describe_large(rows: DataFrame, by: Sequence[str] = LONG, value: str = "value", digits: int = 4, bins: int = 4096) -> DataFrame:
+    """The same statistics, exact too, of groups that no task could hold."""
+    return rows.groupBy(*by).agg(*_moments(value, digits)).join(exact_median(rows, by, value, bins), list(by)).select(*by, *[rounded(c, digits).alias(c) if c == "median" else c for c in DESCRIBED])
+
+
+def exact_median(rows: DataFrame, by: Sequence[str], value: str = "value", bins: int = 4096) -> DataFrame:
+    """The median of each group by rank: equal values are counted first, a histogram of ``bins`` bins says where the middle lies, and only those bins are ordered."""
+    by, v = list(by), F.col(value)
+    counts = rows.where(v.isNotNull()).groupBy(*by, v.alias("_v")).agg(F.count("*").alias("_c"))
+    span = counts.groupBy(*by).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(0)
+    binned = counts.join(span, by).withColumn("_bin", place)
+    histogram = binned.groupBy(*by, "_bin").agg(F.sum("_c").alias("_in"), F.first("_n").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as bins
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    middle = histogram.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0))) \
+        .where((low >= F.col("_before")) & (low < F.col("_before") + F.col("_in")) | (high >= F.col("_before")) & (high < F.col("_before") + F.col("_in"))) \
+        .select(*by, "_bin", "_before")
+    within = Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = binned.join(middle, [*by, "_bin"]).withColumn("_first", F.col("_before") + F.coalesce(F.sum("_c").over(within), F.lit(0)))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("_first")) & (rank < F.col("_first") + F.col("_c")), F.col("_v")))
+
+    return ranked.groupBy(*by).agg(((at(low) + at(high)) / 2).alias("median"))
 
 
 def half_split(panel: DataFrame, by: Sequence[str] = LONG, period: str = "year", value: str = "value") -> DataFrame:

@@ -49,7 +49,7 @@ FROM (SELECT entity, indicator, w.label, avg("value") AS mv, avg(growth_pct) AS
         "monthly", "quarterly", extra=_E),
     "briefing_secondary": facts(f"""SELECT * FROM (SELECT entity, indicator, {TOPIC} AS topic, CAST(row_number() OVER (PARTITION BY entity ORDER BY {RANK}, indicator) AS INTEGER) AS position,
   latest, mean, min, max FROM (SELECT entity, indicator, arg_max(v, period_start) AS latest, round(avg(v), 4) AS mean, min(v) AS min, max(v) AS max FROM (UNPIVOT (
-  SELECT entity, period_start, {", ".join(SECONDARY)} FROM monthly) ON {", ".join(SECONDARY)} INTO NAME indicator VALUE v) GROUP BY 1, 2)) WHERE position <= 6"""),
+  SELECT entity, period_start, {", ".join(SECONDARY)} FROM monthly) ON {", ".join(SECONDARY)} INTO NAME indicator VALUE v) GROUP BY 1, 2))"""),
     "briefing_relations": facts(f"""SELECT entity, 'growth_unemployment' AS relation, CASE WHEN g > 2 AND ut = 'decreasing' THEN 'strong' WHEN g > 0 AND ut <> 'decreasing' THEN 'weak'
   ELSE 'consistent_weakness' END AS relationship FROM w
 UNION ALL SELECT entity, 'rates_credit', CASE WHEN rt = 'decreasing' AND ct = 'increasing' THEN 'strong' WHEN rt = 'decreasing' THEN 'impaired' WHEN rt = 'increasing' AND ct = 'decreasing'

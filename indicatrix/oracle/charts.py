@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from indicatrix.oracle.base import facts
 from indicatrix.oracle.cleaning import lerp
-from indicatrix.plans.charts import MATRIX, PANELS, TIMELINE
+from indicatrix.plans.charts import MATRIX, TIMELINE
 from indicatrix.plans.economy import CRISIS_WINDOWS
 from indicatrix.registry import PILLARS
 
@@ -33,7 +33,10 @@ SQL = {
     "chart_correlations": facts(PAIRS, "monthly", "quarterly", extra=QM),
     "chart_panels": facts(f"""SELECT entity, indicator, latest_at, round(latest, 4) AS latest, round(latest - before, 4) AS change FROM (SELECT entity, indicator, max(period_start) AS latest_at,
   max(v) FILTER (k = 1) AS latest, coalesce(max(v) FILTER (k = 13), arg_min(v, period_start)) AS before FROM (SELECT *, row_number() OVER (PARTITION BY entity, indicator ORDER BY period_start DESC) AS k
-  FROM (UNPIVOT (SELECT entity, period_start, {", ".join(PANELS)} FROM monthly) ON {", ".join(PANELS)} INTO NAME indicator VALUE v)) GROUP BY 1, 2)"""),
+  FROM (SELECT * FROM (UNPIVOT (SELECT entity, period_start, unemployment_rate, total_credit, portugal_10y_bond_yield, hicp FROM monthly)
+    ON unemployment_rate, total_credit, portugal_10y_bond_yield, hicp INTO NAME indicator VALUE v) UNION ALL
+  SELECT * FROM (UNPIVOT (SELECT entity, period_start, nominal_gdp, debt_to_gdp_ratio FROM quarterly) ON nominal_gdp, debt_to_gdp_ratio INTO NAME indicator VALUE v))) GROUP BY 1, 2)""",
+        "monthly", "quarterly"),
     "chart_phillips_means": facts("""SELECT entity, year, count(*) AS n, round(avg(unemployment_rate), 4) AS x, round(avg(hicp), 4) AS y FROM monthly
 WHERE unemployment_rate IS NOT NULL AND hicp IS NOT NULL GROUP BY 1, 2"""),
     "chart_timeline": facts(f"SELECT entity, period_start, {', '.join(scale(c, c) for c in TIMELINE)} FROM monthly WINDOW e AS (PARTITION BY entity)"),

@@ -48,7 +48,7 @@ FROM monthly JOIN (VALUES ('pre_crisis', 1995, 1996), ('troika', 1996, 1997), ('
   ('post_covid', 2001, 2001)) p(period, a, b) ON year BETWEEN a AND b GROUP BY 1, 2"""),
     "lagged_pairs": facts(LAGS), "lagged_join": facts(LAGS),
     "policy_steps": f"""WITH {CAL}, ch AS (SELECT c_mktsegment AS entity, CAST(o_orderdate AS DATE) AS d, max(o_totalprice) AS price
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 450000 GROUP BY 1, 2),
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
 sp AS (SELECT s.entity, last_day(full_date) AS period_end FROM (SELECT DISTINCT c_mktsegment AS entity FROM customer) s CROSS JOIN cal
   WHERE month IS NOT NULL AND full_date < DATE '2001-08-01')
 SELECT sp.entity, period_end, price FROM sp ASOF LEFT JOIN ch ON sp.entity = ch.entity AND sp.period_end >= ch.d""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from indicatrix.operators.quality import NEVER_EMPTY
 from indicatrix.oracle.base import facts
 from indicatrix.oracle.panels import CQ, UD
-from indicatrix.plans.quality import ALERTED, CHECKED, MONTHLY, QUARTERLY
+from indicatrix.plans.quality import CHECKED, MONTHLY, QUARTERLY
 from indicatrix.registry import ALERT_RULES
 
 
@@ -33,31 +33,35 @@ def consistency() -> str:
   {c} || ' violations' AS details FROM monthly""" for n, p, c in rules)
 
 
-def complete(source: str, pillar: str, periods: int) -> str:
-    want = f"count(DISTINCT entity) * {periods}"
-    return f"""SELECT 'completeness_{pillar}' AS check, '{pillar}' AS pillar, CASE WHEN {want} > count(*) THEN 'warn' ELSE 'pass' END AS status,
-  greatest({want} - count(*), 0) AS affected_rows, 'Expected ' || {want} || ' rows, got ' || count(*) AS details FROM {source}"""
+def complete(source: str, grain: str, pillars) -> str:
+    want = f"count(DISTINCT entity) * (date_diff('{grain}', min(period_start), max(period_start)) + 1)"
+    return " UNION ALL ".join(f"""SELECT 'completeness_{p.key}' AS check, '{p.key}' AS pillar, CASE WHEN {want} > count(*) THEN 'warn' ELSE 'pass' END AS status,
+  greatest({want} - count(*), 0) AS affected_rows, count(*) || ' of ' || {want} || ' rows' AS details FROM {source}""" for p in pillars)
 
 
-def fresh(source: str, pillar: str, year: int) -> str:
-    return f"""SELECT 'freshness_{pillar}' AS check, '{pillar}' AS pillar, CASE WHEN contains(max(date_key), '{year}') THEN 'pass' ELSE 'warn' END AS status,
-  0::BIGINT AS affected_rows, 'Latest date_key: ' || max(date_key) AS details FROM {source}"""
+def fresh(source: str, pillars, year: int) -> str:
+    return " UNION ALL ".join(f"""SELECT 'freshness_{p.key}' AS check, '{p.key}' AS pillar, CASE WHEN contains(max(date_key), '{year}') THEN 'pass' ELSE 'warn' END AS status,
+  0::BIGINT AS affected_rows, 'newest key ' || max(date_key) AS details FROM {source}""" for p in pillars)
 
 
+COMPLETE = complete('monthly', 'month', MONTHLY) + " UNION ALL " + complete('quarterly', 'quarter', QUARTERLY)
 PANEL = f"""cp AS (SELECT * FROM (UNPIVOT (SELECT entity, period_start, year, {", ".join(CHECKED)} FROM monthly) ON {", ".join(CHECKED)}
   INTO NAME indicator VALUE "value"))"""
 RULES = "(VALUES " + ", ".join(f"('{i}', '{d}', '{s}', '{side}', {t}::DOUBLE)" for i, d, s, side, t in ALERT_RULES) + ") r(indicator, description, severity, side, threshold)"
-LATEST = f"""la AS (SELECT entity, indicator, max(period_start) AS period_start, arg_max("value", period_start) AS "value" FROM (UNPIVOT (
-  SELECT entity, period_start, {", ".join(ALERTED)} FROM monthly) ON {", ".join(ALERTED)} INTO NAME indicator VALUE "value") GROUP BY 1, 2)"""
+LATEST = """la AS (SELECT entity, indicator, max(period_start) AS period_start, arg_max("value", period_start) AS "value" FROM (
+  SELECT * FROM (UNPIVOT (SELECT entity, period_start, unemployment_rate, hicp, npl_ratio, portugal_10y_bond_yield FROM monthly)
+    ON unemployment_rate, hicp, npl_ratio, portugal_10y_bond_yield INTO NAME indicator VALUE "value")
+  UNION ALL SELECT * FROM (UNPIVOT (SELECT entity, period_start, gdp_growth_yoy, debt_to_gdp_ratio FROM quarterly) ON gdp_growth_yoy, debt_to_gdp_ratio
+    INTO NAME indicator VALUE "value")) GROUP BY 1, 2)"""
 FIRED = """((side = 'above' AND "value" > threshold) OR (side = 'below' AND "value" < threshold))"""
 ALERTS = f'SELECT indicator, entity, period_start, "value", description, severity, side, threshold FROM la JOIN {RULES} USING (indicator) WHERE {FIRED}'
 
 SQL = {
     "value_checks": facts(f"{values(MONTHLY, 'monthly')} UNION ALL {values(QUARTERLY, 'quarterly')}", "monthly", "quarterly"),
     "range_extremes": facts(" UNION ALL ".join(f"SELECT '{c}' AS indicator, min({c}) AS actual_min, max({c}) AS actual_max FROM monthly" for c in CHECKED)),
-    "completeness_checks": facts(f"{complete('monthly', 'unemployment', 80)} UNION ALL {complete('quarterly', 'gdp', 27)}", "monthly", "quarterly"),
+    "completeness_checks": facts(COMPLETE, "monthly", "quarterly"),
     "consistency_checks": facts(consistency()),
-    "freshness_checks": facts(f"{fresh('monthly', 'credit', 2001)} UNION ALL {fresh('quarterly', 'gdp', 2002)}", "monthly", "quarterly"),
+    "freshness_checks": facts(f"{fresh('monthly', MONTHLY, 2001)} UNION ALL {fresh('quarterly', QUARTERLY, 2002)}", "monthly", "quarterly"),
     "outlier_rows": f"""WITH {UD} SELECT entity, period_start, "value", round(z, 4) AS z FROM (SELECT entity, period_start, "value",
   CASE WHEN count(*) OVER e >= 10 THEN abs("value" - avg("value") OVER e) / NULLIF(stddev_samp("value") OVER e, 0) END AS z FROM ud
   WINDOW e AS (PARTITION BY entity)) WHERE z > 3""",
@@ -76,10 +80,10 @@ FROM (SELECT entity, date_key, count(*) AS n FROM monthly GROUP BY 1, 2) GROUP B
   date_diff('quarter', min(period_start), max(period_start)) + 1 AS expected FROM cq GROUP BY 1) WHERE expected > n""",
     "quality_summary": facts(f"""SELECT count(*) AS total, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'warn') AS warnings,
   count(*) FILTER (status = 'fail') AS failures, count(*) FILTER (status = 'fail') > 0 AS blocks FROM ({values(MONTHLY, 'monthly')} UNION ALL
-  {values(QUARTERLY, 'quarterly')} UNION ALL {consistency()} UNION ALL {complete('monthly', 'unemployment', 80)} UNION ALL {complete('quarterly', 'gdp', 27)})""", "monthly", "quarterly"),
-    "threshold_alerts": facts(ALERTS, extra=LATEST),
+  {values(QUARTERLY, 'quarterly')} UNION ALL {consistency()} UNION ALL {COMPLETE})""", "monthly", "quarterly"),
+    "threshold_alerts": facts(ALERTS, "monthly", "quarterly", extra=LATEST),
     "alert_summary": facts(f"""SELECT entity, count(*) AS total, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning
-FROM ({ALERTS}) GROUP BY 1""", extra=LATEST),
+FROM ({ALERTS}) GROUP BY 1""", "monthly", "quarterly", extra=LATEST),
     "user_alerts": f"""WITH {UD} SELECT entity, 'error_share' AS indicator, period_start, v AS "value", 'Errors (%)' AS description, severity, 'above' AS side, threshold
 FROM (SELECT entity, max(period_start) AS period_start, arg_max(100.0::DOUBLE * n_errors / n_events, period_start) AS v FROM ud GROUP BY 1)
 JOIN (VALUES ('warning', 20.0::DOUBLE), ('critical', 50.0::DOUBLE)) r(severity, threshold) ON v > threshold""",

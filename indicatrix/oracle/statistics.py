@@ -51,8 +51,8 @@ def corr(keys: str, source: str, x: str, y: str, where: str = "true", min_n: int
     return f"""SELECT {keys}, n, round(r, 4) AS r, round(p, 6) AS p_value,
   CASE WHEN r IS NULL THEN 'insufficient data' WHEN abs(round(r, 4)) >= 0.7 THEN 'strong' WHEN abs(round(r, 4)) >= 0.4 THEN 'moderate' ELSE 'weak' END AS strength,
   round(p, 6) < 0.05 AS significant FROM (
-  SELECT *, CASE WHEN n > 2 THEN {f_p("r * r * (n - 2) / greatest(1 - r * r, 1e-18)", "1", "n - 2")} END AS p FROM (
-  SELECT {keys}, n, CASE WHEN n >= 3 THEN sxy / sqrt(sxx * syy) END AS r FROM (
+  SELECT *, CASE WHEN n > 2 AND r IS NOT NULL THEN {f_p("r * r * (n - 2) / greatest(1 - r * r, 1e-18)", "1", "n - 2")} END AS p FROM (
+  SELECT {keys}, n, CASE WHEN n >= 3 AND sxx > 1e-12 AND syy > 1e-12 THEN greatest(-1, least(1, sxy / sqrt(sxx * syy))) END AS r FROM (
   SELECT {keys}, CAST(regr_count({y}, {x}) AS BIGINT) AS n, regr_sxx({y}, {x}) AS sxx, regr_syy({y}, {x}) AS syy, regr_sxy({y}, {x}) AS sxy
   FROM {source} WHERE {where} GROUP BY ALL) WHERE n >= {min_n}))"""
 

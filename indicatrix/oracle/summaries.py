@@ -70,16 +70,14 @@ SQL = {
     "annual_matrix": facts(f"""SELECT * FROM (SELECT entity, year, {", ".join(f"round(avg({c}), 4) AS {c}" for c in ("real_gdp", "debt_to_gdp_ratio", "gdp_growth_yoy"))}
   FROM quarterly GROUP BY 1, 2) JOIN (SELECT entity, year, {", ".join(f"round(avg({c}), 4) AS {c}" for c in PRIMARY if c not in ("real_gdp", "debt_to_gdp_ratio"))}
   FROM monthly GROUP BY 1, 2) USING (entity, year) WHERE {" AND ".join(f"{c} IS NOT NULL" for c in [*PRIMARY, "gdp_growth_yoy"])}""", "monthly", "quarterly"),
-    "null_counts": facts("""SELECT entity, n_rows, round((a + b + c + d + e) * 100.0 / (n_rows * 5), 4) AS null_pct, unnest(['unemployment_rate', 'total_credit', 'npl_ratio',
-  'euribor_3m', 'hicp']) AS column_name, unnest([a, b, c, d, e]) AS n_null FROM (SELECT entity, count(*) AS n_rows, count(*) FILTER (unemployment_rate IS NULL) AS a,
-  count(*) FILTER (total_credit IS NULL) AS b, count(*) FILTER (npl_ratio IS NULL) AS c, count(*) FILTER (euribor_3m IS NULL) AS d,
-  count(*) FILTER (hicp IS NULL) AS e FROM monthly GROUP BY 1)"""),
+    "null_counts": facts(f"""SELECT entity, n_rows, round(({" + ".join(f"x{k}" for k in range(len(MONTHLY)))}) * 100.0 / (n_rows * {len(MONTHLY)}), 4) AS null_pct,
+  unnest([{", ".join(f"'{c}'" for c in MONTHLY)}]) AS column_name, unnest([{", ".join(f"x{k}" for k in range(len(MONTHLY)))}]) AS n_null
+FROM (SELECT entity, count(*) AS n_rows, {", ".join(f"count(*) FILTER ({c} IS NULL) AS x{k}" for k, c in enumerate(MONTHLY))} FROM monthly GROUP BY 1)"""),
     "duplicate_orders": "SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1",
     "annualised_output": facts("""SELECT entity, count(*) AS quarters, round(sum(nominal_gdp), 2) AS annual_nominal_gdp FROM (SELECT * FROM quarterly
   QUALIFY row_number() OVER (PARTITION BY entity ORDER BY period_start DESC) <= 4) GROUP BY 1""", "quarterly"),
     "quarter_means": facts("""SELECT entity, q AS period_start, months, round(u, 4) AS mean_rate, round(u - lag(u) OVER (PARTITION BY entity ORDER BY q), 4) AS rate_change
 FROM (SELECT entity, CAST(date_trunc('quarter', period_start) AS DATE) AS q, avg(unemployment_rate) AS u, count(*) AS months FROM monthly GROUP BY 1, 2)"""),
     "last_36_months": facts("""SELECT entity, period_start, total_credit FROM monthly QUALIFY row_number() OVER (PARTITION BY entity ORDER BY period_start DESC) <= 36"""),
-    "order_statistics": f"""SELECT o_orderpriority, count(*) AS count, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS min,
-  round(max(v), 4) AS max FROM (SELECT o_orderpriority, CAST({_P} AS DOUBLE) AS v FROM orders) GROUP BY 1""",
+    "order_statistics": describe("o_orderpriority", "v", f"(SELECT o_orderpriority, CAST({_P} AS DOUBLE) AS v FROM orders)"),
 }

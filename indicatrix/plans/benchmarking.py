@@ -11,7 +11,7 @@ from indicatrix.registry import BENCHMARK_INDICATORS
 
 SOURCE = {"gdp_growth": "gdp_growth_yoy", "unemployment": "unemployment_rate", "inflation": "hicp", "debt_to_gdp": "debt_to_gdp_ratio",
           "interest_rate_10y": "portugal_10y_bond_yield"}
-FOCAL = [f"NATION_{i}" for i in range(5)]
+FOCAL = [f"NATION_{i}" for i in range(25)]  # the nation table has a fixed 25 rows
 
 
 def benchmark_panel(spark: SparkSession, sf_dir: str) -> DataFrame:

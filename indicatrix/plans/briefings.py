@@ -52,7 +52,7 @@ def briefing_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def briefing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole briefing of each entity as one JSON text."""
-    summary = _summary(economy(spark, sf_dir).shared())
+    summary = _summary(economy(spark, sf_dir).shared(*PRIMARY))
     heads = br.headline(summary).withColumn("latest_value", rounded("latest_value", 2))
     doc = br.document(heads, br.relations(summary), br.overall_tone(heads))
     return doc.select("entity", "tone", F.size("pillar_insights").alias("n_insights"), F.size("cross_pillar_insights").alias("n_relations"),

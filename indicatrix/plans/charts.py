@@ -12,7 +12,7 @@ from indicatrix.operators.windows import interpolate, trailing, whole_series
 from indicatrix.plans.economy import economy, to_panel
 
 POLICY, BOND = "ecb_main_refinancing_rate", "portugal_10y_bond_yield"
-PANELS = ["unemployment_rate", "total_credit", POLICY, "hicp"]
+PANELS = ["nominal_gdp", "unemployment_rate", "total_credit", BOND, "hicp", "debt_to_gdp_ratio"]
 TIMELINE = ["unemployment_rate", "hicp", POLICY, "npl_ratio"]
 MATRIX = ["real_gdp", "unemployment_rate", "total_credit", "npl_ratio", POLICY, "hicp", "debt_to_gdp_ratio", "budget_deficit"]
 
@@ -55,7 +55,7 @@ def chart_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chart_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest value of each panel and its change against 12 observations back, or the first."""
-    panel = to_panel(economy(spark, sf_dir).monthly, PANELS).where("value is not null")
+    panel = to_panel(economy(spark, sf_dir).mixed, PANELS).where("value is not null")
     back = F.row_number().over(Window.partitionBy("entity", "indicator").orderBy(F.desc("period_start")))
     one = panel.withColumn("k", back).groupBy("entity", "indicator").agg(
         F.max(F.when(F.col("k") == 1, F.col("value"))).alias("latest"), F.max("period_start").alias("latest_at"),

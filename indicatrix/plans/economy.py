@@ -207,14 +207,14 @@ class Warehouse:
     def mixed(self) -> DataFrame:
         return self._builders["mixed"]()
 
-    def shared(self) -> "Warehouse":
-        """The same warehouse with its panel written once to the checkpoint folder.
+    def shared(self, *columns: str) -> "Warehouse":
+        """The same warehouse with the named columns of its panel written once to the checkpoint folder; a query names all it needs.
 
         For plans with several branches over the facts: they then read a few thousand panel rows instead of running the
         pass over the raw tables once per branch. The panel survives the loss of executors.
         """
         ensure_checkpoint_dir(self.mixed.sparkSession)
-        panel = self.mixed.checkpoint()
+        panel = self.mixed.select("entity", "grain", "period_start", "date_key", *columns).checkpoint()
 
         def of(grain: str) -> DataFrame:
             return panel.where(F.col("grain") == grain).drop("grain")

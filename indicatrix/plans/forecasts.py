@@ -56,7 +56,7 @@ def smoothing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unemployment_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean reversion of the smoothed rate towards the mean of the raw one."""
-    panel = _monthly(economy(spark, sf_dir).shared(), "unemployment_rate")
+    panel = _monthly(economy(spark, sf_dir).shared("unemployment_rate"), "unemployment_rate")
     smooth = fc.smooth_with(panel, fc.best_alpha(panel, [i / 20 for i in range(1, 20)]))
     targets = panel.groupBy("entity", "indicator").agg(F.avg("value").alias("target"))
     return _round(fc.mean_reversion(smooth, 12, "month", targets=targets))
@@ -116,7 +116,7 @@ def ensemble_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ensemble_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates: trend and mean reversion. Credit: trend and log trend. Weighted by their backtest errors."""
-    wh = economy(spark, sf_dir).shared()
+    wh = economy(spark, sf_dir).shared(*REVERTING, "total_credit")
     rates, credit = _monthly(wh, *REVERTING), _monthly(wh, "total_credit")
     weights = fc.model_weights(_scores(rates, ["linear", "mean_reversion"], 12)).unionByName(
         fc.model_weights(_scores(credit, ["linear", "log_linear"], 12)))
@@ -139,7 +139,7 @@ def order_search_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def full_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four kinds of models on the rate, each scored on the last three splits."""
-    panel = _monthly(economy(spark, sf_dir).shared(), "unemployment_rate", "hicp")
+    panel = _monthly(economy(spark, sf_dir).shared("unemployment_rate", "hicp"), "unemployment_rate", "hicp")
     def splits(n: int) -> list[int]:
         return [n - k * 12 for k in (3, 2, 1) if n - k * 12 >= 12]
     scored = _scores(panel, ["linear", "mean_reversion"], 12).unionByName(

@@ -50,7 +50,7 @@ def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def upserted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Restated values for 2001: of two versions of a month the later wins, other months stay."""
-    base = economy(spark, sf_dir).shared().monthly.select("entity", "date_key", "unemployment_rate")
+    base = economy(spark, sf_dir).shared("unemployment_rate").monthly.select("entity", "date_key", "unemployment_rate")
     late = base.where(F.col("date_key") >= "2001-01")
     first = late.withColumn("version", F.lit(1)).withColumn("unemployment_rate", F.col("unemployment_rate") + 1)
     second = late.where(F.col("date_key") >= "2001-04").withColumn("version", F.lit(2)).withColumn("unemployment_rate", F.col("unemployment_rate") + 2)

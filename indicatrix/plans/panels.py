@@ -69,20 +69,20 @@ def lagged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lagged_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same pairs by shifted equi-join, for cause and effect from different tables."""
-    monthly = economy(spark, sf_dir).shared().monthly
+    monthly = economy(spark, sf_dir).shared("ecb_main_refinancing_rate", "total_credit").monthly
     pairs = joins.lag_join(monthly, "ecb_main_refinancing_rate", "total_credit", [0, 3, 6, 12])
     return pairs.groupBy("entity", "lag").agg(F.count("*").alias("n"), rounded(F.sum("cause"), 4).alias("sum_cause"),
                                               rounded(F.sum("effect"), 2).alias("sum_effect"))
 
 
 def policy_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As-of: the last large order's price per segment, known only on change dates, read at each month end."""
+    """As-of: the last day's highest order price per segment, known only on days with orders, read at each month end."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     # one row per customer and day before the join, so that a customer with very many orders is no hot key in it
-    days = orders.where("o_totalprice > 450000").groupBy("o_custkey", F.col("o_orderdate").cast("date").alias("change_date")).agg(
+    days = orders.groupBy("o_custkey", F.col("o_orderdate").cast("date").alias("change_date")).agg(
         F.max("o_totalprice").alias("price"))
-    large = days.join(customer, days.o_custkey == customer.c_custkey)
-    changes = large.groupBy(F.col("c_mktsegment").alias("entity"), "change_date").agg(F.max("price").alias("price"))
+    daily = days.join(customer, days.o_custkey == customer.c_custkey)
+    changes = daily.groupBy(F.col("c_mktsegment").alias("entity"), "change_date").agg(F.max("price").alias("price"))
     months = calendar(spark, CALENDAR_FROM, "2001-07-31").where("month is not null").select(F.last_day("full_date").alias("period_end"))
     segments = customer.select(F.col("c_mktsegment").alias("entity")).distinct()
     return joins.as_of(changes, segments.join(F.broadcast(months)), "price")
@@ -90,14 +90,14 @@ def policy_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outer_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three series with different gaps on one key."""
-    m = economy(spark, sf_dir).shared().monthly
+    m = economy(spark, sf_dir).shared("hicp", "npl_ratio", "unemployment_rate").monthly
     parts = [m.where("hicp < 2").select("entity", "date_key", "hicp"), m.where("npl_ratio > 6").select("entity", "date_key", "npl_ratio"),
              m.where("unemployment_rate > 30").select("entity", "date_key", "unemployment_rate")]
     return joins.outer_merge(parts, ["entity", "date_key"])
 
 
 def annual_to_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quarters = economy(spark, sf_dir).shared().quarterly.select("entity", "period_start", "nominal_gdp")
+    quarters = economy(spark, sf_dir).shared("nominal_gdp").quarterly.select("entity", "period_start", "nominal_gdp")
     years = quarters.groupBy("entity", F.trunc("period_start", "year").alias("period_start")).agg(rounded(F.sum("nominal_gdp")).alias("annual"))
     return joins.broadcast_down(quarters, years, "annual")
 
@@ -208,7 +208,7 @@ def indicator_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stacked_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide pillars of both grains stacked into the long form with a source name."""
-    wh = economy(spark, sf_dir).shared()
+    wh = economy(spark, sf_dir).shared("unemployment_rate", "hicp", "real_gdp")
     monthly = to_panel(wh.monthly, ["unemployment_rate", "hicp"], ("entity", "date_key")).withColumn("source_name", F.lit("Eurostat"))
     quarterly = to_panel(wh.quarterly, ["real_gdp"], ("entity", "date_key")).withColumn("source_name", F.lit("INE"))
     return monthly.unionByName(quarterly).join(sources(spark).select("source_key", "source_name"), "source_name")

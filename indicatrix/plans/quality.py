@@ -12,8 +12,9 @@ from indicatrix.registry import ALERT_RULES, PILLARS
 
 MONTHLY = [p for p in PILLARS.values() if p.grain == "month"]
 QUARTERLY = [p for p in PILLARS.values() if p.grain == "quarter"]
-CHECKED = ["unemployment_rate", "youth_unemployment_rate", "hicp", "core_inflation", "npl_ratio", "euribor_3m"]
-ALERTED = ["unemployment_rate", "hicp", "npl_ratio", "portugal_10y_bond_yield"]
+CHECKED = [c for p in MONTHLY for c in p.columns]
+VALUES = [c for p in PILLARS.values() for c in p.columns]
+ALERTED = sorted({rule[0] for rule in ALERT_RULES})
 
 
 def _panel(wh: Warehouse) -> DataFrame:
@@ -21,7 +22,7 @@ def _panel(wh: Warehouse) -> DataFrame:
 
 
 def value_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(economy(spark, sf_dir).shared())
+    return _values(economy(spark, sf_dir).shared(*VALUES))
 
 
 def _values(wh: Warehouse) -> DataFrame:
@@ -37,7 +38,7 @@ def completeness_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _completeness(wh: Warehouse) -> DataFrame:
-    return dq.check_completeness(wh.monthly, "unemployment", 80).unionByName(dq.check_completeness(wh.quarterly, "gdp", 27))
+    return dq.check_completeness(wh.monthly, MONTHLY).unionByName(dq.check_completeness(wh.quarterly, QUARTERLY))
 
 
 def consistency_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def consistency_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def freshness_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     wh = economy(spark, sf_dir)
-    return dq.check_freshness(wh.monthly, "credit", 2001).unionByName(dq.check_freshness(wh.quarterly, "gdp", 2002))
+    return dq.check_freshness(wh.monthly, MONTHLY, 2001).unionByName(dq.check_freshness(wh.quarterly, QUARTERLY, 2002))
 
 
 def outlier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,12 +91,12 @@ def missing_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wh = economy(spark, sf_dir).shared()
+    wh = economy(spark, sf_dir).shared(*VALUES)
     return dq.roll_up(_values(wh).unionByName(dq.check_consistency(wh.monthly)).unionByName(_completeness(wh)))
 
 
 def threshold_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = to_panel(economy(spark, sf_dir).monthly, ALERTED).where("value is not null")
+    known = to_panel(economy(spark, sf_dir).mixed, ALERTED).where("value is not null")
     latest = known.groupBy("entity", "indicator").agg(F.max("period_start").alias("period_start"), F.max_by("value", "period_start").alias("value"))
     alerts = dq.check_thresholds(latest, dq.alert_rules(spark, ALERT_RULES))
     return alerts.orderBy(dq.severity_order(), "entity", "indicator")
@@ -117,7 +118,7 @@ def user_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lineage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from indicatrix.plans.cleaning import raw_from, transform_raw
 
-    wh = economy(spark, sf_dir).shared()
+    wh = economy(spark, sf_dir).shared(*PILLARS["credit"].columns, *PILLARS["public_debt"].columns)
     parts = [lineage.stage_counts(raw_from(wh, p), transform_raw(raw_from(wh, p), p), "transform", p) for p in ("credit", "public_debt")]
     return parts[0].unionByName(parts[1])
 

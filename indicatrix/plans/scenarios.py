@@ -9,8 +9,11 @@ from indicatrix.operators import scenario as sc
 from indicatrix.plans.economy import economy
 
 
+CALIBRATED = ["unemployment_rate", "gdp_growth_yoy", "total_credit", "euribor_12m"]
+
+
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    mixed = economy(spark, sf_dir).shared().mixed
+    mixed = economy(spark, sf_dir).shared(*dict.fromkeys([*sc.LATEST_MONTHLY, *sc.LATEST_QUARTERLY, *CALIBRATED])).mixed
     return sc.baseline(mixed), sc.calibrate(mixed)
 
 
@@ -19,7 +22,7 @@ def scenario_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scenario_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sc.calibrate(economy(spark, sf_dir).shared().mixed)
+    out = sc.calibrate(economy(spark, sf_dir).shared(*CALIBRATED).mixed)
     return out.withColumns({"okun": rounded("okun", 4), "credit_elasticity": rounded("credit_elasticity", 4)})
 
 

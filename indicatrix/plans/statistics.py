@@ -9,11 +9,11 @@ from indicatrix.operators import statistics as st
 from indicatrix.operators.joins import label_periods
 from indicatrix.operators.windows import by_series, lagged
 from indicatrix.plans.economy import PERIODS, Warehouse, economy, to_panel
+from indicatrix.registry import PILLARS
 
 PRIMARY = ["real_gdp", "unemployment_rate", "total_credit", "ecb_main_refinancing_rate", "hicp", "debt_to_gdp_ratio"]
 MONTHLY_PRIMARY = ["unemployment_rate", "total_credit", "ecb_main_refinancing_rate", "hicp"]
-MATRIX = ["unemployment_rate", "youth_unemployment_rate", "total_credit", "npl_ratio", "ecb_main_refinancing_rate", "euribor_12m",
-          "hicp", "core_inflation"]
+MATRIX = [c for p in PILLARS.values() if p.grain == "month" for c in p.columns]
 BREAKS = [("early_1998", 1998), ("late_2001", 2001)]
 POLICY = "ecb_main_refinancing_rate"
 
@@ -76,7 +76,7 @@ def _transmission(wh: Warehouse, effect: str) -> DataFrame:
 
 
 def rate_transmission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wh = economy(spark, sf_dir).shared()
+    wh = economy(spark, sf_dir).shared(POLICY, "total_credit", "hicp")
     return _transmission(wh, "total_credit").unionByName(_transmission(wh, "hicp"))
 
 
@@ -121,7 +121,7 @@ def correlation_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of stationary levels or, where a unit root is not rejected, first differences; redundant totals dropped."""
+    """Pairs of stationary levels or, where a unit root is not rejected, first differences, of all monthly indicators."""
     wide = economy(spark, sf_dir).monthly.select("entity", "period_start", *MATRIX)
     roots = st.unit_root(to_panel(wide, MATRIX).where("value is not null"))
     return st.pair_correlations(st.difference_columns(wide, MATRIX, roots), MATRIX)
@@ -166,7 +166,7 @@ def significance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def correlation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every correlation analysis stacked, with a note on suspiciously high values."""
     columns = ["section", "entity", "item", "n", "r", "p_value"]
-    wh = economy(spark, sf_dir).shared()
+    wh = economy(spark, sf_dir).shared(*MATRIX, "total_debt", "nominal_gdp")
     transmission = _transmission(wh, "total_credit").unionByName(_transmission(wh, "hicp"))
     pairs = st.pair_correlations(wh.monthly, MATRIX).withColumn("section", F.lit("matrix")).withColumn("item", F.concat_ws("~", "a", "b"))
     phillips = _phillips(wh).withColumn("section", F.lit("phillips")).withColumn("item", F.col("period"))

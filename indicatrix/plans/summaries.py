@@ -92,7 +92,7 @@ def annual_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sm.null_report(economy(spark, sf_dir).monthly, ["unemployment_rate", "total_credit", "npl_ratio", "euribor_3m", "hicp"], by=("entity",))
+    return sm.null_report(economy(spark, sf_dir).monthly, [c for p in PILLARS.values() if p.grain == "month" for c in p.columns], by=("entity",))
 
 
 def duplicate_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,9 +119,9 @@ def last_36_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics per priority over single orders: groups grow with the orders, so no exact median is kept."""
+    """Statistics per priority over single orders: groups grow with the orders, so the median is found by rank over counts of values."""
     orders = table(spark, sf_dir, "orders").select("o_orderpriority", as_cents("o_totalprice").cast("double").alias("value"))
-    return sm.describe(orders, by=("o_orderpriority",), exact_median=False).drop("median", "skewness")
+    return sm.describe_large(orders, by=("o_orderpriority",))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -28,7 +28,7 @@ def build_session(app: str = "indicatrix", master: str | None = None, **conf: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the session names; set a temporary one only where it is unset."""
+    """Return the shared checkpoint folder the session names. Where none is named, a local session gets a temporary one and a cluster an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if named:
@@ -37,6 +37,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return named
     current = context.getCheckpointDir()
     if current is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="indicatrix-checkpoint-"))
         current = context.getCheckpointDir()
     return current
