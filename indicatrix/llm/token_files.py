@@ -22,13 +22,17 @@ PACK_IDS = 500_000
 #: The dictionary is trained on so many documents at most, each of so many characters at most. Every document is written.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 1000, 20_000, 64 * 1024
 #: Words whose ids a task keeps at a time.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 500_000
 
 PACKS = "shard int, pack int, dict_hash string, doc_ids array<long>, n_tokens array<int>, offsets array<long>, frames binary"
 
 
 class WordEncoder:
-    """Encodes texts word by word. The tokenizer never joins ids over white space, so the ids of a text are those of its words in a row."""
+    """Encodes texts word by word, each different word once.
+
+    The tokenizer never joins ids over white space, nor over a letter and a punctuation mark, and lower-cases first: so the ids of a text are those of its words in a row,
+    marks at the end of a word may stand apart, and capitals of the English alphabet may go first, unless a special token (<|...|>) could be meant.
+    """
 
     def __init__(self, tokenizer_json: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,15 +50,20 @@ class WordEncoder:
             self.forget()
         fresh = [w for w in words if w not in self.slots]
         if fresh:
-            found = [e.ids for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
             self.slots.update(zip(fresh, range(len(self.slots), len(self.slots) + len(fresh))))
-            self.counts.append(np.fromiter(map(len, found), np.int64, len(found)))
-            self.ids.append(np.fromiter((i for ids in found for i in ids), np.uint32))
+            groups = [fresh[k:k + 256] for k in range(0, len(fresh), 256)]
+            for group, found in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+                first = np.cumsum([0] + [len(w) + 1 for w in group[:-1]])
+                word = np.searchsorted(first, [at for at, _ in found.offsets], "right") - 1
+                self.counts.append(np.bincount(word.astype(np.int64), minlength=len(group)))
+                self.ids.append(np.array(found.ids, np.uint32))
         return np.fromiter((self.slots[w] for w in words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each with the end id behind it, and how many ids each text has."""
-        split = pc.ascii_split_whitespace(texts)
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.ascii_lower(texts)
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, r"([A-Za-z0-9])([.,!?;:$%&#*]+)([ \n])", r"\1 \2\3"))
         lists = split.offsets.to_numpy().astype(np.int64)
         words = split.values.slice(lists[0], lists[-1] - lists[0]).dictionary_encode()
         slots = self._slots(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
@@ -71,8 +80,8 @@ class WordEncoder:
 def _encode(batches: Iterator[pa.RecordBatch], make_encoder) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     encoder = make_encoder()
     for batch in batches:
-        for k in range(0, batch.num_rows, 512):
-            part = batch.slice(k, 512)
+        for k in range(0, batch.num_rows, 1024):
+            part = batch.slice(k, 1024)
             ids, counts = encoder.encode(part.column("text"))
             yield part.column("doc_id").to_pylist(), ids, counts
 
