@@ -32,9 +32,9 @@ def write_report(document: DataFrame, path: str, mode: str = "overwrite") -> Non
     document.write.mode(mode).json(path)
 
 
-def write_panel(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Long panel as Parquet partitioned by indicator, so a query on a few indicators reads only their folders."""
-    panel.repartition("indicator").write.mode(mode).partitionBy("indicator").parquet(path)
+def write_panel(panel: DataFrame, path: str, mode: str = "overwrite", parts: int = 16) -> None:
+    """Long panel as Parquet partitioned by indicator, so a query on a few indicators reads only their folders; ``parts`` files of entities each."""
+    panel.repartition("indicator", F.pmod(F.xxhash64("entity"), F.lit(parts))).write.mode(mode).partitionBy("indicator").parquet(path)
 
 
 def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str], version: str | None = None) -> DataFrame:

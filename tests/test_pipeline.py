@@ -120,8 +120,8 @@ def test_quality_of_loaded_facts(spark, facts):
     with pytest.raises(dq.QualityGateError):
         dq.gate(dq.check_schema(facts["credit"].drop("npl_ratio"), "credit"))
     assert not dq.gate(checks).first()["blocks"]
-    assert dq.check_completeness(facts["gdp"], "gdp", 64).first()["status"] == "pass"
-    assert dq.check_freshness(facts["gdp"], "gdp", 2025).first()["status"] == "pass"
+    assert dq.check_completeness(facts["gdp"], [PILLARS["gdp"]]).first()["status"] == "pass"
+    assert dq.check_freshness(facts["gdp"], [PILLARS["gdp"]], 2025).first()["status"] == "pass"
     empty = facts["credit"].withColumn("total_credit", F.lit(None).cast("double"))
     assert {r["check"]: r["status"] for r in dq.check_values(empty, [PILLARS["credit"]]).collect()}["not_null_credit_total_credit"] == "fail"
     document = dq.report_document(checks, "run1").first()
@@ -156,7 +156,7 @@ def test_sinks(spark, facts, tmp_path):
     assert spark.read.parquet(str(tmp_path / "gdp")).count() == 128
     sinks.write_table(facts["gdp"].drop("period_start"), str(tmp_path / "csv"), str(tmp_path / "manifest"), "csv", fmt="csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 64
-    sinks.write_report(dq.report_document(dq.check_completeness(facts["gdp"], "gdp", 64), "r1"), str(tmp_path / "report"))
+    sinks.write_report(dq.report_document(dq.check_completeness(facts["gdp"], [PILLARS["gdp"]]), "r1"), str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).first()["run_id"] == "r1"
     panel = facts["inflation"].unpivot(["entity", "period_start"], ["hicp", "core_inflation"], "indicator", "value")
     sinks.write_panel(panel, str(tmp_path / "panel"))
