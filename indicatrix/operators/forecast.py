@@ -108,15 +108,16 @@ def _observations(panel: DataFrame, series: Sequence[str]) -> DataFrame:
 
 
 def best_alpha(panel: DataFrame, grid: Sequence[float], series: Sequence[str] = LONG) -> DataFrame:
-    """Smoothing weight with the smallest one-step error on a grid; the fold runs inside Spark on each series' array."""
-    spread = _observations(panel, series).withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in grid])))
-    start = F.struct(F.col("obs")[0]["v"].alias("s"), F.lit(0.0).alias("sse"))
-    fold = F.aggregate(
-        F.slice("obs", F.lit(2), F.greatest(F.size("obs") - 1, F.lit(0))), start,
-        lambda acc, x: F.struct((F.col("alpha") * x["v"] + (1 - F.col("alpha")) * acc["s"]).alias("s"),
-                                (acc["sse"] + (x["v"] - acc["s"]) * (x["v"] - acc["s"])).alias("sse")))
-    scored = spread.withColumn("f", fold)
-    return scored.groupBy(*series).agg(F.min_by("alpha", F.struct(F.col("f.sse"), F.col("alpha"))).alias("alpha"), F.min("f.sse").alias("sse"))
+    """Smoothing weight with the smallest one-step error on a grid, each weight a fold over the series' one array; of equal errors the smaller weight."""
+    rest = F.slice("obs", F.lit(2), F.greatest(F.size("obs") - 1, F.lit(0)))
+
+    def error(alpha: Column) -> Column:
+        start = F.struct(F.col("obs")[0]["v"].alias("s"), F.lit(0.0).alias("sse"))
+        return F.aggregate(rest, start, lambda acc, x: F.struct((alpha * x["v"] + (1 - alpha) * acc["s"]).alias("s"), (acc["sse"] + (x["v"] - acc["s"]) * (x["v"] - acc["s"])).alias("sse")))["sse"]
+
+    weights = F.array(*[F.lit(float(a)) for a in grid])
+    best = F.array_min(F.transform(weights, lambda a: F.struct(error(a).alias("sse"), a.alias("alpha"))))
+    return _observations(panel, series).select(*series, best.alias("best")).select(*series, "best.alpha", "best.sse")
 
 
 def smooth_with(panel: DataFrame, alphas: DataFrame, series: Sequence[str] = LONG) -> DataFrame:
