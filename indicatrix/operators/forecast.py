@@ -198,7 +198,7 @@ def last_splits(n_splits: int, test_size: int, min_train: int = 12) -> Column:
 
 def udf_forecasts(panel: DataFrame, name: str, fn: Callable[[np.ndarray, int], np.ndarray], step_ahead: int, origins: Callable[[int], Sequence[int]],
                   series: Sequence[str] = LONG) -> DataFrame:
-    """The same rows for a model given as ``fn(train, horizon) -> predictions``; a failing origin is skipped."""
+    """The same rows for a model given as ``fn(train, horizon) -> predictions``; a failing origin has rows without a prediction."""
     keys = [f"{c} {t}" for c, t in panel.select(*series).dtypes]
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -207,7 +207,7 @@ def udf_forecasts(panel: DataFrame, name: str, fn: Callable[[np.ndarray, int], n
             try:
                 predicted = np.asarray(fn(y[:origin], step_ahead), dtype=float)
             except (ValueError, np.linalg.LinAlgError):
-                continue
+                predicted = np.full(step_ahead, np.nan)  # null in Spark
             out += [(*key, name, origin, h + 1, float(y[origin + h]), float(predicted[h])) for h in range(step_ahead)]
         return pd.DataFrame(out, columns=[*series, "model", "origin", "h", "actual", "predicted"])
 
@@ -226,9 +226,10 @@ def metrics(forecasts: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def model_weights(forecasts: DataFrame, series: Sequence[str] = LONG) -> DataFrame:
-    """Inverse-MAE weights over the models of a series; equal weights where no model has a usable error."""
-    per_origin = forecasts.groupBy(*series, "model", "origin").agg(F.avg(F.abs(F.col("actual") - F.col("predicted"))).alias("e"))
-    scores = per_origin.groupBy(*series, "model").agg(F.avg("e").alias("mae"))
+    """Inverse-MAE weights over the models of a series that predicted from every origin; equal weights where no model has a usable error."""
+    error = F.abs(F.col("actual") - F.col("predicted"))
+    per_origin = forecasts.groupBy(*series, "model", "origin").agg(F.when(F.count("predicted") == F.count("*"), F.avg(error)).alias("e"))
+    scores = per_origin.groupBy(*series, "model").agg(F.when(F.count("e") == F.count("*"), F.avg("e")).alias("mae"))
     usable = (F.col("mae") > 0) & (F.col("mae") < float("inf"))
     whole = Window.partitionBy(*series)
     inverse = F.when(usable, 1.0 / F.col("mae"))
@@ -296,7 +297,7 @@ def autoregression_fit(y: np.ndarray, horizon: int, max_p: int = 3, max_d: int =
 
 
 def fitted_forecasts(panel: DataFrame, model: str, horizon: int, grain: str, cycle: int, series: Sequence[str] = LONG) -> DataFrame:
-    """Holt-Winters or autoregression with bands growing as sqrt(h); series too short for the model give no rows."""
+    """Holt-Winters or autoregression with bands growing as sqrt(h); a series the model cannot fit keeps its rows, without values and with the reason as detail."""
     keys = [f"{c} {t}" for c, t in panel.select(*series).dtypes]
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -309,8 +310,8 @@ def fitted_forecasts(panel: DataFrame, model: str, horizon: int, grain: str, cyc
             else:
                 path, residual, order, aic = autoregression_fit(y, horizon)
                 detail = f"p={order[0]} d={order[1]} aic={aic:.2f}"
-        except ValueError:
-            return pd.DataFrame(columns=columns)
+        except ValueError as reason:
+            return pd.DataFrame([(*key, h + 1, ordered["period_start"].iloc[-1], np.nan, np.nan, str(reason)) for h in range(horizon)], columns=columns)
         sigma = float(np.std(residual, ddof=1))
         return pd.DataFrame([(*key, h + 1, ordered["period_start"].iloc[-1], float(path[h]), sigma, detail) for h in range(horizon)], columns=columns)
 

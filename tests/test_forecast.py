@@ -130,3 +130,18 @@ def test_debt_path_matches_the_recurrence(spark):
         d = d * 1.01 / 1.004 + 0.3
         assert r["forecast"] == pytest.approx(d)
     assert [r["forecast"] for r in rows if r["entity"] == "cap"] == [500.0] * 8
+
+
+def test_a_failing_model_leaves_a_trace_and_no_weight(series):
+    def sometimes(y, h):
+        if len(y) > 15:
+            raise ValueError("no fit")
+        return np.repeat(y[-1], h)
+
+    panel = series({"a": [float(i % 7) for i in range(30)]})
+    failing = fc.udf_forecasts(panel, "failing", sometimes, 2, lambda n: range(10, n - 1, 5))
+    assert [r["predicted"] is None for r in failing.orderBy("origin", "h").collect()] == [False] * 4 + [True] * 4
+    steady = fc.udf_forecasts(panel, "steady", lambda y, h: np.repeat(y[-1] + 1, h), 2, lambda n: range(10, n - 1, 5))
+    assert {r["model"]: r["weight"] for r in fc.model_weights(failing.unionByName(steady)).collect()} == {"failing": 0.0, "steady": 1.0}
+    short = fc.fitted_forecasts(series({"s": [1.0, 2.0]}), "holt_winters", 3, "month", 12).collect()
+    assert len(short) == 3 and all(r["forecast"] is None and r["detail"] for r in short)
