@@ -11,7 +11,7 @@ from indicatrix.llm.common import shuffle_width
 #: Cells of a fingerprint; a multiple of three, one third for each hash.
 CELLS = 24
 #: A paragraph is a line, cut after the first sentence end behind so many characters.
-PARAGRAPH_CHARS = 60
+PARAGRAPH_CHARS = 120
 
 
 def _let(value: Column, body) -> Column:
@@ -36,32 +36,33 @@ def _check(key: Column) -> Column:
 def sketch(items: Column, cells: Column) -> Column:
     """Cells (n, k, c) of signed digests: each digest goes to one cell in each third; n sums signs, k and c are xors of digests and checks.
 
-    Items are put in order of their cell, with one empty item for each cell, and folded into one cell after another.
+    Items are put in order of their cell, behind one empty item for each cell, and every run from one empty item to the next is summed.
     """
     third = (cells / 3).cast("long")
 
+    def item(i: Column, real: int, n: Column, k: Column, c: Column) -> Column:
+        return F.struct(i.alias("i"), F.lit(real).alias("real"), n.alias("n"), k.alias("k"), c.alias("c"))
+
     def places(x: Column) -> Column:
-        row = [x["s"].alias("n"), x["k"].alias("k"), _check(x["k"]).alias("c")]
-        return F.array(F.struct(F.pmod(x["k"], third).alias("i"), *row), F.struct((third + F.pmod(F.xxhash64(x["k"], F.lit(1)), third)).alias("i"), *row),
-                       F.struct((third * 2 + F.pmod(F.xxhash64(x["k"], F.lit(2)), third)).alias("i"), *row))
+        spots = (F.pmod(x["k"], third), third + F.pmod(F.xxhash64(x["k"], F.lit(1)), third), third * 2 + F.pmod(F.xxhash64(x["k"], F.lit(2)), third))
+        return F.array(*[item(spot, 1, x["s"], x["k"], _check(x["k"])) for spot in spots])
 
-    empty = F.transform(F.sequence(F.lit(0).cast("long"), third * 3 - 1),
-                        lambda i: F.struct(i.alias("i"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c")))
-    ordered = F.sort_array(F.concat(F.flatten(F.transform(items, places)), empty))
+    zero = F.lit(0).cast("long")
+    empty = F.transform(F.sequence(zero, third * 3 - 1), lambda i: item(i, 0, F.lit(0), zero, zero))
 
-    def cell(a: Column) -> Column:
-        return F.array(F.struct(a["n"].alias("n"), a["k"].alias("k"), a["c"].alias("c")))
+    def summed(ordered: Column) -> Column:
+        def runs(heads: Column) -> Column:
+            def run(head: Column, at: Column) -> Column:
+                length = F.coalesce(F.get(heads, at + 1), F.size(ordered) + 1) - head
+                start = F.struct(F.lit(0).alias("n"), zero.alias("k"), zero.alias("c"))
+                return F.when(length == 1, start).otherwise(F.aggregate(F.slice(ordered, head, length), start, lambda a, x: F.struct(
+                    (a["n"] + x["n"]).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["c"].bitwiseXOR(x["c"]).alias("c"))))
 
-    def state(out, i, n, k, c) -> Column:
-        return F.struct(out.alias("out"), i.alias("i"), n.alias("n"), k.alias("k"), c.alias("c"))
+            return F.transform(heads, run)
 
-    def step(a: Column, x: Column) -> Column:
-        same = state(a["out"], a["i"], a["n"] + x["n"], a["k"].bitwiseXOR(x["k"]), a["c"].bitwiseXOR(x["c"]))
-        return F.when(a["i"] == x["i"], same).otherwise(state(F.when(a["i"] < 0, a["out"]).otherwise(F.concat(a["out"], cell(a))), x["i"], x["n"], x["k"], x["c"]))
+        return _let(F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda p: F.element_at(ordered, p)["real"] == 0), runs)
 
-    zero = F.lit(0).cast("long")
-    start = state(F.array().cast("array<struct<n:int,k:bigint,c:bigint>>"), F.lit(-1).cast("long"), F.lit(0), zero, zero)
-    return F.aggregate(ordered, start, step, lambda a: F.concat(a["out"], cell(a)))
+    return _let(F.sort_array(F.concat(F.flatten(F.transform(items, places)), empty)), summed)
 
 
 def subtract(left: Column, right: Column) -> Column:
