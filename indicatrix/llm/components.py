@@ -16,7 +16,7 @@ def _to_smallest(edges: DataFrame, larger_only: bool) -> DataFrame:
     tied = both.join(low, "a")
     moved = tied.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")) if larger_only else \
         tied.select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b"))
-    return moved.where("a != b").distinct()
+    return moved.where("a != b")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -32,6 +32,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen, turn = state, turn + 1
-        current = scratch.keep(_to_smallest(_to_smallest(current, True), False), f"{name}-{turn}")
+        current = scratch.keep(_to_smallest(_to_smallest(current, True), False).distinct(), f"{name}-{turn}")
         scratch.drop(f"{name}-{turn - 1}")
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

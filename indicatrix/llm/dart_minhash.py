@@ -137,8 +137,8 @@ def similarity(left: np.ndarray, right: np.ndarray) -> float:
     return shared / (len(left) + len(right) - shared)
 
 
-def link_members(texts: list[str], labels: list) -> list[tuple[int, int]]:
-    """A forest of links at or above the threshold over members that start with different labels: pairs of places.
+def merged_labels(texts: list[str], labels: list) -> list[tuple]:
+    """Labels of members that links at or above the threshold connect: (label, smallest label of its class), where they differ.
 
     Pairs are tried from the most to the least agreeing signatures and compared exactly only while they are not connected, so every link that is left out joins
     members that are connected anyway.
@@ -165,42 +165,46 @@ def link_members(texts: list[str], labels: list) -> list[tuple[int, int]]:
     if not tried:
         return []
     agree, a, b = (np.concatenate(x) for x in zip(*tried))
-    links = []
     for p in np.argsort(-agree, kind="stable").tolist():
         i, j = int(a[p]), int(b[p])
         x, y = find(i), find(j)
         if x != y and similarity(own[i], own[j]) >= THRESHOLD:
             parent[max(x, y)] = min(x, y)
-            links.append((i, j))
-    return links
+    classes: dict[int, list] = {}
+    for label, i in places.items():
+        classes.setdefault(find(i), []).append(label)
+    return [(label, min(own_class)) for own_class in classes.values() for label in own_class if label != min(own_class)]
 
 
-def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group; each group's forest of links as pairs of text keys."""
-    group, keys, texts, labels = None, [], [], []
+def _merge_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by group; of each group, the labels that merge."""
+    group, texts, labels = None, [], []
 
-    def links() -> pa.RecordBatch:
-        found = link_members(texts, labels) if len(set(labels)) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in found], pa.binary()), pa.array([keys[j] for _, j in found], pa.binary())], names=["a", "b"])
+    def merged() -> pa.RecordBatch:
+        found = merged_labels(texts, labels) if len(set(labels)) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["label", "root"])
 
     for big in batches:
         for batch in (big.slice(k, 256) for k in range(0, big.num_rows, 256)):
-            for name, key, text, label in zip(*(batch.column(c).to_pylist() for c in ("group", "text_key", "text", "label"))):
+            for name, text, label in zip(*(batch.column(c).to_pylist() for c in ("group", "text", "label"))):
                 if name != group:
-                    if keys:
-                        yield links()
-                    group, keys, texts, labels = name, [], [], []
-                keys.append(key)
+                    if texts:
+                        yield merged()
+                    group, texts, labels = name, [], []
                 texts.append(text)
                 labels.append(label)
-    if keys:
-        yield links()
+    if texts:
+        yield merged()
 
 
-def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links within each group of members (group, text_key, label)."""
-    rows = members.join(texts, "text_key").select("group", "text_key", "text", "label")
-    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_link_groups, "a binary, b binary")
+def _merges(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """label and root of the labels that links within a group of members (group, text_key, label) merge."""
+    rows = members.join(texts.hint("merge"), "text_key").select("group", "text", "label")
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_merge_groups, "label binary, root binary")
+
+
+def _relabel(members: DataFrame, merges: DataFrame) -> DataFrame:
+    return members.join(merges, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -226,30 +230,33 @@ def near_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     buckets = banded.groupBy("band", "value").agg(F.min("text_key").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
     ties = banded.join(buckets, ["band", "value"]).where("text_key != lead").select(F.col("text_key").alias("a"), F.col("lead").alias("b")).distinct()
     tied = scratch.keep(components(ties, scratch, "ties"), "tied").select(F.col("node").alias("text_key"), F.col("root").alias("component"))
-    texts = scratch.keep(rows.join(tied, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text")), "texts")
+    texts = scratch.keep(rows.join(tied.hint("merge"), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text")), "texts")
 
     members = scratch.keep(_blocks(tied), "members")
-    found = scratch.keep(_links(members.select(F.concat_ws("/", F.hex("component"), "block").alias("group"), "text_key", F.col("text_key").alias("label")), texts), "links-0")
-    # components of several blocks: the classes of the blocks meet, again in blocks, until one block holds them
-    level, part = 0, members.where("blocks > 1").select("component", "text_key")
-    while not part.isEmpty():
+    group = F.concat_ws("/", F.hex("component"), "block").alias("group")
+    first = scratch.keep(_merges(members.select(group, "text_key", F.col("text_key").alias("label")), texts), "merges-0")
+    labelled = scratch.keep(_relabel(members.withColumn("label", F.col("text_key")), first), "labelled-0")
+    # components of several blocks: the classes of the blocks meet, again in blocks, until one block holds them or nothing merges
+    level, wide = 0, labelled.where("blocks > 1")
+    while not wide.isEmpty():
         level += 1
-        roots = components(found, scratch, f"level-{level}").select(F.col("node").alias("text_key"), "root")
-        part = part.join(roots, "text_key", "left").select("component", F.coalesce("root", "text_key").alias("text_key")).distinct()
-        blocked = scratch.keep(_blocks(part), f"blocks-{level}")
-        met = _links(blocked.select(F.concat_ws("/", F.hex("component"), "block").alias("group"), "text_key", F.col("text_key").alias("label")), texts)
-        found = scratch.keep(found.unionByName(met), f"links-{level}")
-        part = blocked.where("blocks > 1").select("component", "text_key")
-        if not part.isEmpty() and met.isEmpty():
-            break  # nothing merges any more: what is left goes to the pairs of blocks
+        roots = scratch.keep(_blocks(wide.select("component", F.col("label").alias("text_key")).distinct()), f"roots-{level}")
+        merges = scratch.keep(_merges(roots.select(group, "text_key", F.col("text_key").alias("label")), texts), f"merges-{level}")
+        wide = scratch.keep(_relabel(wide, merges), f"labelled-{level}")
+        if roots.where("blocks > 1").isEmpty() or merges.isEmpty():
+            break
     if level:
-        roots = components(found, scratch, "merged").select(F.col("node").alias("text_key"), "root")
-        labelled = scratch.keep(members.where("blocks > 1").join(roots, "text_key", "left").withColumn("label", F.coalesce("root", "text_key")), "labelled")
-        split = labelled.groupBy("component").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("component")
-        pairs = labelled.join(split, "component").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("other != block") \
+        # a component that still has several classes: all pairs of its blocks, across classes alone
+        split = wide.groupBy("component").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("component")
+        pairs = wide.join(split, "component").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("other != block") \
             .select(F.concat_ws("/", F.hex("component"), F.least("block", "other"), F.greatest("block", "other")).alias("group"), "text_key", "label")
-        found = scratch.keep(found.unionByName(_links(pairs, texts)), "links")
-    classes = components(found, scratch, "classes").select(F.col("node").alias("text_key"), "root")
+        late = scratch.keep(_merges(pairs, texts), "merges")
+        if not late.isEmpty():
+            ends = components(late.select(F.col("label").alias("a"), F.col("root").alias("b")), scratch, "classes").select(F.col("node").alias("label"), "root")
+            wide = _relabel(wide, ends)
+    classes = labelled.where("blocks = 1").select("text_key", "label").unionByName(wide.select("text_key", "label")) if level else labelled.select("text_key", "label")
+    classes = classes.withColumnRenamed("label", "root")
+    scratch.drop("texts", "members", "tied")
     placed = signed.select("doc_id", "text_key").join(classes, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
     first = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     alone = docs.where(docs["text"].isNull()).select(docs["doc_id"].cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("text_key"), F.lit(None).cast("binary").alias("class_key"), docs["doc_id"].cast("long").alias("class_id"))
