@@ -88,8 +88,8 @@ def _emit_edges(buckets: int, copies: int):
     return emit
 
 
-def _join_edges(copies: int):
-    """Per bucket: every edge that also starts in a document with a smaller id, with the first place it starts at."""
+def _join_edges(copies: int, groups: int):
+    """Per bucket: every edge that also starts in a document with a smaller id, with the first place it starts at, packed for groups of documents."""
 
     def join(table: pa.Table) -> pa.Table:
         parts, repeats = [], []
@@ -115,32 +115,32 @@ def _join_edges(copies: int):
             lead = np.flatnonzero(head)[np.cumsum(head) - 1]
             late = key // copies > key[lead] // copies
             repeats.append([key[late], place[late], key[lead[late]], place[lead[late]]])
-        key, place, source, source_place = (np.concatenate([r[i] for r in repeats]) for i in range(4))
-        order = np.argsort(key, kind="stable")
-        key, place, source, source_place = key[order], place[order], source[order], source_place[order]
-        firsts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        bounds = pa.array(np.concatenate([firsts, [len(key)]]).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(bounds, pa.array(v.astype(t))) for v, t in ((place, np.int32), (source, np.int64), (source_place, np.int32))]
-        return pa.Table.from_arrays([pa.array(key[firsts]), *lists], names=["key", "place", "source", "source_place"])
+        found = [np.concatenate([r[i] for r in repeats]) for i in range(4)]
+        group = (mix(found[0].astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+        order = np.lexsort((found[1], found[0], group))
+        found = [f[order] for f in found]
+        cuts = np.searchsorted(group[order], np.arange(groups + 1))
+        full = np.flatnonzero(np.diff(cuts))
+        return pa.Table.from_arrays([pa.array(full.astype(np.int32)), pa.array([pack(*(f[cuts[g]:cuts[g + 1]] for f in found)) for g in full.tolist()], pa.binary())], names=["group", "repeats"])
 
     return join
 
 
-def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated edges of a document to paths: a path goes on while the next edge starts one word further in the document and in the same source."""
-    span = pa.struct([("start", pa.int32()), ("n", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())])
-    for batch in batches:
-        spans = []
-        for row in range(batch.num_rows):
-            place, source, source_place = (batch.column(c)[row].values.to_numpy() for c in ("place", "source", "source_place"))
-            order = np.lexsort((source_place, source, place))
-            place, source, source_place = place[order], source[order], source_place[order]
-            once = np.concatenate([[True], place[1:] != place[:-1]])
-            place, source, source_place = place[once], source[once], source_place[once]
-            breaks = np.flatnonzero((np.diff(place) != 1) | (np.diff(source) != 0) | (np.diff(source_place) != 1)) + 1
-            a, b = np.concatenate([[0], breaks]), np.concatenate([breaks, [len(place)]])
-            spans.append([{"start": s, "n": n, "source": d, "source_start": p} for s, n, d, p in zip(place[a].tolist(), (b - a).tolist(), source[a].tolist(), source_place[a].tolist())])
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(spans, pa.list_(span))], names=["key", "spans"])
+def _compact(table: pa.Table) -> pa.Table:
+    """Repeated edges of a group of documents to paths: a path goes on while the next edge starts one word further in the document and in the same source."""
+    parts = [unpack(r) for r in table.column("repeats").to_pylist()]
+    key, place, source, source_place = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    order = np.lexsort((source_place, source, place, key))
+    key, place, source, source_place = key[order], place[order], source[order], source_place[order]
+    once = np.concatenate([[True], (np.diff(place) != 0) | (np.diff(key) != 0)])
+    key, place, source, source_place = key[once], place[once], source[once], source_place[once]
+    breaks = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(place) != 1) | (np.diff(source) != 0) | (np.diff(source_place) != 1)]))
+    n = np.diff(np.concatenate([breaks, [len(key)]]))
+    spans = pa.StructArray.from_arrays([pa.array(x.astype(t)) for x, t in ((place[breaks], np.int32), (n, np.int32), (source[breaks], np.int64), (source_place[breaks], np.int32))],
+                                       names=["start", "n", "source", "source_start"])
+    firsts = np.flatnonzero(np.concatenate([[True], np.diff(key[breaks]) != 0]))
+    bounds = pa.array(np.concatenate([firsts, [len(breaks)]]).astype(np.int32))
+    return pa.Table.from_arrays([pa.array(key[breaks][firsts]), pa.ListArray.from_arrays(bounds, spans)], names=["key", "spans"])
 
 
 def _digest(data: bytes, starts: list[int], ends: list[int], first: int, edges: int) -> bytes | None:
@@ -212,9 +212,8 @@ def find_repeats(docs: DataFrame, carried: list[str]) -> DataFrame:
     rows, copies, size = _keyed(docs, carried)
     buckets = max(shuffle_width(spark), math.ceil(size / BUCKET_BYTES))
     edges = rows.select("key", "text").mapInArrow(_emit_edges(buckets, copies), "bucket int, edges binary, places binary")
-    repeated = edges.groupBy("bucket").applyInArrow(_join_edges(copies), "key long, place array<int>, source array<long>, source_place array<int>")
-    by_doc = repeated.groupBy("key").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("place", "source", "source_place")])
-    paths = scratch.keep(by_doc.mapInArrow(_compact, f"key long, spans array<{SPAN}>"), "paths")
+    repeated = edges.groupBy("bucket").applyInArrow(_join_edges(copies, buckets), "group int, repeats binary")
+    paths = scratch.keep(repeated.groupBy("group").applyInArrow(_compact, f"key long, spans array<{SPAN}>"), "paths")
 
     def applied(rows: DataFrame, paths: DataFrame) -> DataFrame:
         asked = paths.select(F.explode("spans").alias("s")).groupBy(F.col("s.source").alias("key"), F.col("s.source_start").alias("start"), F.col("s.n").alias("n")).count() \
@@ -232,6 +231,7 @@ def find_repeats(docs: DataFrame, carried: list[str]) -> DataFrame:
     wrong = scratch.keep(wrong, "wrong")
     result = ["carried", "n_words", "n_removed", "kept_sha256", "kept_text"]
     if wrong.isEmpty():
+        scratch.drop("paths", "wrong")
         return done.select(*result)
     hit = wrong.groupBy("key").agg(F.collect_set("at").alias("bad"))
     right = paths.join(hit, "key").select("key", F.filter("spans", lambda s: ~F.array_contains("bad", s["start"])).alias("spans"))
