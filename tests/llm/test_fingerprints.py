@@ -59,3 +59,10 @@ def test_odd_rows(odd_docs, no_docs):
     assert fingerprints.fingerprint_documents(no_docs).count() == 0
     one = fingerprints.fingerprint_documents(odd_docs.where("doc_id = 1")).first()
     assert one["near_next"] == 1.0
+
+
+def test_a_line_is_cut_behind_sixty_characters(spark):
+    sentence = "This sentence of a long line has some seventy characters, number {}. "
+    text = "".join(sentence.format(k) for k in range(4)).strip()
+    got = spark.createDataFrame([(text,)], "text string").select(F.size(fingerprints.paragraph_digests(F.col("text"))).alias("n")).first()["n"]
+    assert got == 4
