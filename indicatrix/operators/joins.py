@@ -40,8 +40,8 @@ def period_label(year: Column, periods: Sequence[tuple[str, int, int]]) -> Colum
 
 
 def with_calendar(fact: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Fact joined to the calendar on its key. The calendar's size is fixed by its date range, not by the facts."""
-    return fact.join(calendar, "date_key")
+    """Fact joined to the calendar on its key. A fact outside the calendar's range stays, without calendar columns."""
+    return fact.join(calendar, "date_key", "left")
 
 
 def lag_join(panel: DataFrame, cause: str, effect: str, lags: Sequence[int], series: Sequence[str] = ("entity",),

@@ -79,10 +79,10 @@ def loaded_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def explorer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fact with its calendar columns, as exported from the data explorer."""
     from indicatrix.operators.joins import with_calendar
-    from indicatrix.sources.dims import calendar
+    from indicatrix.sources.dims import calendar_of
 
-    fact = economy(spark, sf_dir).fact("public_debt").drop("period_start")
-    return with_calendar(fact, calendar(spark, "1995-01-01", "2001-12-31")).select("entity", "date_key", "full_date", "year", "quarter", "total_debt", "debt_to_gdp_ratio",
+    fact = economy(spark, sf_dir).fact("public_debt")
+    return with_calendar(fact.drop("period_start"), calendar_of(fact)).select("entity", "date_key", "full_date", "year", "quarter", "total_debt", "debt_to_gdp_ratio",
                                                                                    rounded("budget_deficit").alias("budget_deficit"))
 
 

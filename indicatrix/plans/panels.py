@@ -11,9 +11,7 @@ from indicatrix.functions.numeric import as_cents, rounded
 from indicatrix.operators import joins, windows
 from indicatrix.operators.ranking import rank_large_groups, rank_peers
 from indicatrix.plans.economy import PHILLIPS_PERIODS, economy, table, to_panel
-from indicatrix.sources.dims import calendar, sources
-
-CALENDAR_FROM, CALENDAR_TO = "1995-01-01", "2001-12-31"
+from indicatrix.sources.dims import calendar_of, sources
 
 
 def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,22 +31,24 @@ def customer_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calendar_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both grains over the date range of the orders."""
-    span = table(spark, sf_dir, "orders").agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b"))
-    return calendar(spark, CALENDAR_FROM, CALENDAR_TO).join(span, F.col("full_date").between(F.trunc("a", "month"), F.last_day("b"))).drop("a", "b")
+    orders = table(spark, sf_dir, "orders")
+    span = orders.agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b"))
+    return calendar_of(orders, "o_orderdate").join(span, F.col("full_date").between(F.trunc("a", "month"), F.last_day("b"))).drop("a", "b")
 
 
 def facts_with_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    monthly = economy(spark, sf_dir).monthly.select("entity", "date_key", "unemployment_rate")
-    joined = joins.with_calendar(monthly, calendar(spark, CALENDAR_FROM, CALENDAR_TO))
+    facts = economy(spark, sf_dir).monthly
+    joined = joins.with_calendar(facts.select("entity", "date_key", "unemployment_rate"), calendar_of(facts))
     return joined.select("entity", "date_key", "full_date", "year", "quarter", "month", "month_name", "is_quarter_end", "unemployment_rate")
 
 
 def orphan_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calendar months, per nation, without a fact row."""
-    monthly = economy(spark, sf_dir).monthly.select("entity", "date_key")
+    """Months from the first to the last fact of all nations, per nation, without a fact row."""
+    monthly = economy(spark, sf_dir).monthly.select("entity", "date_key", "period_start")
+    last = monthly.agg(F.max("period_start").alias("last"))
     nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("entity"))
-    months = calendar(spark, CALENDAR_FROM, "2001-08-31").where("month is not null").select("date_key")
-    expected = nations.crossJoin(F.broadcast(months))  # 25 nations x 80 months, both fixed
+    months = calendar_of(monthly).where("month is not null").join(F.broadcast(last), F.col("full_date") <= F.col("last")).select("date_key")
+    expected = nations.crossJoin(F.broadcast(months))  # 25 nations times the months of the facts' range
     return joins.missing_keys(expected, monthly, ["entity", "date_key"])
 
 
@@ -83,7 +83,8 @@ def policy_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("o_totalprice").alias("price"))
     daily = days.join(customer, days.o_custkey == customer.c_custkey)
     changes = daily.groupBy(F.col("c_mktsegment").alias("entity"), "change_date").agg(F.max("price").alias("price"))
-    months = calendar(spark, CALENDAR_FROM, "2001-07-31").where("month is not null").select(F.last_day("full_date").alias("period_end"))
+    last = orders.agg(F.max(F.col("o_orderdate").cast("date")).alias("last"))
+    months = calendar_of(orders, "o_orderdate").where("month is not null").join(F.broadcast(last), F.col("full_date") <= F.col("last")).select(F.last_day("full_date").alias("period_end"))
     segments = customer.select(F.col("c_mktsegment").alias("entity")).distinct()
     return joins.as_of(changes, segments.join(F.broadcast(months)), "price")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from indicatrix.functions.keys import month_key, quarter_key
@@ -9,7 +11,7 @@ from indicatrix.operators.joins import small_table
 from indicatrix.registry import SOURCES
 
 
-def calendar(spark: SparkSession, start: str = "2010-01-01", end: str = "2025-12-31") -> DataFrame:
+def calendar(spark: SparkSession, start: str | date | None = "2010-01-01", end: str | date | None = "2025-12-31") -> DataFrame:
     """Monthly and quarterly keys between two dates in one table. Months carry their first day, quarters their last."""
     days = spark.range(1).select(
         F.explode(F.sequence(F.trunc(F.lit(start).cast("date"), "month"), F.lit(end).cast("date"),
@@ -25,6 +27,13 @@ def calendar(spark: SparkSession, start: str = "2010-01-01", end: str = "2025-12
     return months.unionByName(quarters)
 
 
+def calendar_of(facts: DataFrame, day: str = "period_start") -> DataFrame:
+    """The calendar from the first month of the facts to the end of their last quarter; empty where they have no day."""
+    day = F.col(day).cast("date")
+    span = facts.agg(F.min(day).alias("a"), F.max(F.last_day(F.add_months(F.trunc(day, "quarter"), 2))).alias("b")).first()
+    return calendar(facts.sparkSession, span["a"], span["b"])
+
+
 def sources(spark: SparkSession) -> DataFrame:
     rows = [(i + 1, name, url, f"{name} statistics") for i, (name, url) in enumerate(SOURCES)]
     return small_table(spark, rows, "source_key int, source_name string, source_url string, description string")

@@ -44,3 +44,27 @@ def test_large_groups_have_the_statistics_of_small_ones(spark, bins):
     small = {r["g"]: r for r in describe(rows.where("value is not null"), by=("g",)).collect()}
     large = {r["g"]: r for r in describe_large(rows.where("value is not null"), by=("g",), bins=bins).collect()}
     assert small == large and set(small) == {0, 1, 2, 3, 9, 11}
+
+
+def test_calendars_reach_as_far_as_the_facts(spark, tmp_path):
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from indicatrix import catalog
+
+    for path in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        if path.stem != "orders":
+            (tmp_path / path.name).symlink_to(path)
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    moved = F.expr("case when o_orderkey % 2 = 0 then o_orderdate - interval 120 month else o_orderdate + interval 120 month end").cast(orders.schema["o_orderdate"].dataType)
+    orders.withColumn("o_orderdate", moved).write.parquet(str(tmp_path / "orders.parquet"))
+    queries = catalog.queries()
+    facts = queries["facts_with_calendar"](spark, str(tmp_path))
+    years = facts.agg(F.min("year").alias("a"), F.max("year").alias("b"), F.count_if(F.col("full_date").isNull()).alias("n")).first()
+    assert years["a"] < 1990 and years["b"] > 2005 and years["n"] == 0
+    assert queries["explorer_rows"](spark, str(tmp_path)).agg(F.max("year")).first()[0] > 2005
+    last = spark.read.parquet(str(tmp_path / "orders.parquet")).agg(F.last_day(F.max("o_orderdate").cast("date"))).first()[0]
+    assert queries["policy_steps"](spark, str(tmp_path)).agg(F.max("period_end")).first()[0] == last
+    assert queries["calendar_dimension"](spark, str(tmp_path)).agg(F.max("year")).first()[0] == last.year
+    assert queries["orphan_months"](spark, str(tmp_path)).where("date_key is not null").count() > 0
