@@ -60,7 +60,7 @@ def similarity(left: Column, right: Column) -> Column:
 
 def _items(benchmark: DataFrame) -> DataFrame:
     words = words_of(F.lower(F.coalesce(benchmark["text"], F.lit(""))))
-    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), words.alias("item_words")).where("item_id is not null").where(F.size("item_words") > 0).distinct()
+    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), words.alias("item_words")).where(F.size("item_words") > 0).distinct()
     return items.withColumns({"n": F.size("item_words"), "item_shingles": shingles(F.col("item_words"))}) \
         .withColumn("item_print", F.when(F.size("item_shingles") <= LANE_MAX, simhash(F.col("item_shingles"))))
 
@@ -105,14 +105,15 @@ def _search(docs: DataFrame, items: DataFrame) -> DataFrame:
         .where(F.col("right").isNull() | (F.get("words", F.col("at") + 1) == F.col("right")))
     # all windows of the item's size that have the anchor; where the text is shorter, the text
     last = F.greatest(F.size("words") - F.col("n"), F.lit(0))
-    low, high = F.least(F.greatest(F.col("at") + 2 - F.col("n"), F.lit(0)), last), F.least(F.greatest(F.col("at") - 1, F.lit(0)), last)
+    low, high = F.least(F.greatest(F.col("at") + F.when(F.col("n") <= 2, 1).otherwise(2) - F.col("n"), F.lit(0)), last), F.least(F.greatest(F.col("at") - 1, F.lit(0)), last)
     low, high = F.least(low, high), F.greatest(low, F.when(F.col("n") <= 2, F.least(F.col("at"), last)).otherwise(high))
     found = hits.groupBy("doc_id", "row", "n").agg(F.first("words").alias("words"), F.flatten(F.collect_set(F.sequence(low, high))).alias("starts"))
     windows = found.withColumn("hashes", shingles(F.col("words"))) \
-        .select("doc_id", "n", "hashes", F.explode(F.array_distinct("starts")).alias("start")) \
-        .select("doc_id", "n", "start", F.slice("hashes", F.col("start") + 1, F.greatest(F.col("n") - (SHINGLE - 1), F.lit(1))).alias("window")) \
+        .select("doc_id", "n", "words", "hashes", F.explode(F.array_distinct("starts")).alias("start")) \
+        .select("doc_id", "n", "start", F.when(F.col("n") < SHINGLE, F.array(F.xxhash64(F.slice("words", F.col("start") + 1, F.col("n")))))
+                .otherwise(F.slice("hashes", F.col("start") + 1, F.greatest(F.col("n") - (SHINGLE - 1), F.lit(1)))).alias("window")) \
         .where(F.size("window") > 0)
-    # texts or items of fewer than five words have one shingle of all their words
+    # items of fewer than five words meet windows of just as many words; texts of fewer than five have one shingle of all their words
     prints = windows.withColumn("print", simhash(F.col("window")))
     keyed = prints.select("*", F.posexplode(F.array(*[block(F.col("print"), F.lit(b)) for b in range(BLOCKS)])).alias("block", "value"))
     near = keyed.join(F.broadcast(_near_values(items.where("item_print is not null"))), ["n", "block", "value"]) \
@@ -130,7 +131,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     doc_id, item_id, similarity of the best window (weighted Jaccard, a shingle's weight being its count), its first word's place and its length.
     Words are lower-cased. Only windows that have one of the item's anchors are fingerprinted; no window that reaches the threshold lacks
     one (see _anchors). Fingerprints find the items: the blocks find every item within 23 of 64 bits; at the threshold shingle sets
-    differ in 10 bits on average, with a deviation of 3. Null texts and items are empty and match nothing; repeated rows give one result; documents with
+    differ in 10 bits on average, with a deviation of 3. Null texts and items are empty and match nothing; items
+    without an id are found like others and count as one item whose id is null; repeated rows give one result; documents with
     one id share results. Texts shorter than an item are one window. Items are searched in blocks, so what is broadcast is bounded.
     """
     items = _items(benchmark)

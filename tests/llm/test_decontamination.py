@@ -50,3 +50,12 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert found(odd_docs, benchmark) == {(1, 1): 1.0} and found(no_docs, benchmark) == {} and found(odd_docs, benchmark.limit(0)) == {}
     kept = decontamination.without_contaminated(odd_docs, benchmark)
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count() - 1
+
+
+def test_items_of_few_words_and_items_without_an_id(spark):
+    long_item = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(1, "a b c yes no d"), (2, "yes a no b c d"), (3, "word"), (4, "w x y z it is so now"), (5, f"x {long_item} y"), (6, "yes no")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "yes no"), (2, "it"), (3, "Y z it"), (4, "y z it is"), (None, long_item)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["start_word"], r["n_words"], r["similarity"]) for r in decontamination.contaminated(docs, items).collect()}
+    assert got == {(1, 1, 3, 2, 1.0), (6, 1, 0, 2, 1.0), (4, 2, 4, 1, 1.0), (4, 3, 2, 3, 1.0), (4, 4, 2, 4, 1.0), (5, None, 1, 12, 1.0)}
+    assert {r["doc_id"] for r in decontamination.without_contaminated(docs, items).collect()} == {2, 3}
