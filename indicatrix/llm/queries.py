@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indicatrix.llm import dart_minhash, decontamination, fingerprints, licenses, pieces, pitman_yor, quality, shards, substrings, token_files
+from indicatrix.llm import dart_minhash, decontamination, fingerprints, licenses, pieces, pitman_yor, quality, shards, simplex_clusters, substrings, token_files
 from indicatrix.llm.common import Scratch, doc_bucket
 
 #: Where the public vocabularies lie; read on the driver and sent to the tasks.
@@ -76,6 +76,10 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score_documents(_table(spark, sf_dir, "documents"), doc_bucket(F.col("doc_id"), 7) == 2)
 
 
-QUERIES: dict[str, Query] = {"op1_pieces": op1_pieces, "op2_substrings": op2_substrings, "op3_licenses": op3_licenses, "op4_quality": op4_quality, "op5_decontamination": op5_decontamination, "op6_shards": op6_shards, "op7_token_files": op7_token_files, "op8_fingerprints": op8_fingerprints, "op9_near_duplicates": op9_near_duplicates, "op10_language_model": op10_language_model}
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simplex_clusters.cluster(_table(spark, sf_dir, "embeddings"))
 
-ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.oracle_sql()}
+
+QUERIES: dict[str, Query] = {"op1_pieces": op1_pieces, "op2_substrings": op2_substrings, "op3_licenses": op3_licenses, "op4_quality": op4_quality, "op5_decontamination": op5_decontamination, "op6_shards": op6_shards, "op7_token_files": op7_token_files, "op8_fingerprints": op8_fingerprints, "op9_near_duplicates": op9_near_duplicates, "op10_language_model": op10_language_model, "op13_clusters": op13_clusters}
+
+ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.oracle_sql(), "op13_clusters": simplex_clusters.oracle_sql()}
