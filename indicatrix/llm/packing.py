@@ -31,9 +31,9 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte and end of every word, and the number of words before each text and after the last."""
-    inside = ~_IS_WHITE[data]
+def find_words(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = _IS_WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and end of every word, and the number of words before each text and after the last. outside names the bytes between words."""
+    inside = ~outside[data]
     edges = np.zeros(len(data) + 1, bool)
     edges[offsets] = True
     starts = np.flatnonzero(inside & (edges[:-1] | np.concatenate([[True], ~inside[:-1]]))) if len(data) else np.zeros(0, np.int64)
