@@ -71,7 +71,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     for a in arrays:
         unsigned = a.dtype.kind == "u"
         low = int(a.min()) if len(a) else 0
-        rest = a - (np.uint64(low) if unsigned else low)
+        rest = a.astype(np.uint64) - np.uint64(low % 2**64)
         width = np.min_scalar_type(int(rest.max()) if len(a) else 0).itemsize
         parts += [struct.pack("<BBQq" if not unsigned else "<BBQQ", width, unsigned, len(a), low), rest.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
@@ -86,7 +86,8 @@ def unpack(packed: bytes) -> list[np.ndarray]:
         width, unsigned, n, low = struct.unpack_from("<BBQQ" if raw[at + 1] else "<BBQq", raw, at)
         at += struct.calcsize("<BBQQ")
         rest = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(f"<u{width}").reshape(n) if n else np.zeros(0, np.uint8)
-        out.append(rest.astype(np.uint64) + np.uint64(low) if unsigned else rest.astype(np.int64) + low)
+        whole = rest.astype(np.uint64) + np.uint64(low % 2**64)
+        out.append(whole if unsigned else whole.view(np.int64))
         at += n * width
     return out
 

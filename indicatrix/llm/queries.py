@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indicatrix.llm import ball_search, dart_minhash, decontamination, fingerprints, licenses, pieces, pitman_yor, quality, shards, simplex_clusters, substrings, token_files
+from indicatrix.llm import ball_search, dart_minhash, decontamination, fingerprints, licenses, pieces, pitman_yor, quality, shards, simplex_clusters, substrings, suffix_arrays, token_files
 from indicatrix.llm.common import Scratch, doc_bucket
 
 #: Where the public vocabularies lie; read on the driver and sent to the tasks.
@@ -80,10 +80,14 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_search.top_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_arrays.repeated_bytes(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simplex_clusters.cluster(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {"op1_pieces": op1_pieces, "op2_substrings": op2_substrings, "op3_licenses": op3_licenses, "op4_quality": op4_quality, "op5_decontamination": op5_decontamination, "op6_shards": op6_shards, "op7_token_files": op7_token_files, "op8_fingerprints": op8_fingerprints, "op9_near_duplicates": op9_near_duplicates, "op10_language_model": op10_language_model, "op11_ranked_search": op11_ranked_search, "op13_clusters": op13_clusters}
+QUERIES: dict[str, Query] = {"op1_pieces": op1_pieces, "op2_substrings": op2_substrings, "op3_licenses": op3_licenses, "op4_quality": op4_quality, "op5_decontamination": op5_decontamination, "op6_shards": op6_shards, "op7_token_files": op7_token_files, "op8_fingerprints": op8_fingerprints, "op9_near_duplicates": op9_near_duplicates, "op10_language_model": op10_language_model, "op11_ranked_search": op11_ranked_search, "op12_repeated_bytes": op12_repeated_bytes, "op13_clusters": op13_clusters}
 
 ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.oracle_sql(), "op11_ranked_search": ball_search.oracle_sql(), "op13_clusters": simplex_clusters.oracle_sql()}
