@@ -13,7 +13,12 @@ def brute(rows, items):
         words = (text or "").lower().split()
         mine = shingles(words)
         for i, item in items:
-            theirs = Counter(shingles(item.lower().split()))
+            short = item.lower().split()
+            if len(short) < 5:  # found as its words in a row, in texts of any length
+                if any(words[k:k + len(short)] == short for k in range(len(words) - len(short) + 1)):
+                    out[d, i] = 1.0
+                continue
+            theirs = Counter(shingles(short))
             n = sum(theirs.values())
             for k in range(max(1, len(mine) - n + 1)) if words else ():
                 window = Counter(mine[k:k + n])
