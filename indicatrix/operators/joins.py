@@ -75,14 +75,23 @@ def lag_pairs(df: DataFrame, cause: str, effect: str, lags: Sequence[int], serie
 
 
 def as_of(changes: DataFrame, spine: DataFrame, value: str, series: Sequence[str] = ("entity",),
-          change_date: str = "change_date", spine_date: str = "period_end") -> DataFrame:
-    """Step function: the last change on or before each spine date, by one sort of changes and spine together."""
+          change_date: str = "change_date", spine_date: str = "period_end", bucket: str = "month") -> DataFrame:
+    """Step function: the last known change on or before each spine date; changes of one series have different dates.
+
+    Changes and spine are sorted together in buckets of the calendar, so a series that holds most rows is spread over its months. A bucket's last
+    value goes to the buckets after it by a window over one row for each series and bucket.
+    """
     left = changes.select(*series, F.col(change_date).alias("_at"), F.col(value).alias(value), F.lit(0).alias("_spine"))
-    right = spine.select(*series, F.col(spine_date).alias("_at"), F.lit(None).cast("double").alias(value),
-                         F.lit(1).alias("_spine"))
-    order = Window.partitionBy(*series).orderBy("_at", "_spine").rowsBetween(Window.unboundedPreceding, 0)
-    stepped = left.unionByName(right).withColumn(value, F.last(value, ignorenulls=True).over(order))
-    return stepped.where("_spine = 1").select(*series, F.col("_at").alias(spine_date), value)
+    right = spine.select(*series, F.col(spine_date).alias("_at"), F.lit(None).cast(changes.schema[value].dataType).alias(value), F.lit(1).alias("_spine"))
+    keys = [*series, "_bucket"]
+    rows = left.unionByName(right).withColumn("_bucket", F.trunc("_at", bucket))
+    order = Window.partitionBy(*keys).orderBy("_at", "_spine").rowsBetween(Window.unboundedPreceding, 0)
+    stepped = rows.withColumn(value, F.last(value, ignorenulls=True).over(order))
+    ends = rows.groupBy(*keys).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_at"))).alias("_end"))
+    before = Window.partitionBy(*series).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    read = stepped.where("_spine = 1").join(carried, keys, "left")
+    return read.select(*series, F.col("_at").alias(spine_date), F.coalesce(value, "_carried").alias(value))
 
 
 def densify(panel: DataFrame, series: Sequence[str] = ("entity",), period: str = "period_start", grain: str = "month",

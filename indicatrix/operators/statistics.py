@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from indicatrix.functions.numeric import ratio, rounded
 from indicatrix.functions.tails import f_p_value, t_critical, t_p_value
 from indicatrix.operators.joins import label_periods
+from indicatrix.operators.regression import TOLERANCE, coefficient, gram, residual_square, standardized, sweep
 from indicatrix.operators.windows import by_series, change, lagged
 
 LONG = ("entity", "indicator")
@@ -50,14 +49,18 @@ def strength(r: Column) -> Column:
 
 
 def pair_correlations(wide: DataFrame, columns: Sequence[str], by: Sequence[str] = ("entity",), min_n: int = 3) -> DataFrame:
-    """Correlation of every pair of ``columns`` (a fixed list of indicators), per group.
+    """Correlation of every pair of ``columns`` (a fixed list of indicators), per group, each pair over the rows that have both.
 
-    The pairs are aggregate expressions of one pass over the wide table; no pair rows are produced before aggregation.
+    A row becomes one row for each pair, which the map side sums to one for each group and pair before anything is shuffled: the code of the sums has the size of
+    one pair, however many indicators there are. A row that lacks a side adds nothing to its pair.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    wide_moments = wide.groupBy(*by).agg(*[moments(b, a).alias(f"m{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"m{i}").alias("m")) for i, (a, b) in enumerate(pairs)])
-    return with_correlation(wide_moments.select(*by, rows.alias("_rows")).select(*by, F.inline("_rows")), min_n=min_n)
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    values = wide.select(*by, F.array(*[F.col(c).cast("double") for c in columns]).alias("_v"))
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])).alias("_p")
+    rows = values.select(*by, "_v", at).select(*by, F.col("_p.i").alias("_i"), F.col("_p.j").alias("_j"), F.col("_v")[F.col("_p.i")].alias("_x"), F.col("_v")[F.col("_p.j")].alias("_y"))
+    sums = rows.groupBy(*by, "_i", "_j").agg(moments("_y", "_x").alias("m"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return with_correlation(sums.select(*by, names[F.col("_i")].alias("a"), names[F.col("_j")].alias("b"), "m"), min_n=min_n)
 
 
 def difference_columns(wide: DataFrame, columns: Sequence[str], non_stationary: DataFrame | None = None,
@@ -217,37 +220,39 @@ def best_lag(correlated: DataFrame, series: Sequence[str] = ("entity",), alpha:
 ADF_CRITICAL = {"long": {"1%": -3.43, "5%": -2.86, "10%": -2.57}, "short": {"1%": -3.58, "5%": -2.93, "10%": -2.60}}
 
 
-def _adf(y: np.ndarray, max_lag: int = 4) -> tuple[float | None, int]:
-    """t statistic of the lagged level in the regression of first differences; null when the system is singular."""
-    d = np.diff(y)
-    lags = min(max_lag, len(d) // 4)
-    for k in ([lags, 0] if lags else [0]):
-        target = d[k:]
-        columns = [np.ones(len(target)), y[k:-1]] + [d[k - j:len(d) - j] for j in range(1, k + 1)]
-        x = np.column_stack(columns)
-        if np.linalg.matrix_rank(x) < x.shape[1]:
-            continue
-        inverse = np.linalg.inv(x.T @ x)
-        beta = inverse @ x.T @ target
-        residual = target - x @ beta
-        variance = float(residual @ residual) / max(len(target) - x.shape[1], 1)
-        err = float(np.sqrt(max(variance * inverse[1, 1], 0.0)))
-        return (float(beta[1]) / err if err > 0 else 0.0), len(target)
-    return None, len(d)
+def _augmented(level: Column, n: Column, swept: Column, lags: Column) -> Column:
+    """t statistic of the lagged level in a regression on a constant, the level and ``lags`` lagged changes; null where a regressor is redundant."""
+    full = F.size(F.filter(swept["used"], lambda u: u)) == lags + 2
+    variance = residual_square(swept, 6) / F.greatest(n - lags - 2, F.lit(1))
+    err = F.sqrt(F.greatest(variance * swept["a"][1][1], F.lit(0.0)))
+    return F.when(full, F.when(err > 0, level / err).otherwise(0.0))
 
 
 def unit_root(panel: DataFrame, series: Sequence[str] = LONG, period: str = "period_start", value: str = "value",
-              min_n: int = 8) -> DataFrame:
-    """Augmented Dickey-Fuller test per series. A series has one row per period, so a group is bounded by the calendar."""
-    keys = [f"{c} {t}" for c, t in panel.select(*series).dtypes]
-
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        y = rows.sort_values(period)[value].to_numpy(dtype=float)
-        stat, n = (None, len(y)) if len(y) < min_n else _adf(y)
-        return pd.DataFrame([(*key, n, stat)], columns=[*series, "n_obs", "stat"])
+              min_n: int = 8, max_lag: int = 4) -> DataFrame:
+    """Augmented Dickey-Fuller test of every series: changes on a constant, the level before and up to four lagged changes.
 
+    One aggregation sums the Gram matrix of all regressors over standardized values, which leaves the statistic as it is. Where the lagged changes are redundant the
+    test has none; where the level is constant, and for series of fewer than ``min_n`` values, the statistic is null.
+    """
+    order = by_series(series, period)
     known = panel.where(F.col(value).isNotNull()).select(*series, period, F.col(value).cast("double").alias(value))
-    fitted = known.groupBy(*series).applyInPandas(fit, ", ".join([*keys, "n_obs long", "stat double"]))
+    z = standardized(known, value, series).withColumn("_t", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*series)))
+    z = z.withColumns({f"_z{k}": F.lag("z", k).over(order) for k in range(1, max_lag + 2)}).withColumn("_k", F.least(F.lit(max_lag), F.floor((F.col("_n") - 1) / 4)).cast("int"))
+    change = F.col("z") - F.col("_z1")
+    lagged_changes = [F.when(F.col("_k") >= j, F.col(f"_z{j}") - F.col(f"_z{j + 1}")) for j in range(1, max_lag + 1)]
+    sums = z.groupBy(*series).agg(
+        F.max("_n").alias("n"), F.max("_k").alias("k"), moments(change, F.col("_z1")).alias("m"),
+        gram([F.lit(1.0), F.col("_z1"), *lagged_changes, change], F.col("_t") > F.col("_k")).alias("g"))
+    solved = sums.withColumn("s", sweep(F.col("g"), max_lag + 2))
+    n, sxx, syy, sxy = (F.col(f"m.{c}") for c in ("n", "sxx", "syy", "sxy"))
+    slope = sxy / F.when(sxx > TOLERANCE * n, sxx)
+    plain_err = F.sqrt(F.greatest(syy - slope * sxy, F.lit(0.0)) / F.greatest(n - 2, F.lit(1)) / sxx)
+    plain = F.when(plain_err > 0, slope / plain_err).when(slope.isNotNull(), 0.0)
+    solved = solved.withColumn("_a", _augmented(coefficient(F.col("s"), 1, 6), F.col("n") - 1 - F.col("k"), F.col("s"), F.col("k"))).withColumn("_b", plain)
+    enough = F.col("n") >= min_n
+    fitted = solved.select(*series, F.when(~enough, F.col("n")).when(F.col("_a").isNotNull(), F.col("n") - 1 - F.col("k")).otherwise(F.col("n") - 1).alias("n_obs"),
+                           F.when(enough, F.coalesce("_a", "_b")).alias("stat"))
     stat, short, long_ = F.col("stat"), ADF_CRITICAL["short"], ADF_CRITICAL["long"]
 
     def critical(level: str) -> Column:

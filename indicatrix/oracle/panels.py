@@ -11,12 +11,13 @@ UD = f"""ud AS (SELECT user_id AS entity, CAST(ts AS DATE) AS period_start, sum(
   count(*) FILTER (event_type = 'error') AS n_errors FROM events GROUP BY 1, 2)"""
 CQ = f"""cq AS (SELECT o_custkey AS entity, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period_start,
   sum({_P}) / 100.0::DOUBLE AS spend, count(*) AS n_orders FROM orders GROUP BY 1, 2)"""
-CAL = """cal AS (
+_SPAN = "(SELECT CAST(date_trunc('{0}', {1}(o_orderdate)) AS DATE) FROM orders)"
+CAL = f"""cal AS (
   SELECT strftime(d, '%Y-%m') AS date_key, CAST(d AS DATE) AS full_date, CAST(year(d) AS INTEGER) AS year,
     CAST(quarter(d) AS INTEGER) AS quarter, CAST(month(d) AS INTEGER) AS month, monthname(d) AS month_name, month(d) % 3 = 0 AS is_quarter_end
-  FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS d)
+  FROM (SELECT unnest(generate_series({_SPAN.format("month", "min")}, {_SPAN.format("month", "max")}, INTERVAL 1 MONTH)) AS d)
   UNION ALL SELECT year(d) || '-Q' || quarter(d), last_day(d), CAST(year(d) AS INTEGER), CAST(quarter(d) AS INTEGER), NULL, NULL, true
-  FROM (SELECT CAST(unnest(generate_series(DATE '1995-03-01', DATE '2001-12-01', INTERVAL 3 MONTH)) AS DATE) AS d))"""
+  FROM (SELECT CAST(unnest(generate_series({_SPAN.format("quarter", "min")} + INTERVAL 2 MONTH, {_SPAN.format("quarter", "max")} + INTERVAL 2 MONTH, INTERVAL 3 MONTH)) AS DATE) AS d))"""
 BACK = "OVER (PARTITION BY entity ORDER BY period_start ROWS UNBOUNDED PRECEDING)"
 AHEAD = "OVER (PARTITION BY entity ORDER BY period_start ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
 LAGS = f"""SELECT m.entity, CAST(k.lag AS INTEGER) AS lag, count(*) AS n, round(sum(c.{B}), 4) AS sum_cause, round(sum(m.total_credit), 2) AS sum_effect
@@ -41,7 +42,7 @@ SQL = {
 WHERE full_date BETWEEN date_trunc('month', a) AND last_day(b)""",
     "facts_with_calendar": facts("""SELECT entity, date_key, full_date, cal.year, cal.quarter, cal.month, month_name, is_quarter_end,
   unemployment_rate FROM monthly JOIN cal USING (date_key)""", extra=CAL),
-    "orphan_months": facts("""SELECT n_name AS entity, date_key FROM nation CROSS JOIN cal WHERE month IS NOT NULL AND full_date < DATE '2001-09-01'
+    "orphan_months": facts("""SELECT n_name AS entity, date_key FROM nation CROSS JOIN cal WHERE month IS NOT NULL
 AND (n_name, date_key) NOT IN (SELECT (entity, date_key) FROM monthly)""", extra=CAL),
     "overlapping_periods": facts("""SELECT entity, p.period, count(*) AS n, round(avg(unemployment_rate), 4) AS mean, min(year) AS first_year
 FROM monthly JOIN (VALUES ('pre_crisis', 1995, 1996), ('troika', 1996, 1997), ('recovery', 1998, 1999), ('covid', 2000, 2000),
@@ -50,7 +51,7 @@ FROM monthly JOIN (VALUES ('pre_crisis', 1995, 1996), ('troika', 1996, 1997), ('
     "policy_steps": f"""WITH {CAL}, ch AS (SELECT c_mktsegment AS entity, CAST(o_orderdate AS DATE) AS d, max(o_totalprice) AS price
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
 sp AS (SELECT s.entity, last_day(full_date) AS period_end FROM (SELECT DISTINCT c_mktsegment AS entity FROM customer) s CROSS JOIN cal
-  WHERE month IS NOT NULL AND full_date < DATE '2001-08-01')
+  WHERE month IS NOT NULL)
 SELECT sp.entity, period_end, price FROM sp ASOF LEFT JOIN ch ON sp.entity = ch.entity AND sp.period_end >= ch.d""",
     "outer_merged": facts("""SELECT coalesce(a.entity, b.entity, c.entity) AS entity, coalesce(a.date_key, b.date_key, c.date_key) AS date_key,
   a.hicp, b.npl_ratio, c.unemployment_rate FROM (SELECT * FROM monthly WHERE hicp < 2) a

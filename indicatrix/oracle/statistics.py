@@ -121,7 +121,49 @@ def redundant(parts: str, name: str) -> str:
   abs(corr({parts}, total_credit)) > 0.999 AS is_redundant FROM monthly GROUP BY 1"""
 
 
+def adf(source: str, order: str) -> str:
+    """Unit-root statistics by eliminating one regressor after the other from the sums of products, the level last."""
+    changes = ", ".join(f"CASE WHEN k >= {j} THEN z{j} - z{j + 1} ELSE 0 END" for j in range(1, 5))
+    lags = ", ".join(f"lag(z, {j}) OVER w AS z{j}" for j in range(1, 6))
+    steps = ""
+    for p in range(1, 6):
+        on = "{0}.entity = m.entity AND {0}.indicator = m.indicator AND {0}.i = {1} AND {0}.j = {2}"
+        steps += f""", e{p} AS MATERIALIZED (SELECT m.entity, m.indicator, m.i, m.j, m.v - CASE WHEN q.v > 1e-10 * g.v THEN r.v * c.v / q.v ELSE 0 END AS v FROM e{p - 1} m
+  JOIN e{p - 1} q ON {on.format("q", p, p)} JOIN e{p - 1} r ON {on.format("r", "m.i", p)} JOIN e{p - 1} c ON {on.format("c", p, "m.j")}
+  JOIN e0 g ON {on.format("g", p, p)} WHERE m.i > {p} AND m.j > {p})"""
+    used = " UNION ALL ".join(f"SELECT entity, indicator, v, {p} AS p FROM e{p - 1} WHERE i = {p} AND j = {p}" for p in range(1, 7))
+    return f"""zz AS (SELECT entity, indicator, t, n, least(4, (n - 1) // 4) AS k, z, {lags} FROM (
+  SELECT entity, indicator, row_number() OVER w - 1 AS t, count(*) OVER s AS n, ("value" - avg("value") OVER s) / coalesce(nullif(stddev_samp("value") OVER s, 0), 1) AS z
+  FROM {source} WINDOW w AS (PARTITION BY entity, indicator ORDER BY {order}), s AS (PARTITION BY entity, indicator)) WINDOW w AS (PARTITION BY entity, indicator ORDER BY t)),
+e0 AS MATERIALIZED (SELECT entity, indicator, i, j, sum(x[i] * x[j]) AS v FROM (SELECT entity, indicator, [1.0::DOUBLE, {changes}, z1, z - z1] AS x FROM zz WHERE t > k),
+  (SELECT unnest(range(1, 8)) AS i), (SELECT unnest(range(1, 8)) AS j) GROUP BY ALL){steps},
+us AS (SELECT u.entity, u.indicator, count(*) AS used FROM ({used}) u JOIN e0 ON e0.entity = u.entity AND e0.indicator = u.indicator AND i = p AND j = p WHERE u.v > 1e-10 * e0.v GROUP BY ALL),
+fi AS (SELECT entity, indicator, max(v) FILTER (i = 6 AND j = 6) AS ll, max(v) FILTER (i = 6 AND j = 7) AS lt, max(v) FILTER (i = 7 AND j = 7) AS tt FROM e5 GROUP BY ALL),
+pl AS (SELECT entity, indicator, any_value(n) AS n, any_value(k) AS k, regr_sxx(z - z1, z1) AS sxx, regr_syy(z - z1, z1) AS syy, regr_sxy(z - z1, z1) AS sxy, regr_count(z - z1, z1) AS m FROM zz GROUP BY ALL),
+st AS (SELECT entity, indicator, CASE WHEN n < 8 THEN n WHEN used = k + 2 THEN n - 1 - k ELSE n - 1 END AS n_obs, CASE WHEN n < 8 THEN NULL
+  WHEN used = k + 2 THEN coalesce(lt / ll / nullif(sqrt(greatest(tt - lt * lt / ll, 0) / greatest(n - 2 * k - 3, 1) / ll), 0), 0)
+  WHEN sxx > 1e-10 * m THEN coalesce(sxy / sxx / nullif(sqrt(greatest(syy - sxy * sxy / sxx, 0) / greatest(m - 2, 1) / sxx), 0), 0) END AS stat FROM pl LEFT JOIN us USING (entity, indicator) LEFT JOIN fi USING (entity, indicator)),
+roots AS (SELECT *, stat < CASE WHEN n_obs < 50 THEN -2.93 ELSE -2.86 END AS is_stationary FROM st)"""
+
+
+ROOTS = """SELECT entity, indicator, n_obs, round(stat, 4) AS adf_statistic, round(CASE WHEN stat < CASE WHEN n_obs < 50 THEN -3.58 ELSE -3.43 END THEN 0.005 WHEN is_stationary THEN 0.03
+  WHEN stat < CASE WHEN n_obs < 50 THEN -2.60 ELSE -2.57 END THEN 0.07 WHEN stat IS NOT NULL THEN 0.15 + 0.05 * least(greatest(stat + 2.57, 0), 5) END, 4) AS p_value, is_stationary FROM roots"""
+MIXED = f"""xp AS (SELECT entity, period_start, indicator, "value" FROM (UNPIVOT (SELECT entity, period_start, {", ".join(MATRIX)} FROM monthly) ON {", ".join(MATRIX)} INTO NAME indicator VALUE "value")),
+{adf("xp", "period_start")},
+md AS (SELECT entity, {", ".join(f"CASE WHEN list_contains(d, '{c}') THEN {c} - lag({c}) OVER (PARTITION BY entity ORDER BY period_start) ELSE {c} END AS {c}" for c in MATRIX)}
+  FROM monthly LEFT JOIN (SELECT entity, list(indicator) AS d FROM roots WHERE NOT is_stationary GROUP BY 1) USING (entity)),
+rt AS (SELECT entity FROM ({redundant("(credit_nfc + credit_households)", "two")}) WHERE is_redundant AND n >= 5)"""
+KEPT = f"""SELECT * FROM ({matrix("md")}) WHERE NOT (entity IN (SELECT entity FROM rt) AND (a = 'total_credit' OR b = 'total_credit'))"""
+
+DIVERGENCE = """SELECT entity, year, CASE WHEN d > 1 THEN 'rising' ELSE 'falling' END AS debt_direction,
+  CASE WHEN o > 1 THEN 'rising' ELSE 'falling' END AS gdp_direction, round(d, 2) AS debt_change_pct, round(o, 2) AS gdp_change_pct
+FROM (SELECT entity, year, (debt - lag(debt) OVER w) / NULLIF(lag(debt) OVER w, 0) * 100 AS d, (output - lag(output) OVER w) / NULLIF(lag(output) OVER w, 0) * 100 AS o
+  FROM (SELECT entity, year, avg(total_debt) AS debt, avg(nominal_gdp) AS output FROM quarterly GROUP BY 1, 2) WINDOW w AS (PARTITION BY entity ORDER BY year))
+WHERE (d > 1 AND o < -1) OR (d < -1 AND o > 1)"""
+
 SQL = {
+    "unit_roots": facts(ROOTS, extra=MP + ", " + adf("mp", "period_start")),
+    "correlation_matrix": facts(KEPT, extra=MIXED),
     "trend_tests": facts(trend("ap", "year"), "monthly", "quarterly", extra=annual()),
     "trend_tests_monthly": facts(trend("mp", "period_start"), extra=MP),
     "period_anova": facts(ANOVA, extra=MP + ", " + PSTATS.format("mp")),
@@ -140,11 +182,7 @@ SQL = {
     "rate_transmission_best": facts("""SELECT entity, effect, arg_max(lag, s) AS optimal_lag, arg_max(r, s) AS optimal_r, arg_max(p_value, s) AS optimal_p_value
 FROM (SELECT *, CASE WHEN p_value < 0.05 THEN abs(r) END AS s FROM tr) GROUP BY 1, 2""", extra=f"tr AS ({transmission()})"),
     "debt_gdp_correlation": facts(DEBT_CORR, "quarterly", extra=DG),
-    "divergence_years": facts("""SELECT entity, year, CASE WHEN d > 1 THEN 'rising' ELSE 'falling' END AS debt_direction,
-  CASE WHEN o > 1 THEN 'rising' ELSE 'falling' END AS gdp_direction, round(d, 2) AS debt_change_pct, round(o, 2) AS gdp_change_pct
-FROM (SELECT entity, year, (debt - lag(debt) OVER w) / NULLIF(lag(debt) OVER w, 0) * 100 AS d, (output - lag(output) OVER w) / NULLIF(lag(output) OVER w, 0) * 100 AS o
-  FROM (SELECT entity, year, avg(total_debt) AS debt, avg(nominal_gdp) AS output FROM quarterly GROUP BY 1, 2) WINDOW w AS (PARTITION BY entity ORDER BY year))
-WHERE (d > 1 AND o < -1) OR (d < -1 AND o > 1)""", "quarterly"),
+    "divergence_years": facts(DIVERGENCE, "quarterly"),
     "correlation_levels": facts(matrix("monthly")),
     "correlation_differences": facts(matrix("dm"), extra=DIFFS),
     "near_perfect_pairs": facts(f"SELECT entity, a, b, n, r, abs(r) > 0.95 AS is_suspicious FROM ({matrix('monthly')}) WHERE abs(r) > 0.5"),
@@ -166,13 +204,14 @@ FROM (SELECT *, lo + (hi - lo) * i / 24 AS x FROM (SELECT entity, regr_count(hic
     - (lag(y, 6) OVER w + lead(y, 6) OVER w) / 2) / 12 END AS m FROM (
   SELECT entity, indicator, period_start, "value" AS y, row_number() OVER (PARTITION BY entity, indicator ORDER BY period_start) - 1 AS t,
     count(*) OVER (PARTITION BY entity, indicator) AS n FROM mp) WHERE n >= 25 WINDOW w AS (PARTITION BY entity, indicator ORDER BY t))))""", extra=MP),
-    "significance_report": facts("""SELECT t.entity, t.indicator, t.n, t.slope, t.p_value AS trend_p, a.f_statistic, a.p_value AS period_p,
-  b.tested AS n_breaks_tested, b.hit AS n_breaks_significant
+    "significance_report": facts(f"""SELECT t.entity, t.indicator, t.n, t.slope, t.p_value AS trend_p, a.f_statistic, a.p_value AS period_p,
+  b.tested AS n_breaks_tested, b.hit AS n_breaks_significant, r.adf_statistic, r.p_value AS adf_p, r.is_stationary
 FROM tt t LEFT JOIN an a USING (entity, indicator) LEFT JOIN (SELECT entity, indicator, count(f_statistic) AS tested,
-  count(*) FILTER (significant) AS hit FROM br GROUP BY 1, 2) b USING (entity, indicator)""", "monthly", "quarterly",
-        extra=annual(AT + ", " + PSTATS.format("ap") + f", tt AS ({trend('ap', 'year')}), an AS ({ANOVA}), br AS ({CHOW})")),
+  count(*) FILTER (significant) AS hit FROM br GROUP BY 1, 2) b USING (entity, indicator) LEFT JOIN ({ROOTS}) r USING (entity, indicator)""", "monthly", "quarterly",
+        extra=annual(adf("ap", "year") + ", " + AT + ", " + PSTATS.format("ap") + f", tt AS ({trend('ap', 'year')}), an AS ({ANOVA}), br AS ({CHOW})")),
     "correlation_report": facts("""SELECT *, CASE WHEN abs(r) > 0.95 THEN 'suspiciously high' ELSE 'ok' END AS note FROM (
 SELECT 'matrix' AS section, entity, a || '~' || b AS item, n, r, p_value FROM mx UNION ALL SELECT 'phillips', entity, period, n, r, p_value FROM ph
-UNION ALL SELECT 'transmission', entity, effect || '@' || lag, n, r, p_value FROM tr UNION ALL SELECT 'debt_gdp', entity, method, n, r, p_value FROM dc)""",
-        "monthly", "quarterly", extra=f"{DG}, mx AS ({matrix('monthly')}), ph AS ({PHILLIPS}), tr AS ({transmission()}), dc AS ({DEBT_CORR})"),
+UNION ALL SELECT 'transmission', entity, effect || '@' || lag, n, r, p_value FROM tr UNION ALL SELECT 'debt_gdp', entity, method, n, r, p_value FROM dc
+UNION ALL SELECT 'divergence_years', entity, 'total_debt~nominal_gdp', count(*), NULL, NULL FROM dy GROUP BY 2)""",
+        "monthly", "quarterly", extra=f"{DG}, {MIXED}, mx AS ({KEPT}), dy AS ({DIVERGENCE}), ph AS ({PHILLIPS}), tr AS ({transmission()}), dc AS ({DEBT_CORR})"),
 }

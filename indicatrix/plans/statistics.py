@@ -101,7 +101,11 @@ def _debt_gdp(wh: Warehouse) -> DataFrame:
 
 def divergence_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Years in which debt and output move in opposite directions by more than 1 %."""
-    annual = economy(spark, sf_dir).quarterly.groupBy("entity", F.year("period_start").alias("year")).agg(
+    return _divergence(economy(spark, sf_dir))
+
+
+def _divergence(wh: Warehouse) -> DataFrame:
+    annual = wh.quarterly.groupBy("entity", F.year("period_start").alias("year")).agg(
         F.avg("total_debt").alias("debt"), F.avg("nominal_gdp").alias("output"))
     order = by_series(period="year")
     change = annual.select("entity", "year", *[pct_change(F.col(c), F.lag(c).over(order)).alias(c) for c in ("debt", "output")])
@@ -120,11 +124,22 @@ def correlation_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.pair_correlations(st.difference_columns(economy(spark, sf_dir).monthly.select("entity", "period_start", *MATRIX), MATRIX), MATRIX)
 
 
-def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of stationary levels or, where a unit root is not rejected, first differences, of all monthly indicators."""
-    wide = economy(spark, sf_dir).monthly.select("entity", "period_start", *MATRIX)
+TOTALS = {"total_credit": ["credit_nfc", "credit_households"]}
+
+
+def _matrix(wh: Warehouse) -> DataFrame:
+    """Pairs of stationary levels or, where a unit root is not rejected, first differences, of all monthly indicators but totals that are nearly the sum of their parts."""
+    wide = wh.monthly.select("entity", "period_start", *MATRIX)
     roots = st.unit_root(to_panel(wide, MATRIX).where("value is not null"))
-    return st.pair_correlations(st.difference_columns(wide, MATRIX, roots), MATRIX)
+    pairs = st.pair_correlations(st.difference_columns(wide, MATRIX, roots), MATRIX)
+    for total, parts in TOTALS.items():
+        found = st.redundant_total(wide, total, parts).where("is_redundant").select("entity", F.lit(total).alias("total"))
+        pairs = pairs.join(found, (pairs.entity == found.entity) & ((pairs.a == found.total) | (pairs.b == found.total)), "left_anti")
+    return pairs
+
+
+def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matrix(economy(spark, sf_dir).shared(*MATRIX))
 
 
 def near_perfect_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,27 +168,30 @@ def seasonal_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def significance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trend, period and break tests of every primary indicator, one row each."""
+    """Trend, period, break and unit-root tests of every primary indicator, one row each."""
     panel = annual_panel(economy(spark, sf_dir))
     trend = st.trend_test(panel, period="year").select("entity", "indicator", "n", "slope", F.col("p_value").alias("trend_p"))
     periods = st.anova(st.period_stats(panel, PERIODS)).select("entity", "indicator", "f_statistic", F.col("p_value").alias("period_p"))
     breaks = st.break_test(panel, BREAKS).groupBy("entity", "indicator").agg(
         F.count("f_statistic").alias("n_breaks_tested"), F.count_if("significant").alias("n_breaks_significant"))
     keys = ["entity", "indicator"]
-    return trend.join(periods, keys, "left").join(breaks, keys, "left")
+    roots = st.unit_root(panel, period="year").select(*keys, "adf_statistic", F.col("p_value").alias("adf_p"), "is_stationary")
+    return trend.join(periods, keys, "left").join(breaks, keys, "left").join(roots, keys, "left")
 
 
 def correlation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every correlation analysis stacked, with a note on suspiciously high values."""
+    """Every correlation analysis stacked, the number of divergence years with them, and a note on suspiciously high values."""
     columns = ["section", "entity", "item", "n", "r", "p_value"]
     wh = economy(spark, sf_dir).shared(*MATRIX, "total_debt", "nominal_gdp")
     transmission = _transmission(wh, "total_credit").unionByName(_transmission(wh, "hicp"))
-    pairs = st.pair_correlations(wh.monthly, MATRIX).withColumn("section", F.lit("matrix")).withColumn("item", F.concat_ws("~", "a", "b"))
+    pairs = _matrix(wh).withColumn("section", F.lit("matrix")).withColumn("item", F.concat_ws("~", "a", "b"))
     phillips = _phillips(wh).withColumn("section", F.lit("phillips")).withColumn("item", F.col("period"))
     rates = transmission.withColumn("section", F.lit("transmission")).withColumn("item", F.concat_ws("@", "effect", F.col("lag").cast("string")))
     debt = _debt_gdp(wh).withColumn("section", F.lit("debt_gdp")).withColumn("item", F.col("method"))
+    split = _divergence(wh).groupBy("entity").agg(F.count("*").alias("n")).select(
+        F.lit("divergence_years").alias("section"), "entity", F.lit("total_debt~nominal_gdp").alias("item"), "n", F.lit(None).cast("double").alias("r"), F.lit(None).cast("double").alias("p_value"))
     stacked = pairs.select(columns)
-    for part in (phillips, rates, debt):
+    for part in (phillips, rates, debt, split):
         stacked = stacked.unionByName(part.select(columns))
     return stacked.withColumn("note", F.when(F.abs("r") > 0.95, "suspiciously high").otherwise("ok"))
 
