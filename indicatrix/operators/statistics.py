@@ -225,7 +225,7 @@ def _augmented(level: Column, n: Column, swept: Column, lags: Column) -> Column:
     full = F.size(F.filter(swept["used"], lambda u: u)) == lags + 2
     variance = residual_square(swept, 6) / F.greatest(n - lags - 2, F.lit(1))
     err = F.sqrt(F.greatest(variance * swept["a"][1][1], F.lit(0.0)))
-    return F.when(full, F.when(err > 0, level / err).otherwise(0.0))
+    return F.when(full, F.coalesce(level / F.when(err > 0, err), F.lit(0.0)))
 
 
 def unit_root(panel: DataFrame, series: Sequence[str] = LONG, period: str = "period_start", value: str = "value",
@@ -246,9 +246,10 @@ def unit_root(panel: DataFrame, series: Sequence[str] = LONG, period: str = "per
         gram([F.lit(1.0), F.col("_z1"), *lagged_changes, change], F.col("_t") > F.col("_k")).alias("g"))
     solved = sums.withColumn("s", sweep(F.col("g"), max_lag + 2))
     n, sxx, syy, sxy = (F.col(f"m.{c}") for c in ("n", "sxx", "syy", "sxy"))
-    slope = sxy / F.when(sxx > TOLERANCE * n, sxx)
-    plain_err = F.sqrt(F.greatest(syy - slope * sxy, F.lit(0.0)) / F.greatest(n - 2, F.lit(1)) / sxx)
-    plain = F.when(plain_err > 0, slope / plain_err).when(slope.isNotNull(), 0.0)
+    varying = F.when(sxx > TOLERANCE * n, sxx)
+    slope = sxy / varying
+    plain_err = F.sqrt(F.greatest(syy - slope * sxy, F.lit(0.0)) / F.greatest(n - 2, F.lit(1)) / varying)
+    plain = F.coalesce(slope / F.when(plain_err > 0, plain_err), F.when(slope.isNotNull(), 0.0))
     solved = solved.withColumn("_a", _augmented(coefficient(F.col("s"), 1, 6), F.col("n") - 1 - F.col("k"), F.col("s"), F.col("k"))).withColumn("_b", plain)
     enough = F.col("n") >= min_n
     fitted = solved.select(*series, F.when(~enough, F.col("n")).when(F.col("_a").isNotNull(), F.col("n") - 1 - F.col("k")).otherwise(F.col("n") - 1).alias("n_obs"),
