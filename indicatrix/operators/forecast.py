@@ -2,7 +2,7 @@
 
 Trend, log-trend and mean-reversion models have closed forms, so a fit is an aggregation, a path is an expression over
 ``sequence(1, horizon)``, and every expanding-window origin is a prefix window aggregate: nothing is refitted in a loop.
-Only models without a closed form run as grouped pandas functions, one series (bounded by the calendar) per call.
+Models without a closed form are folds over one array per series or sweeps of running sums; only a user's own model runs as a grouped pandas function.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from indicatrix.functions.keys import add_periods
 from indicatrix.functions.numeric import ratio, rounded
+from indicatrix.operators.folds import autoregressive_path, seasonal_fit, seasonal_path, series_array, smoothed, spread
+from indicatrix.operators.regression import coefficient, gram, residual_square, standardized, sweep
 from indicatrix.operators.windows import by_series
 
 LONG = ("entity", "indicator")
@@ -122,12 +124,9 @@ def best_alpha(panel: DataFrame, grid: Sequence[float], series: Sequence[str] =
 
 def smooth_with(panel: DataFrame, alphas: DataFrame, series: Sequence[str] = LONG) -> DataFrame:
     """Each series smoothed with its own weight."""
-    joined = _observations(panel, series).join(alphas.select(*series, "alpha"), list(series))
-    fold = F.aggregate(
-        "obs", F.array().cast("array<struct<p:date,v:double>>"),
-        lambda acc, x: F.concat(acc, F.array(F.struct(x["p"].alias("p"), F.when(F.size(acc) == 0, x["v"]).otherwise(
-            F.col("alpha") * x["v"] + (1 - F.col("alpha")) * F.element_at(acc, -1)["v"]).alias("v")))))
-    return joined.select(*series, fold.alias("o")).select(*series, F.inline("o").alias("period_start", "value"))
+    joined = series_array(panel, series).join(alphas.select(*series, "alpha"), list(series))
+    rows = F.arrays_zip("periods", smoothed(F.col("y"), F.col("alpha")).alias("s"))
+    return joined.select(*series, F.inline(rows).alias("period_start", "value"))
 
 
 # ---- debt path ----------------------------------------------------------------------------------------------------
@@ -243,80 +242,81 @@ def ensemble(forecasts: DataFrame, weights: DataFrame, series: Sequence[str] = L
     return joined.groupBy(*series, "h", "period_start").agg(*[rounded(F.sum(F.col(c) * F.col("weight"))).alias(c) for c in BANDS])
 
 
-# ---- models without a closed form ---------------------------------------------------------------------------------
-
-def holt_winters_fit(y: np.ndarray, cycle: int, horizon: int) -> tuple[np.ndarray, np.ndarray]:
-    """Additive level, trend and season on a grid of weights, all combinations advanced together; returns path and residuals."""
-    if len(y) < 2 * cycle:
-        raise ValueError("series shorter than two cycles")
-    grid = np.array([(a, b, g) for a in (0.1, 0.3, 0.5, 0.7, 0.9) for b in (0.0, 0.05, 0.2) for g in (0.05, 0.2, 0.5)]).T
-    alpha, beta, gamma = grid
-    first, second = y[:cycle].mean(), y[cycle:2 * cycle].mean()
-    level = np.full(grid.shape[1], first)
-    trend = np.full(grid.shape[1], (second - first) / cycle)
-    season = [np.full(grid.shape[1], y[i] - first) for i in range(cycle)]
-    residuals = np.empty((len(y), grid.shape[1]))
-    for t, value in enumerate(y):
-        s = season[t % cycle]
-        residuals[t] = value - (level + trend + s)
-        before = level
-        level = alpha * (value - s) + (1 - alpha) * (level + trend)
-        trend = beta * (level - before) + (1 - beta) * trend
-        season[t % cycle] = gamma * (value - level) + (1 - gamma) * s
-    best = int(np.argmin((residuals ** 2).sum(axis=0)))
-    path = np.array([level[best] + (h + 1) * trend[best] + season[(len(y) + h) % cycle][best] for h in range(horizon)])
-    return path, residuals[:, best]
-
-
-def autoregression_fit(y: np.ndarray, horizon: int, max_p: int = 3, max_d: int = 1) -> tuple[np.ndarray, np.ndarray, tuple[int, int], float]:
-    """AR(p) on the d-th difference with the smallest AIC: path, residuals, order and AIC. Orders compete on the same sample."""
-    best = None
-    for d in range(max_d + 1):
-        w = np.diff(y, d) if d else y
-        for p in range(max_p + 1):
-            skip = max_p + max_d - d
-            target = w[skip:]
-            if len(target) < p + 5:
-                continue
-            x = np.column_stack([np.ones(len(target))] + [w[skip - j:len(w) - j] for j in range(1, p + 1)])
-            beta, *_ = np.linalg.lstsq(x, target, rcond=None)
-            residual = target - x @ beta
-            aic = len(target) * np.log(max(float(residual @ residual) / len(target), 1e-300)) + 2 * (p + 2)
-            if best is None or aic < best[0]:
-                best = (aic, (p, d), beta, residual)
-    if best is None:
-        raise ValueError("series too short")
-    aic, (p, d), beta, residual = best
-    w, path = list(np.diff(y, d) if d else y), []
-    for _ in range(horizon):
-        step = float(beta[0] + sum(beta[j] * w[-j] for j in range(1, p + 1)))
-        w.append(step)
-        path.append(step)
-    out = np.array(path)
-    return (y[-1] + np.cumsum(out) if d else out), residual, (p, d), float(aic)
-
-
-def fitted_forecasts(panel: DataFrame, model: str, horizon: int, grain: str, cycle: int, series: Sequence[str] = LONG) -> DataFrame:
-    """Holt-Winters or autoregression with bands growing as sqrt(h); a series the model cannot fit keeps its rows, without values and with the reason as detail."""
-    keys = [f"{c} {t}" for c, t in panel.select(*series).dtypes]
+# ---- seasonal smoothing and order search --------------------------------------------------------------------------
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values("period_start")
-        y = ordered["value"].to_numpy(dtype=float)
-        columns = [*series, "h", "last_period", "center", "sigma", "detail"]
-        try:
-            if model == "holt_winters":
-                path, residual, detail = *holt_winters_fit(y, cycle, horizon), ""
-            else:
-                path, residual, order, aic = autoregression_fit(y, horizon)
-                detail = f"p={order[0]} d={order[1]} aic={aic:.2f}"
-        except ValueError as reason:
-            return pd.DataFrame([(*key, h + 1, ordered["period_start"].iloc[-1], np.nan, np.nan, str(reason)) for h in range(horizon)], columns=columns)
-        sigma = float(np.std(residual, ddof=1))
-        return pd.DataFrame([(*key, h + 1, ordered["period_start"].iloc[-1], float(path[h]), sigma, detail) for h in range(horizon)], columns=columns)
+ORDERS = 3
 
-    known = panel.where(F.col("value").isNotNull()).select(*series, "period_start", "value")
-    fit = known.groupBy(*series).applyInPandas(run, ", ".join([*keys, "h int, last_period date, center double, sigma double, detail string"]))
-    c, w = F.col("center"), F.col("sigma") * F.sqrt("h")
-    return fit.select(*series, "h", add_periods(F.col("last_period"), F.col("h"), grain).alias("period_start"), c.alias("forecast"), (c - w).alias("lower_68"),
-                      (c + w).alias("upper_68"), (c - 1.96 * w).alias("lower_95"), (c + 1.96 * w).alias("upper_95"), "detail")
+
+def holt_winters_fits(panel: DataFrame, cycle: int, origins: Column, horizon: int, series: Sequence[str] = LONG) -> DataFrame:
+    """``series, origin, n, last_period, path, sigma`` for each origin (number of values the fit may use; the array ``origins`` may use n); y and the path null below two cycles."""
+    rows = series_array(panel, series).withColumn("n", F.size("y"))
+    rows = rows.withColumn("origin", F.explode(origins)).withColumn("_y", F.slice("y", F.lit(1), F.col("origin")))
+    fitted = rows.withColumn("_f", seasonal_fit(F.col("_y"), cycle))
+    return fitted.select(*series, "origin", "n", "y", F.get("periods", F.col("origin") - 1).alias("last_period"), F.when(F.col("_f").isNotNull(), seasonal_path(F.col("_f"), cycle, horizon)).alias("path"),
+                         spread(F.col("_f.sse"), F.col("_f.sr"), F.col("origin")).alias("sigma"))
+
+
+def autoregression_fits(panel: DataFrame, is_origin: Column, horizon: int, series: Sequence[str] = LONG) -> DataFrame:
+    """``series, origin, n, last_period, path, sigma, p, d, aic`` at every row that ``is_origin`` (may use t and n) names; path null where no order has enough values.
+
+    The Gram matrices of levels and of changes on their last three values are running sums, so every origin has its own fit without a refit; all orders come
+    from sweeping one more column each, on the same rows, and the smallest AIC wins (of equal ones the fewer differences, then the smaller order).
+    """
+    order = by_series(series, "period_start")
+    known = panel.where(F.col("value").isNotNull()).select(*series, "period_start", F.col("value").cast("double").alias("value"))
+    z = standardized(known, "value", series).withColumn("t", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*series)))
+    z = z.withColumns({f"_z{k}": F.lag("z", k).over(order) for k in range(1, ORDERS + 2)}).withColumnRenamed("z", "_z0")
+    levels = [F.col(f"_z{k}") for k in range(ORDERS + 1)]
+    changes = [F.col(f"_z{k}") - F.col(f"_z{k + 1}") for k in range(ORDERS + 1)]
+    sample = F.col("t") >= ORDERS + 1
+    grams = {f"_g{d}": gram([F.lit(1.0), *w[1:], w[0]], sample, _prefix(series)) for d, w in enumerate((levels, changes))}
+    rows = z.withColumns(grams).where(is_origin).withColumn("origin", F.col("t") + 1)
+    used = (F.col("origin") - ORDERS - 1).cast("double")
+    target = ORDERS + 1
+    for d in (0, 1):
+        for p in range(ORDERS + 1):
+            rows = rows.withColumn(f"_s{d}{p}", sweep(F.col(f"_g{d}"), p + 1))
+
+    def fit(d: int, p: int) -> Column:
+        s = F.col(f"_s{d}{p}")
+        rss = residual_square(s, target) * F.col("_sd") * F.col("_sd")
+        aic = used * F.ln(F.greatest(rss / F.when(used > 0, used), F.lit(1e-300))) + 2 * (p + 2)
+        beta = F.array(*[coefficient(s, k, target) if k <= p else F.lit(0.0) for k in range(target)])
+        return F.when(used >= p + 5, F.struct(aic.alias("aic"), F.lit(d).alias("d"), F.lit(p).alias("p"), rss.alias("rss"), beta.alias("beta")))
+
+    rows = rows.withColumn("_f", F.array_min(F.filter(F.array(*[fit(d, p) for d in (0, 1) for p in range(ORDERS + 1)]), lambda f: f.isNotNull())))
+    differenced = F.col("_f.d") == 1
+    last = [F.when(differenced, change).otherwise(level) for change, level in zip(changes[:ORDERS], levels[:ORDERS])]
+    path = autoregressive_path([F.col("_f.beta")[k] for k in range(target)], last, F.col("_z0"), differenced, horizon)
+    raw = F.when(F.col("_f").isNotNull(), F.transform(path, lambda v: F.col("_mean") + F.col("_sd") * v))
+    return rows.select(*series, "origin", "n", F.col("period_start").alias("last_period"), raw.alias("path"), F.sqrt(F.col("_f.rss") / F.when(used > 1, used - 1)).alias("sigma"), "_f.p", "_f.d", "_f.aic")
+
+
+def _spread_out(fits: DataFrame, detail: Column, horizon: int, grain: str, series: Sequence[str]) -> DataFrame:
+    """A row for each step with bands growing as sqrt(h); a fit without a path keeps its rows, without values and with the reason as detail."""
+    steps = F.arrays_zip(F.sequence(F.lit(1), F.lit(horizon)).alias("h"), F.coalesce("path", F.array_repeat(F.lit(None).cast("double"), horizon)).alias("c"))
+    rows = fits.withColumn("detail", detail).select(*series, "last_period", "sigma", "detail", F.inline(steps))
+    c, w = F.col("c"), F.col("sigma") * F.sqrt("h")
+    return rows.select(*series, "h", add_periods(F.col("last_period"), F.col("h"), grain).alias("period_start"), c.alias("forecast"), (c - w).alias("lower_68"),
+                       (c + w).alias("upper_68"), (c - 1.96 * w).alias("lower_95"), (c + 1.96 * w).alias("upper_95"), "detail")
+
+
+def holt_winters(panel: DataFrame, horizon: int, grain: str, cycle: int, series: Sequence[str] = LONG) -> DataFrame:
+    """Additive Holt-Winters of every series on a grid of weights."""
+    fits = holt_winters_fits(panel, cycle, F.array("n"), horizon, series)
+    return _spread_out(fits, F.when(F.col("path").isNull(), "series shorter than two cycles").otherwise(""), horizon, grain, series)
+
+
+def autoregression(panel: DataFrame, horizon: int, grain: str, series: Sequence[str] = LONG) -> DataFrame:
+    """AR(p) of the values or their changes, up to three lags, with the smallest AIC."""
+    fits = autoregression_fits(panel, F.col("t") == F.col("n") - 1, horizon, series)
+    found = F.format_string("p=%d d=%d aic=%.2f", F.col("p"), F.col("d"), F.col("aic"))
+    return _spread_out(fits, F.when(F.col("path").isNull(), "series too short").otherwise(found), horizon, grain, series)
+
+
+def split_forecasts(fits: DataFrame, panel: DataFrame, name: str, step_ahead: int, series: Sequence[str] = LONG) -> DataFrame:
+    """Backtest rows (as ``prefix_forecasts``) of fits at their origins; a fit without a path has rows without a prediction."""
+    actual = panel.where(F.col("value").isNotNull()).select(*series, F.col("value").alias("actual"), F.row_number().over(by_series(series, "period_start")).alias("_at"))
+    steps = F.arrays_zip(F.sequence(F.lit(1), F.lit(step_ahead)).alias("h"), F.coalesce("path", F.array_repeat(F.lit(None).cast("double"), step_ahead)).alias("predicted"))
+    rows = fits.select(*series, F.lit(name).alias("model"), F.col("origin").cast("int").alias("origin"), F.inline(steps)).withColumn("_at", F.col("origin") + F.col("h"))
+    return rows.join(actual, [*series, "_at"]).select(*series, "model", "origin", "h", "actual", "predicted")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from indicatrix.functions.numeric import col, pct_change
 from indicatrix.functions.keys import month_index
+from indicatrix.operators.folds import series_array, smoothed
 
 SERIES = ("entity",)
 PERIOD = "period_start"
@@ -139,25 +140,10 @@ def observation_index(series: Sequence[str] = SERIES, period: str = PERIOD) -> C
 
 
 def smooth(value: str, alpha: float, series: Sequence[str] = SERIES, period: str = PERIOD) -> Callable[[DataFrame], DataFrame]:
-    """Simple exponential smoothing of every series: one ordered array per series, folded with ``aggregate``."""
+    """Simple exponential smoothing of every series: one ordered array per series, scanned chunk by chunk."""
 
     def transform(df: DataFrame) -> DataFrame:
-        pairs = F.array_sort(F.collect_list(F.struct(F.col(period).alias("p"), F.col(value).alias("v"))))
-        folded = df.where(F.col(value).isNotNull()).groupBy(*series).agg(pairs.alias("_obs")).select(
-            *series,
-            F.aggregate(
-                "_obs",
-                F.array().cast(f"array<struct<p:date,v:double,s:double>>"),
-                lambda acc, x: F.concat(
-                    acc,
-                    F.array(F.struct(
-                        x["p"].alias("p"), x["v"].alias("v"),
-                        F.when(F.size(acc) == 0, x["v"])
-                        .otherwise(alpha * x["v"] + (1 - alpha) * F.element_at(acc, -1)["s"]).alias("s"),
-                    )),
-                ),
-            ).alias("_out"),
-        )
-        return folded.select(*series, F.inline("_out").alias(period, value, "smoothed"))
+        rows = series_array(df, series, period, value)
+        return rows.select(*series, F.inline(F.arrays_zip("periods", "y", smoothed(F.col("y"), F.lit(float(alpha))).alias("s"))).alias(period, value, "smoothed"))
 
     return transform

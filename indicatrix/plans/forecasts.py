@@ -130,32 +130,58 @@ def ensemble_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seasonal_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(fc.fitted_forecasts(_monthly(economy(spark, sf_dir), "unemployment_rate", "hicp"), "holt_winters", 12, "month", 12).drop("detail"))
+    return _round(fc.holt_winters(_monthly(economy(spark, sf_dir), "unemployment_rate", "hicp"), 12, "month", 12).drop("detail"))
 
 
 def order_search_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(fc.fitted_forecasts(_quarterly(economy(spark, sf_dir), "real_gdp"), "autoregression", 8, "quarter", 4))
+    return _round(fc.autoregression(_quarterly(economy(spark, sf_dir), "real_gdp"), 8, "quarter"))
 
 
-def full_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All four kinds of models on the rate, each scored on the last three splits."""
-    panel = _monthly(economy(spark, sf_dir).shared("unemployment_rate", "hicp"), "unemployment_rate", "hicp")
-    def splits(n: int) -> list[int]:
-        return [n - k * 12 for k in (3, 2, 1) if n - k * 12 >= 12]
-    scored = _scores(panel, ["linear", "mean_reversion"], 12).unionByName(
-        fc.udf_forecasts(panel, "holt_winters", lambda y, h: fc.holt_winters_fit(y, 12, h)[0], 12, splits)).unionByName(
-        fc.udf_forecasts(panel, "autoregression", lambda y, h: fc.autoregression_fit(y, h)[0], 12, splits))
-    runs = [("linear", fc.linear_trend(panel, 12, "month")), ("mean_reversion", fc.mean_reversion(panel, 12, "month")),
-            ("holt_winters", fc.fitted_forecasts(panel, "holt_winters", 12, "month", 12).drop("detail")),
-            ("autoregression", fc.fitted_forecasts(panel, "autoregression", 12, "month", 12).drop("detail"))]
+#: Indicator, grain and steps of the pillars' ensembles: a year ahead.
+ENSEMBLES = [("unemployment_rate", "month", 12), ("hicp", "month", 12), ("ecb_main_refinancing_rate", "month", 12), ("total_credit", "month", 12),
+             ("real_gdp", "quarter", 4), ("debt_to_gdp_ratio", "quarter", 4)]
+MODELS = ["linear", "mean_reversion", "holt_winters", "autoregression"]
+
+
+def _all_models(panel: DataFrame, grain: str, cycle: int) -> tuple[DataFrame, DataFrame]:
+    """Forecasts of all four models, and their backtest rows on the last three splits of a year."""
+    first = [F.col("n") - k * cycle for k in (3, 2, 1)]
+    splits = F.filter(F.array(*first), lambda o: o >= 12)
+    scored = _scores(panel, ["linear", "mean_reversion"], cycle) \
+        .unionByName(fc.split_forecasts(fc.holt_winters_fits(panel, cycle, splits, cycle), panel, "holt_winters", cycle)) \
+        .unionByName(fc.split_forecasts(fc.autoregression_fits(panel, fc.last_splits(3, cycle), cycle), panel, "autoregression", cycle))
+    runs = [fc.linear_trend(panel, cycle, grain), fc.mean_reversion(panel, cycle, grain), fc.holt_winters(panel, cycle, grain, cycle).drop("detail"), fc.autoregression(panel, cycle, grain).drop("detail")]
     stacked = None
-    for name, run in runs:
+    for name, run in zip(MODELS, runs):
         named = run.withColumn("model", F.lit(name))
         stacked = named if stacked is None else stacked.unionByName(named)
-    return fc.ensemble(stacked, fc.model_weights(scored))
+    return stacked, scored
+
+
+def _ensembles(wh: Warehouse) -> tuple[DataFrame, DataFrame]:
+    parts = []
+    for grain, cycle in (("month", 12), ("quarter", 4)):
+        names = [c for c, g, _ in ENSEMBLES if g == grain]
+        parts.append(_all_models(_monthly(wh, *names) if grain == "month" else _quarterly(wh, *names), grain, cycle))
+    return parts[0][0].unionByName(parts[1][0]), parts[0][1].unionByName(parts[1][1])
+
+
+def full_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four kinds of models on the leading indicator of each of the six pillars, weighted by their errors on the last three splits."""
+    forecasts, scored = _ensembles(economy(spark, sf_dir).shared(*[c for c, _, _ in ENSEMBLES]))
+    return fc.ensemble(forecasts, fc.model_weights(scored))
+
+
+def ensemble_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each series and model of the ensembles: origins scored, error, weight, and whether it failed."""
+    _, scored = _ensembles(economy(spark, sf_dir).shared(*[c for c, _, _ in ENSEMBLES]))
+    weights = fc.model_weights(scored)
+    origins = scored.groupBy("entity", "indicator", "model").agg(F.count_distinct("origin").alias("origins"))
+    status = F.when(F.col("mae").isNull(), "failed").otherwise("ok")
+    return weights.join(origins, ["entity", "indicator", "model"]).select("entity", "indicator", "model", "origins", rounded("mae", 4).alias("mae"), rounded("weight", 4).alias("weight"), status.alias("status"))
 
 
 QUERIES = {f.__name__: f for f in (
     gdp_forecast, credit_forecast, credit_growth, rate_forecast, inflation_forecast, smoothing_weights, unemployment_forecast, trend_forecast,
     debt_forecast, backtest_origins, backtest_gdp, backtest_unemployment, ensemble_weights, ensemble_forecast, seasonal_forecast,
-    order_search_forecast, full_ensemble)}
+    order_search_forecast, full_ensemble, ensemble_status)}
