@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
@@ -58,6 +59,36 @@ def f_upper(f: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
         return regularised_beta(x, d2 / 2, d1 / 2)
 
 
+def t_coverage(t: Column, df: Column) -> Column:
+    """P(|T| <= t) for whole degrees of freedom, as an expression: the finite series in cos^2 of the angle whose tangent is t / sqrt(df)."""
+    square = df / (df + t * t)
+    odd = df % 2 == 1
+    terms = F.floor(F.when(odd, (df - 1) / 2).otherwise(df / 2)).cast("int")
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(1.0).alias("term"))
+
+    def step(acc: Column, k: Column) -> Column:
+        grows = F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
+        return F.struct((acc["total"] + acc["term"]).alias("total"), (acc["term"] * grows * square).alias("term"))
+
+    series = F.aggregate(F.when(terms > 0, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>")), start, step, lambda acc: acc["total"])
+    sine = t / F.sqrt(df + t * t)
+    return F.when(odd, (F.atan(t / F.sqrt(df)) + sine * F.sqrt(square) * series) * (2 / math.pi)).otherwise(sine * series)
+
+
+def t_two_sided_quantile(level: float, df: Column) -> Column:
+    """The value that |T| stays within with this probability, for whole degrees of freedom from 1 on: bisection of ``t_coverage``, inside Catalyst."""
+    whole = F.when(df >= 1, df.cast("double"))
+    start = F.struct(F.lit(0.0).alias("low"), F.lit(1e4).alias("high"))
+
+    def step(acc: Column, _: Column) -> Column:
+        middle = (acc["low"] + acc["high"]) / 2
+        below = t_coverage(middle, whole) < level
+        return F.struct(F.when(below, middle).otherwise(acc["low"]).alias("low"), F.when(below, acc["high"]).otherwise(middle).alias("high"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, step, lambda acc: (acc["low"] + acc["high"]) / 2)
+    return F.when(whole.isNotNull(), found)
+
+
 def t_quantile(level: np.ndarray, df: np.ndarray) -> np.ndarray:
     """Two-sided critical value: P(|T| > value) = 1 - level, by bisection."""
     level, df = np.asarray(level, dtype=float), np.asarray(df, dtype=float)
@@ -85,8 +116,3 @@ def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
 @pandas_udf(DoubleType())
 def f_p_value(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _where_known(f_upper, f, d1, d2)
-
-
-@pandas_udf(DoubleType())
-def t_critical(level: pd.Series, df: pd.Series) -> pd.Series:
-    return _where_known(t_quantile, level, df)

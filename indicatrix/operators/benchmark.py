@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from indicatrix.functions.bands import band
 from indicatrix.functions.numeric import rounded
@@ -19,19 +19,23 @@ def peer_average(panel: DataFrame) -> DataFrame:
 
 def with_gap(panel: DataFrame, average: DataFrame | None = None) -> DataFrame:
     """Gap to the comparison value of the same indicator and year: a given one, or the mean of all peers."""
-    average = peer_average(panel) if average is None else average
+    average = F.broadcast(peer_average(panel)) if average is None else average  # one row for each indicator and year
     return panel.join(average, ["indicator", "year"]).withColumn("gap", F.col("value") - F.col("average"))
 
 
-def convergence(gaps: DataFrame, window: int = 5) -> DataFrame:
-    """Slope of the absolute gap over the last ``window`` years of each series: shrinking is converging."""
+def _series_fit(gaps: DataFrame, window: int, *kept: Column) -> DataFrame:
+    """Per series: years and slope of the last ``window`` years, the trend they make, and further aggregates (which may use _k, 1 for the last year)."""
     back = F.row_number().over(Window.partitionBy("entity", "indicator").orderBy(F.desc("year")))
     recent = gaps.withColumn("_k", back).where(F.col("_k") <= window)
     position = (-F.col("_k")).cast("double")
-    fit = recent.groupBy("entity", "indicator").agg(F.count("*").alias("n_years"), F.regr_slope(F.abs("gap"), position).alias("slope"))
+    fit = recent.groupBy("entity", "indicator").agg(F.count("*").alias("n_years"), F.regr_slope(F.abs("gap"), position).alias("slope"), *kept)
     label = F.when(F.col("n_years") < 2, "insufficient_data").when(F.col("slope") > 0, "diverging").otherwise("converging")
-    return fit.select("entity", "indicator", "n_years", label.alias("trend"),
-                      F.when(F.col("n_years") < 2, 0.0).otherwise(rounded("slope", 3)).alias("convergence_rate"))
+    return fit.withColumn("trend", label).withColumn("convergence_rate", F.when(F.col("n_years") < 2, 0.0).otherwise(rounded("slope", 3)))
+
+
+def convergence(gaps: DataFrame, window: int = 5) -> DataFrame:
+    """Slope of the absolute gap over the last ``window`` years of each series: shrinking is converging."""
+    return _series_fit(gaps, window).select("entity", "indicator", "n_years", "trend", "convergence_rate")
 
 
 def latest_year(panel: DataFrame) -> DataFrame:
@@ -40,12 +44,19 @@ def latest_year(panel: DataFrame) -> DataFrame:
     return panel.join(F.broadcast(newest), "year")  # one row
 
 
-def compare(panel: DataFrame, window: int = 5) -> DataFrame:
-    """Latest value, rank, gap to the average and trend of every entity and indicator."""
-    gaps = with_gap(panel)
-    latest = rank_peers(latest_year(gaps), ["indicator", "year"], lower_is_better=F.col("lower_is_better"))
-    return latest.join(convergence(gaps, window), ["entity", "indicator"], "left").select(
-        "entity", "indicator", "year", rounded("value", 4).alias("value"), "rank", "n_peers", rounded("gap").alias("gap_to_average"), "trend", "convergence_rate")
+def compare(panel: DataFrame, window: int = 5, ranker: Callable[..., DataFrame] = rank_peers) -> DataFrame:
+    """Value, rank, gap to the average and trend in the newest year of the panel, of every entity and indicator that has it.
+
+    Averages and the newest year are one small table; a series' last row and its trend come from one aggregation. For peer groups of any size pass
+    ``number_large_groups`` as ``ranker``.
+    """
+    average = peer_average(panel)
+    newest = Window.partitionBy()  # over one row for each indicator and year
+    gaps = with_gap(panel, F.broadcast(average.withColumn("newest", F.max("year").over(newest))))
+    last = [F.max(F.when(F.col("_k") == 1, F.col(c))).alias(c) for c in ("year", "value", "gap", "n_peers", "lower_is_better", "newest")]
+    latest = _series_fit(gaps, window, *last).where("year = newest").drop("newest")
+    ranked = ranker(latest, ["indicator", "year"], lower_is_better=F.col("lower_is_better"))
+    return ranked.select("entity", "indicator", "year", rounded("value", 4).alias("value"), "rank", "n_peers", rounded("gap").alias("gap_to_average"), "trend", "convergence_rate")
 
 
 def convergence_overview(compared: DataFrame) -> DataFrame:
@@ -62,8 +73,9 @@ def peer_pivot(panel: DataFrame, entities: Sequence[str]) -> DataFrame:
         *[rounded(F.max(F.when(F.col("entity") == e, F.col("value"))), 4).alias(e) for e in entities], rounded(F.first("average"), 4).alias("AVG"))
 
 
-def rank_history(panel: DataFrame, focal: str | None = None) -> DataFrame:
-    ranked = rank_peers(panel.join(peer_average(panel), ["indicator", "year"]), ["indicator", "year"], lower_is_better=F.col("lower_is_better"))
+def rank_history(panel: DataFrame, focal: str | None = None, ranker: Callable[..., DataFrame] = rank_peers) -> DataFrame:
+    """Rank in every year, of all entities or one; ``ranker`` as in ``compare``."""
+    ranked = ranker(with_gap(panel), ["indicator", "year"], lower_is_better=F.col("lower_is_better"))
     if focal is not None:
         ranked = ranked.where(F.col("entity") == focal)
     return ranked.select("entity", "indicator", "year", rounded("value", 4).alias("value"), "rank", F.col("n_peers").alias("total_peers"))

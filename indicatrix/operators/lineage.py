@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -16,19 +16,25 @@ RECORD_SCHEMA = ("run_id string, stage string, pillar string, rows_in bigint, ro
 RUN_SCHEMA = "run_id string, mode string, started_at timestamp, finished_at timestamp, status string, records bigint"
 
 
-def stage_counts(before: DataFrame, after: DataFrame, stage: str, pillar: str) -> DataFrame:
-    """Rows in, rows out and nulls of one stage, as a lazy one-row table."""
-    nulls = sum((F.count_if(F.col(c).isNull()) for c in after.columns), F.lit(0))
-    rows_in = before.agg(F.count("*").alias("rows_in"))
-    rows_out = after.agg(F.count("*").alias("rows_out"), nulls.alias("null_count"))
-    return rows_in.crossJoin(rows_out).select(F.lit(stage).alias("stage"), F.lit(pillar).alias("pillar"), "*")
-
-
 def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
-    """Attach row and null counts to a DataFrame; they are filled in by the action that writes it, without a second pass."""
-    observation = Observation(name)
+    """Attach row and null counts and a checksum to a DataFrame; the action that writes it fills them in, without a second pass.
+
+    The checksum adds up hashes of whole rows, so it does not depend on their order or partitions.
+    """
+    observation = Observation(f"{name}_{uuid.uuid4().hex}")
     nulls = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0))
-    return df.observe(observation, F.count(F.lit(1)).alias("rows"), nulls.alias("nulls")), observation
+    hashes = F.sum(F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(38,0)"))
+    return df.observe(observation, F.count(F.lit(1)).alias("rows"), nulls.alias("nulls"), hashes.alias("hashes")), observation
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """Attach a row count only."""
+    observation = Observation(f"{name}_{uuid.uuid4().hex}")
+    return df.observe(observation, F.count(F.lit(1)).alias("rows")), observation
+
+
+def checksum(hashes) -> str:
+    return f"{int(hashes or 0) % 2**64:016x}"
 
 
 @dataclass
@@ -56,6 +62,19 @@ class RunTracker:
             self.record(name, pillar, status="failed", duration_s=time.monotonic() - started, error=str(error))
             raise
 
+    def run(self, name: str, pillar: str, source: DataFrame, transform: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], None]) -> bool:
+        """Transform and write one pillar; rows in, rows out, nulls and checksum come from the write itself. A failure is recorded and does not stop the run."""
+        try:
+            with self.stage(name, pillar) as counts:
+                read, rows_in = counted(source, "in")
+                out, metrics = observed(transform(read), "out")
+                write(out)
+                found = metrics.get
+                counts |= {"rows_in": int(rows_in.get["rows"]), "rows_out": int(found["rows"]), "null_count": int(found["nulls"]), "checksum": checksum(found["hashes"])}
+            return True
+        except Exception:
+            return False
+
     def __enter__(self) -> "RunTracker":
         self.started = datetime.now(timezone.utc)
         return self

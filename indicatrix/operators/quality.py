@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from indicatrix.functions.numeric import ratio, rounded
 from indicatrix.operators.joins import small_table
 from indicatrix.registry import PILLARS, Pillar
+from indicatrix.sources.state import VersionedTable
 
 COLUMNS = ["check", "pillar", "status", "affected_rows", "details"]
 CHECK_SCHEMA = "check string, pillar string, status string, affected_rows bigint, details string"
@@ -62,10 +63,10 @@ def range_extremes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _rows(one, [F.struct(F.lit(c).alias("indicator"), F.col(f"lo_{c}").alias("actual_min"), F.col(f"hi_{c}").alias("actual_max")) for c in columns])
 
 
-def check_freshness(df: DataFrame, pillars: Sequence[Pillar], end_year: int) -> DataFrame:
-    """The newest key of pillars held in one table against the year that should be there."""
-    one = df.agg(F.max("date_key").alias("newest"))
-    fresh = F.col("newest").contains(str(end_year))
+def check_freshness(df: DataFrame, pillars: Sequence[Pillar], end: DataFrame) -> DataFrame:
+    """The newest key of pillars held in one table against the year that should be there (``end``: one row with end_year)."""
+    one = df.agg(F.max("date_key").alias("newest")).join(F.broadcast(end))  # one row each
+    fresh = F.col("newest").contains(F.col("end_year").cast("string"))
     return _rows(one, [_row(f"freshness_{p.key}", p.key, F.when(fresh, "pass").otherwise("warn"), F.lit(0), F.concat(F.lit("newest key "), F.col("newest"))) for p in pillars])
 
 
@@ -109,8 +110,8 @@ def outlier_report(panel: DataFrame, by: Sequence[str] = ("entity", "indicator")
 
 
 def baseline_stats(panel: DataFrame, by: Sequence[str] = ("entity", "indicator"), min_n: int = 10) -> DataFrame:
-    """Mean and deviation of each series: the table a later run compares itself with."""
-    return panel.groupBy(*by).agg(F.count("value").alias("n"), rounded(F.avg("value"), 4).alias("mean"), rounded(F.stddev_samp("value"), 4).alias("std")).where(
+    """Mean, deviation and median of each series: the table a later run compares itself with."""
+    return panel.groupBy(*by).agg(F.count("value").alias("n"), rounded(F.avg("value"), 4).alias("mean"), rounded(F.stddev_samp("value"), 4).alias("std"), rounded(F.median("value"), 4).alias("median")).where(
         F.col("n") >= min_n)
 
 
@@ -127,6 +128,17 @@ def drift(current: DataFrame, baseline: DataFrame, by: Sequence[str] = ("entity"
                        F.when(F.col("mean_before").isNull(), "baseline").when(worst > threshold, "warn").otherwise("pass").alias("status"))
 
 
+def drift_run(panel: DataFrame, state: VersionedTable, by: Sequence[str] = ("entity", "indicator"), threshold: float = 0.25) -> DataFrame:
+    """One batch run: the panel's statistics against the newest complete baseline, and then stored as the next one.
+
+    The report reads the baseline's own version, so it stays what it was when later runs commit theirs. A run that breaks before its commit leaves the baseline as it is.
+    """
+    before = state.read()
+    current = state.read(state.commit(baseline_stats(panel, by)))
+    baseline = current.limit(0) if before is None else before
+    return drift(current, baseline, by, threshold)
+
+
 def roll_up(checks: DataFrame) -> DataFrame:
     """Totals by status, and whether the gate would block."""
     return checks.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "pass").alias("passed"), F.count_if(F.col("status") == "warn").alias("warnings"),

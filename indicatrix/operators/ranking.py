@@ -55,6 +55,29 @@ def rank_large_groups(df: DataFrame, group: Sequence[str], value: str = "value",
     return best_first.join(ranked, [*group, "_v"]).drop("_v")
 
 
+def number_large_groups(df: DataFrame, group: Sequence[str], value: str = "value", lower_is_better: Column | bool = False,
+                        out: str = "rank", tie_break: Sequence[str] = ("entity",), parts: int | None = None) -> DataFrame:
+    """1, 2, ... from the best within groups of any size, ties broken by ``tie_break``: what ``rank_peers`` gives, without a group in one task.
+
+    1. Rows are dealt into ranges of the whole key (group, value, tie_break), so that equal values of many entities are split too, and written with the number of
+       their range to the checkpoint folder: every later step sees the same ranges.
+    2. Rows are counted per group and range; a window over at most one row for each range gives the rows in the ranges before.
+    3. A window over one group and range numbers the rows inside it.
+    A null value comes last. Rows equal in all of the key are numbered in any order.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    key = signed(F.col(value), lower_is_better)
+    order = [F.asc_nulls_last("_signed"), *[F.asc(c) for c in tie_break]]
+    width = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.withColumn("_signed", key).repartitionByRange(width, *[F.asc(c) for c in group], *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    counts = ranged.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order))
+    numbered = ranged.withColumn("_inside", inside).join(offsets, [*group, "_range"])
+    return numbered.withColumn(out, (F.col("_offset") + F.col("_inside"))).drop("_signed", "_range", "_inside", "_offset")
+
+
 def score_peers(df: DataFrame, group: Sequence[str], value: str = "value", lower_is_better: Column | bool = False,
                 out: str = "score") -> DataFrame:
     """0-100 position between the group's minimum and maximum. The bounds come from an aggregation with map-side combine

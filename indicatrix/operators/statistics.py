@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from indicatrix.functions.numeric import ratio, rounded
-from indicatrix.functions.tails import f_p_value, t_critical, t_p_value
+from indicatrix.functions.tails import f_p_value, t_p_value, t_two_sided_quantile
 from indicatrix.operators.joins import label_periods
 from indicatrix.operators.regression import TOLERANCE, coefficient, gram, residual_square, standardized, sweep
 from indicatrix.operators.windows import by_series, change, lagged
@@ -274,7 +274,7 @@ def regression_band(wide: DataFrame, x: str, y: str, points: int = 100, level: f
                                  F.avg(x).alias("mx"), F.min(x).alias("low"), F.max(x).alias("high")).where("m.n >= 3 and m.sxx > 0")
     n, sxx, syy, sxy = (F.col(f"m.{c}") for c in ("n", "sxx", "syy", "sxy"))
     sigma = F.sqrt(F.greatest(syy - sxy * sxy / sxx, F.lit(0.0)) / (n - 2))
-    fit = fit.withColumn("_sigma", sigma).withColumn("_t", t_critical(F.lit(level), (n - 2).cast("double")))
+    fit = fit.withColumn("_sigma", sigma).withColumn("_t", t_two_sided_quantile(level, n - 2))
     grid = fit.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn(
         "x", F.col("low") + (F.col("high") - F.col("low")) * F.col("i") / (points - 1))
     err = F.col("_sigma") * F.sqrt(1.0 / n + (F.col("x") - F.col("mx")) * (F.col("x") - F.col("mx")) / sxx)

@@ -18,6 +18,11 @@ cv AS (SELECT entity, indicator, count(*) AS n_years, CASE WHEN count(*) < 2 THE
 pc AS (SELECT gp.entity, gp.indicator, year, round("value", 4) AS "value", rank, n_peers, round(gap, 2) AS gap_to_average, trend, convergence_rate
   FROM gp LEFT JOIN cv ON gp.entity = cv.entity AND gp.indicator = cv.indicator WHERE year = (SELECT max(year) FROM bp))"""
 
+# the same queries over customers: the panel differs, the steps after it do not
+CP = "bp AS (SELECT *, indicator = 'low_share' AS lower_is_better FROM (UNPIVOT (SELECT o_custkey AS entity, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(count(*) AS DOUBLE) AS orders, " \
+     "round(avg(CASE WHEN o_orderpriority = '5-LOW' THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END), 2) AS low_share FROM orders GROUP BY 1, 2) ON orders, low_share INTO NAME indicator VALUE \"value\")),\ngp AS " \
+     + BP.split("gp AS ", 1)[1].replace('entity) AS INTEGER) AS rank', 'entity) AS BIGINT) AS rank')
+
 SQL = {name: facts(sql, "monthly", "quarterly", extra=BP) for name, sql in {
     "benchmark_panel": "SELECT * FROM bp",
     "peer_comparison": "SELECT * FROM pc",
@@ -37,3 +42,5 @@ SQL = {name: facts(sql, "monthly", "quarterly", extra=BP) for name, sql in {
   ELSE ("value" - lo) / (hi - lo) * 100.0::DOUBLE END, 1) AS score FROM (SELECT *, min("value") OVER p AS lo, max("value") OVER p AS hi FROM bp
   WHERE year = (SELECT max(year) FROM bp) WINDOW p AS (PARTITION BY indicator))""",
 }.items()}
+SQL |= {"customer_comparison": f"WITH {CP} SELECT * FROM pc",
+        "customer_rank_history": f"""WITH {CP} SELECT entity, indicator, year, round("value", 4) AS "value", rank, n_peers AS total_peers FROM gp"""}

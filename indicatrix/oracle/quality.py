@@ -5,8 +5,9 @@ from __future__ import annotations
 from indicatrix.operators.quality import NEVER_EMPTY
 from indicatrix.oracle.base import facts
 from indicatrix.oracle.panels import CQ, UD
+from indicatrix.oracle.cleaning import SQL as TRANSFORMED
 from indicatrix.plans.quality import CHECKED, MONTHLY, QUARTERLY
-from indicatrix.registry import ALERT_RULES
+from indicatrix.registry import PILLARS
 
 
 def values(pillars, source: str) -> str:
@@ -39,14 +40,38 @@ def complete(source: str, grain: str, pillars) -> str:
   greatest({want} - count(*), 0) AS affected_rows, count(*) || ' of ' || {want} || ' rows' AS details FROM {source}""" for p in pillars)
 
 
-def fresh(source: str, pillars, year: int) -> str:
-    return " UNION ALL ".join(f"""SELECT 'freshness_{p.key}' AS check, '{p.key}' AS pillar, CASE WHEN contains(max(date_key), '{year}') THEN 'pass' ELSE 'warn' END AS status,
+def fresh(source: str, pillars) -> str:
+    return " UNION ALL ".join(f"""SELECT 'freshness_{p.key}' AS check, '{p.key}' AS pillar, CASE WHEN contains(max(date_key), (SELECT CAST(max(year(o_orderdate)) AS VARCHAR) FROM orders)) THEN 'pass' ELSE 'warn' END AS status,
   0::BIGINT AS affected_rows, 'newest key ' || max(date_key) AS details FROM {source}""" for p in pillars)
 
 
+def stage(pillar: str) -> str:
+    """Rows and nulls of a pillar before and after its transformation, by the transformation's own SQL."""
+    spec = PILLARS[pillar]
+    source = "quarterly" if spec.grain == "quarter" else "monthly"
+    nulls = " + ".join(f"count(*) - count({c})" for c in spec.columns)
+    return f"""SELECT 'transform' AS stage, '{pillar}' AS pillar, (SELECT n FROM ({facts(f"SELECT count(*) AS n FROM {source}", source)})) AS rows_in,
+  count(*) AS rows_out, CAST({nulls} AS BIGINT) AS null_count, 'success' AS status FROM ({TRANSFORMED[f"transform_{pillar}"]})"""
+
+
 COMPLETE = complete('monthly', 'month', MONTHLY) + " UNION ALL " + complete('quarterly', 'quarter', QUARTERLY)
 PANEL = f"""cp AS (SELECT * FROM (UNPIVOT (SELECT entity, period_start, year, {", ".join(CHECKED)} FROM monthly) ON {", ".join(CHECKED)}
   INTO NAME indicator VALUE "value"))"""
+# The alert thresholds, spelled out again so that a wrong rule shows.
+ALERT_RULES = [('gdp_growth_yoy', 'GDP YoY Growth Rate (%)', 'warning', 'below', -1.0),
+         ('gdp_growth_yoy', 'GDP YoY Growth Rate (%)', 'critical', 'below', -3.0),
+         ('unemployment_rate', 'Unemployment Rate (%)', 'warning', 'above', 8.0),
+         ('unemployment_rate', 'Unemployment Rate (%)', 'critical', 'above', 12.0),
+         ('hicp', 'HICP Inflation YoY (%)', 'warning', 'above', 4.0),
+         ('hicp', 'HICP Inflation YoY (%)', 'warning', 'below', -0.5),
+         ('hicp', 'HICP Inflation YoY (%)', 'critical', 'above', 8.0),
+         ('hicp', 'HICP Inflation YoY (%)', 'critical', 'below', -1.0),
+         ('debt_to_gdp_ratio', 'Debt-to-GDP Ratio (%)', 'warning', 'above', 100.0),
+         ('debt_to_gdp_ratio', 'Debt-to-GDP Ratio (%)', 'critical', 'above', 130.0),
+         ('npl_ratio', 'Non-Performing Loan Ratio (%)', 'warning', 'above', 5.0),
+         ('npl_ratio', 'Non-Performing Loan Ratio (%)', 'critical', 'above', 10.0),
+         ('portugal_10y_bond_yield', 'Portugal 10Y Bond Yield (%)', 'warning', 'above', 4.0),
+         ('portugal_10y_bond_yield', 'Portugal 10Y Bond Yield (%)', 'critical', 'above', 7.0)]
 RULES = "(VALUES " + ", ".join(f"('{i}', '{d}', '{s}', '{side}', {t}::DOUBLE)" for i, d, s, side, t in ALERT_RULES) + ") r(indicator, description, severity, side, threshold)"
 LATEST = """la AS (SELECT entity, indicator, max(period_start) AS period_start, arg_max("value", period_start) AS "value" FROM (
   SELECT * FROM (UNPIVOT (SELECT entity, period_start, unemployment_rate, hicp, npl_ratio, portugal_10y_bond_yield FROM monthly)
@@ -61,7 +86,7 @@ SQL = {
     "range_extremes": facts(" UNION ALL ".join(f"SELECT '{c}' AS indicator, min({c}) AS actual_min, max({c}) AS actual_max FROM monthly" for c in CHECKED)),
     "completeness_checks": facts(COMPLETE, "monthly", "quarterly"),
     "consistency_checks": facts(consistency()),
-    "freshness_checks": facts(f"{fresh('monthly', MONTHLY, 2001)} UNION ALL {fresh('quarterly', QUARTERLY, 2002)}", "monthly", "quarterly"),
+    "freshness_checks": facts(f"{fresh('monthly', MONTHLY)} UNION ALL {fresh('quarterly', QUARTERLY)}", "monthly", "quarterly"),
     "outlier_rows": f"""WITH {UD} SELECT entity, period_start, "value", round(z, 4) AS z FROM (SELECT entity, period_start, "value",
   CASE WHEN count(*) OVER e >= 10 THEN abs("value" - avg("value") OVER e) / NULLIF(stddev_samp("value") OVER e, 0) END AS z FROM ud
   WINDOW e AS (PARTITION BY entity)) WHERE z > 3""",
@@ -74,7 +99,7 @@ SQL = {
     coalesce(CASE WHEN abs(b.s) > 0.01 THEN abs(c.s - b.s) / abs(b.s) END, 0)) > 0.25::DOUBLE THEN 'warn' ELSE 'pass' END AS status
 FROM (SELECT * FROM st WHERE late) c LEFT JOIN (SELECT * FROM st WHERE NOT late) b USING (entity, indicator)""", extra=PANEL + """,
 st AS (SELECT entity, indicator, year >= 1999 AS late, round(avg("value"), 4) AS m, round(stddev_samp("value"), 4) AS s FROM cp GROUP BY 1, 2, 3 HAVING count(*) >= 10)"""),
-    "key_checks": facts("""SELECT entity, count(*) AS keys, count(*) FILTER (n > 1) AS duplicate_keys, count(*) FILTER (date_key > '2001-06') AS orphan_keys
+    "key_checks": facts("""SELECT entity, count(*) AS keys, count(*) FILTER (n > 1) AS duplicate_keys, count(*) FILTER (date_key NOT BETWEEN (SELECT strftime(min(o_orderdate), '%Y-%m') FROM orders) AND (SELECT strftime(max(o_orderdate), '%Y-%m') FROM orders)) AS orphan_keys
 FROM (SELECT entity, date_key, count(*) AS n FROM monthly GROUP BY 1, 2) GROUP BY 1"""),
     "missing_periods": f"""WITH {CQ} SELECT entity, expected, expected - n AS missing FROM (SELECT entity, count(*) AS n,
   date_diff('quarter', min(period_start), max(period_start)) + 1 AS expected FROM cq GROUP BY 1) WHERE expected > n""",
@@ -87,6 +112,5 @@ FROM ({ALERTS}) GROUP BY 1""", "monthly", "quarterly", extra=LATEST),
     "user_alerts": f"""WITH {UD} SELECT entity, 'error_share' AS indicator, period_start, v AS "value", 'Errors (%)' AS description, severity, 'above' AS side, threshold
 FROM (SELECT entity, max(period_start) AS period_start, arg_max(100.0::DOUBLE * n_errors / n_events, period_start) AS v FROM ud GROUP BY 1)
 JOIN (VALUES ('warning', 20.0::DOUBLE), ('critical', 50.0::DOUBLE)) r(severity, threshold) ON v > threshold""",
-    "lineage_records": facts("""SELECT 'transform' AS stage, 'credit' AS pillar, count(*) AS rows_in, count(DISTINCT entity) * 80 AS rows_out, 0::BIGINT AS null_count FROM monthly
-UNION ALL SELECT 'transform', 'public_debt', count(*), count(DISTINCT entity) * 27, count(DISTINCT entity) * 3 FROM quarterly""", "monthly", "quarterly"),
+    "lineage_records": " UNION ALL ".join(stage(p) for p in PILLARS),
 }

@@ -155,6 +155,17 @@ md AS (SELECT entity, {", ".join(f"CASE WHEN list_contains(d, '{c}') THEN {c} -
 rt AS (SELECT entity FROM ({redundant("(credit_nfc + credit_households)", "two")}) WHERE is_redundant AND n >= 5)"""
 KEPT = f"""SELECT * FROM ({matrix("md")}) WHERE NOT (entity IN (SELECT entity FROM rt) AND (a = 'total_credit' OR b = 'total_credit'))"""
 
+BAND = f"""fit AS MATERIALIZED (SELECT entity, regr_count(hicp, unemployment_rate) AS n, regr_sxx(hicp, unemployment_rate) AS sxx,
+  regr_syy(hicp, unemployment_rate) AS syy, regr_sxy(hicp, unemployment_rate) AS sxy, regr_slope(hicp, unemployment_rate) AS b,
+  regr_intercept(hicp, unemployment_rate) AS a, avg(unemployment_rate) AS mx, min(unemployment_rate) AS lo, max(unemployment_rate) AS hi
+  FROM monthly WHERE hicp IS NOT NULL GROUP BY 1),
+cuts AS (WITH RECURSIVE r AS (SELECT DISTINCT n - 2 AS df, 0.0::DOUBLE AS low, 100.0::DOUBLE AS high, 0 AS turn FROM fit
+  UNION ALL SELECT df, CASE WHEN p > 0.05 THEN middle ELSE low END, CASE WHEN p > 0.05 THEN high ELSE middle END, turn + 1 FROM (
+    SELECT *, {f_p("middle * middle", "1", "df")} AS p FROM (SELECT *, (low + high) / 2 AS middle FROM r WHERE turn < 45)))
+  SELECT df, (low + high) / 2 AS t FROM r WHERE turn = 45)"""
+BAND_ROWS = """SELECT entity, CAST(i AS INTEGER) AS i, round(x, 4) AS x, round(a + b * x, 4) AS fitted, round(err, 4) AS std_err_fit, round(a + b * x - t * err, 4) AS band_low, round(a + b * x + t * err, 4) AS band_high
+FROM (SELECT *, sqrt(greatest(syy - sxy * sxy / sxx, 0) / (n - 2)) * sqrt(1.0::DOUBLE / n + (x - mx) * (x - mx) / sxx) AS err
+  FROM (SELECT *, lo + (hi - lo) * i / 24 AS x FROM fit CROSS JOIN (SELECT unnest(range(0, 25)) AS i)) JOIN cuts ON df = n - 2)"""
 DIVERGENCE = """SELECT entity, year, CASE WHEN d > 1 THEN 'rising' ELSE 'falling' END AS debt_direction,
   CASE WHEN o > 1 THEN 'rising' ELSE 'falling' END AS gdp_direction, round(d, 2) AS debt_change_pct, round(o, 2) AS gdp_change_pct
 FROM (SELECT entity, year, (debt - lag(debt) OVER w) / NULLIF(lag(debt) OVER w, 0) * 100 AS d, (output - lag(output) OVER w) / NULLIF(lag(output) OVER w, 0) * 100 AS o
@@ -188,12 +199,8 @@ FROM (SELECT *, CASE WHEN p_value < 0.05 THEN abs(r) END AS s FROM tr) GROUP BY
     "near_perfect_pairs": facts(f"SELECT entity, a, b, n, r, abs(r) > 0.95 AS is_suspicious FROM ({matrix('monthly')}) WHERE abs(r) > 0.5"),
     "redundant_totals": facts(redundant("(credit_nfc + credit_households)", "two") + " UNION ALL "
                               + redundant("(credit_nfc + credit_households + (total_credit - credit_nfc - credit_households))", "three")),
-    "phillips_fit": facts("""SELECT entity, CAST(i AS INTEGER) AS i, round(x, 4) AS x, round(a + b * x, 4) AS fitted,
-  round(sqrt(greatest(syy - sxy * sxy / sxx, 0) / (n - 2)) * sqrt(1.0::DOUBLE / n + (x - mx) * (x - mx) / sxx), 4) AS std_err_fit
-FROM (SELECT *, lo + (hi - lo) * i / 24 AS x FROM (SELECT entity, regr_count(hicp, unemployment_rate) AS n, regr_sxx(hicp, unemployment_rate) AS sxx,
-  regr_syy(hicp, unemployment_rate) AS syy, regr_sxy(hicp, unemployment_rate) AS sxy, regr_slope(hicp, unemployment_rate) AS b,
-  regr_intercept(hicp, unemployment_rate) AS a, avg(unemployment_rate) AS mx, min(unemployment_rate) AS lo, max(unemployment_rate) AS hi
-  FROM monthly WHERE hicp IS NOT NULL GROUP BY 1) CROSS JOIN (SELECT unnest(range(0, 25)) AS i))"""),
+    "phillips_fit": facts(f"SELECT entity, i, x, fitted, std_err_fit FROM ({BAND_ROWS})", extra=BAND),
+    "phillips_band": facts(BAND_ROWS, extra=BAND),
     "seasonal_parts": facts("""SELECT entity, indicator, period_start, round(y, 3) AS observed, round(trend, 3) AS trend, round(s - c, 3) AS seasonal,
   round(y - trend - (s - c), 3) AS residual FROM (
   SELECT *, avg(CASE WHEN t < 12 THEN s END) OVER (PARTITION BY entity, indicator) AS c FROM (

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from indicatrix.functions.numeric import rounded
-from indicatrix.operators import joins, lineage, quality as dq
-from indicatrix.plans.economy import Warehouse, economy, to_panel
+from indicatrix.operators import joins, quality as dq
+from indicatrix.operators.lineage import RunTracker
+from indicatrix.plans.cleaning import raw_from, transform_raw
+from indicatrix.plans.economy import Warehouse, economy, table, to_panel
 from indicatrix.plans.panels import user_days
 from indicatrix.registry import ALERT_RULES, PILLARS
+from indicatrix.session import ensure_checkpoint_dir
+from indicatrix.sources.dims import calendar_of
+from indicatrix.sources.state import VersionedTable
 
 MONTHLY = [p for p in PILLARS.values() if p.grain == "month"]
 QUARTERLY = [p for p in PILLARS.values() if p.grain == "quarter"]
@@ -46,8 +53,10 @@ def consistency_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def freshness_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest keys against the year that the calendar of the orders ends in."""
     wh = economy(spark, sf_dir)
-    return dq.check_freshness(wh.monthly, MONTHLY, 2001).unionByName(dq.check_freshness(wh.quarterly, QUARTERLY, 2002))
+    end = table(spark, sf_dir, "orders").agg(F.max(F.year("o_orderdate")).alias("end_year"))
+    return dq.check_freshness(wh.monthly, MONTHLY, end).unionByName(dq.check_freshness(wh.quarterly, QUARTERLY, end))
 
 
 def outlier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,24 +70,19 @@ def outlier_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drift_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The years from 1999 against a baseline of the years before."""
-    panel = _panel(economy(spark, sf_dir)).withColumn("late", F.year("period_start") >= 1999)
-    stats = dq.baseline_stats(panel, by=("entity", "indicator", "late"))
-    wide = stats.groupBy("entity", "indicator").agg(*[F.max(F.when(F.col("late") == flag, F.col(c))).alias(f"{c}{suffix}")
-                                                       for c in ("mean", "std") for flag, suffix in ((True, ""), (False, "_b"))])
-    current = wide.where("mean is not null").select("entity", "indicator", "mean", "std")
-    baseline = wide.where("mean_b is not null").select("entity", "indicator", F.col("mean_b").alias("mean"), F.col("std_b").alias("std"))
-    return dq.drift(current, baseline)
+    """Two batch runs on one stored baseline: a first one on the years before 1999, which has none yet, and the one reported, on the years from 1999."""
+    panel = _panel(economy(spark, sf_dir).shared(*CHECKED)).withColumn("late", F.year("period_start") >= 1999)
+    state = VersionedTable(spark, f"{ensure_checkpoint_dir(spark)}/drift-{uuid4().hex}")
+    dq.drift_run(panel.where(~F.col("late")), state)
+    return dq.drift_run(panel.where("late"), state)
 
 
 def key_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uniqueness of (entity, date_key), and keys the calendar does not know."""
-    from indicatrix.sources.dims import calendar
-
+    """Uniqueness of (entity, date_key), and keys that the calendar of the orders does not know."""
     monthly = economy(spark, sf_dir).monthly.select("entity", "date_key")
-    known = calendar(spark, "1995-01-01", "2001-06-30").select("date_key", F.lit(1).alias("known"))
-    counted = monthly.groupBy("entity", "date_key").agg(F.count("*").alias("n"))
-    return counted.join(F.broadcast(known), "date_key", "left").groupBy("entity").agg(
+    known = calendar_of(table(spark, sf_dir, "orders"), "o_orderdate").select("date_key", F.lit(1).alias("known"))
+    keys = monthly.groupBy("entity", "date_key").agg(F.count("*").alias("n"))
+    return keys.join(F.broadcast(known), "date_key", "left").groupBy("entity").agg(
         F.count("*").alias("keys"), F.count_if(F.col("n") > 1).alias("duplicate_keys"), F.count_if(F.col("known").isNull()).alias("orphan_keys"))
 
 
@@ -116,11 +120,13 @@ def user_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from indicatrix.plans.cleaning import raw_from, transform_raw
-
-    wh = economy(spark, sf_dir).shared(*PILLARS["credit"].columns, *PILLARS["public_debt"].columns)
-    parts = [lineage.stage_counts(raw_from(wh, p), transform_raw(raw_from(wh, p), p), "transform", p) for p in ("credit", "public_debt")]
-    return parts[0].unionByName(parts[1])
+    """Stage records of a run that transforms and writes all six pillars, read from the run's own table (which has checksums and durations besides)."""
+    wh = economy(spark, sf_dir).shared(*VALUES)
+    folder = f"{ensure_checkpoint_dir(spark)}/lineage-{uuid4().hex}"
+    with RunTracker(spark, folder) as tracker:
+        for p in PILLARS:
+            tracker.run("transform", p, raw_from(wh, p), lambda raw, p=p: transform_raw(raw, p), lambda out, p=p: out.write.parquet(f"{folder}/{p}"))
+    return spark.read.parquet(f"{folder}/stages").select("stage", "pillar", "rows_in", "rows_out", "null_count", "status")
 
 
 QUERIES = {f.__name__: f for f in (

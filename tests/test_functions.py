@@ -69,3 +69,13 @@ def test_tail_nulls(spark):
     df = spark.createDataFrame([(2.228139, 10.0), (None, 10.0)], "t double, df double").select(tails.t_p_value("t", "df").alias("p"))
     got = sorted((r["p"] for r in df.collect()), key=lambda v: (v is None, v))
     assert got[0] == pytest.approx(0.05, rel=1e-3) and got[1] is None
+
+
+def test_t_quantile_as_an_expression(spark):
+    """For odd and even degrees of freedom, few and many, against the bisected incomplete beta function; null without any."""
+    rows = [(float(d),) for d in (1, 2, 3, 4, 5, 10, 31, 78, 200, 1001)] + [(0.0,), (None,)]
+    df = spark.createDataFrame(rows, "df double")
+    for level in (0.5, 0.95, 0.99):
+        got = [r["t"] for r in df.select(tails.t_two_sided_quantile(level, F.col("df")).alias("t")).collect()]
+        want = tails.t_quantile(np.full(10, level), np.array([r[0] for r in rows[:10]]))
+        assert got[:10] == pytest.approx(want.tolist(), rel=1e-7) and got[10:] == [None, None]
