@@ -63,9 +63,10 @@ def range_extremes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _rows(one, [F.struct(F.lit(c).alias("indicator"), F.col(f"lo_{c}").alias("actual_min"), F.col(f"hi_{c}").alias("actual_max")) for c in columns])
 
 
-def check_freshness(df: DataFrame, pillars: Sequence[Pillar], end: DataFrame) -> DataFrame:
-    """The newest key of pillars held in one table against the year that should be there (``end``: one row with end_year)."""
-    one = df.agg(F.max("date_key").alias("newest")).join(F.broadcast(end))  # one row each
+def check_freshness(df: DataFrame, pillars: Sequence[Pillar], end: int | DataFrame) -> DataFrame:
+    """The newest key of pillars held in one table against the year that should be there: a number, or one row with end_year."""
+    newest = df.agg(F.max("date_key").alias("newest"))
+    one = newest.withColumn("end_year", F.lit(end)) if isinstance(end, int) else newest.join(F.broadcast(end))  # one row each
     fresh = F.col("newest").contains(F.col("end_year").cast("string"))
     return _rows(one, [_row(f"freshness_{p.key}", p.key, F.when(fresh, "pass").otherwise("warn"), F.lit(0), F.concat(F.lit("newest key "), F.col("newest"))) for p in pillars])
 

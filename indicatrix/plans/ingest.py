@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from indicatrix.functions.numeric import as_cents, rounded
+from indicatrix.operators import quality as dq
+from indicatrix.plans.cleaning import raw_from
 from indicatrix.plans.economy import economy, table
+from indicatrix.registry import PILLARS
+from indicatrix.session import ensure_checkpoint_dir
 from indicatrix.sources import readers, sinks
 from indicatrix.sources.dims import sources
 
@@ -86,4 +92,37 @@ def explorer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                                                    rounded("budget_deficit").alias("budget_deficit"))
 
 
-QUERIES = {f.__name__: f for f in (positional_payload, parallel_payload, observation_lines, event_props, upserted_facts, upserted_orders, loaded_facts, explorer_rows)}
+def extracted_pillars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw files of all pillars, written and read back with their guards and metadata: rows, known values and totals, and the schema check of each."""
+    wh = economy(spark, sf_dir).shared(*[c for p in PILLARS.values() for c in p.columns])
+    folder = f"{ensure_checkpoint_dir(spark)}/raw-{uuid4().hex}"
+    for p in PILLARS:
+        raw_from(wh, p).write.option("header", True).csv(f"{folder}/raw_{p}.csv")
+    loaded, status = readers.read_all(spark, folder)
+    out = None
+    for p, df in loaded.items():
+        lead = {new: old for old, new in reversed(PILLARS[p].rename.items())}.get(PILLARS[p].columns[0], PILLARS[p].columns[0])
+        one = df.agg(F.lit(p).alias("pillar"), F.count("*").alias("rows"), F.count(lead).alias("known"), rounded(F.sum(lead)).alias("total"))
+        one = one.join(dq.check_schema(wh.fact(p), p).select("pillar", F.col("status").alias("schema_status")), "pillar")
+        out = one if out is None else out.unionByName(one)
+    return out.join(status.select("pillar", F.col("status").alias("read_status")), "pillar")
+
+
+def page_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SHA-256 and size of every stored page."""
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(F.col("html"), 256).alias("checksum"), F.octet_length("html").cast("long").alias("size"))
+
+
+def upserted_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders kept by year, with those of two years restated: only their partitions are rewritten."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.year("o_orderdate").alias("year"))
+    path = f"{ensure_checkpoint_dir(spark)}/orders-{uuid4().hex}"
+    orders.repartition("year").write.partitionBy("year").parquet(path)
+    late = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and year(o_orderdate) in (1996, 1998)").select(
+        "o_orderkey", F.lit("X").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"), F.year("o_orderdate").alias("year"))
+    sinks.merge_partitions(spark, path, late, ["o_orderkey", "year"], "year")
+    return spark.read.parquet(path).groupBy("year", "o_orderstatus").agg(F.count("*").alias("n"), F.sum(as_cents("o_totalprice")).alias("cents"))
+
+
+QUERIES = {f.__name__: f for f in (positional_payload, parallel_payload, observation_lines, event_props, upserted_facts, upserted_orders, loaded_facts, explorer_rows,
+                                  extracted_pillars, page_digests, upserted_partitions)}

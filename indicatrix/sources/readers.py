@@ -10,6 +10,8 @@ from indicatrix.functions.keys import parse_key
 from indicatrix.functions.numeric import to_float
 from indicatrix.registry import PILLARS
 
+#: Larger files are hashed as a stream instead of as one cell.
+WHOLE_FILE = 256 << 20
 STATUS_SCHEMA = "pillar string, status string, details string"
 
 
@@ -58,10 +60,30 @@ def read_all(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], Da
     return loaded, spark.createDataFrame(status, STATUS_SCHEMA)
 
 
+def streamed_checksum(spark: SparkSession, path: str) -> str:
+    """SHA-256 of one file of any size, read through the file system in blocks of 1 MiB: memory does not grow with the file."""
+    jvm = spark._jvm
+    source = jvm.org.apache.hadoop.fs.Path(path)
+    digest = jvm.java.security.MessageDigest.getInstance("SHA-256")
+    into = jvm.java.security.DigestOutputStream(jvm.java.io.OutputStream.nullOutputStream(), digest)
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(source.getFileSystem(spark._jsc.hadoopConfiguration()).open(source), into, 1 << 20, True)
+    return bytes(digest.digest()).hex()
+
+
 def file_checksums(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """SHA-256 of every matching raw file, next to the one its sidecar names. Raw files are small; large tables carry their own checks."""
+    """SHA-256 of every matching raw file, next to the one its sidecar names.
+
+    Files up to WHOLE_FILE bytes are hashed by the tasks that read them, a file a row; the filter on the length keeps larger ones from being read there. Those, which no
+    cell could hold, are streamed one after the other, as are empty ones, which a scan leaves out.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    sums = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.sha2("content", 256).alias("checksum"), F.col("length").alias("size"))
+    name = F.element_at(F.split("path", "/"), -1).alias("filename")
+    sums = files.where(F.col("length") <= WHOLE_FILE).select(name, F.sha2("content", 256).alias("checksum"), F.col("length").alias("size"))
+    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    listed = [(f.getPath(), f.getLen()) for f in glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob) or [] if f.isFile()]
+    others = [(p.getName(), streamed_checksum(spark, p.toString()), size) for p, size in listed if size > WHOLE_FILE or size == 0]
+    if others:
+        sums = sums.unionByName(spark.createDataFrame(others, "filename string, checksum string, size long"))
     try:
         sidecars = spark.read.option("wholetext", True).option("pathGlobFilter", f"{pattern}.sha256").text(folder)
     except AnalysisException:

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from indicatrix.functions.numeric import to_float
 from indicatrix.operators.lineage import observed
 from indicatrix.registry import PILLARS
 
 
+#: Partitions that one merge may rewrite.
+MAX_TOUCHED = 10_000
+
+
 def write_table(df: DataFrame, path: str, manifest: str, name: str, mode: str = "overwrite", partition_by: Sequence[str] = (),
                 fmt: str = "parquet") -> dict:
     """Write a table and append a manifest row with its counts, which the write itself collects."""
@@ -49,6 +53,30 @@ def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str], version: st
     return both.groupBy(*keys).agg(F.max_by("_row", "_rank").alias("_row")).select(*keys, "_row.*")
 
 
+def merge_partitions(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str], partition: str, version: str | None = None) -> int:
+    """Upsert into a Parquet table partitioned by one of its keys, rewriting only the partitions that the updates touch; how many those are.
+
+    The touched values are found first (at most MAX_TOUCHED; updates that touch more are a reload). The scan of the table is pruned to them, and a dynamic overwrite replaces their
+    folders, so that the rest of the table is neither read nor written. A value the table does not have becomes a new partition.
+    """
+    if partition not in keys:
+        raise ValueError(f"{partition} must be one of the keys {list(keys)}: a row would stay behind in its old partition")
+    touched = [r[0] for r in updates.select(partition).distinct().limit(MAX_TOUCHED + 1).collect()]
+    if len(touched) > MAX_TOUCHED:
+        raise ValueError(f"updates touch more than {MAX_TOUCHED} partitions; write the table anew")
+    if any(v is None for v in touched):
+        raise ValueError(f"updates without {partition} have no partition")
+    merged = merged_rows(spark, path, updates, keys, partition, touched, version)
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    return len(touched)
+
+
+def merged_rows(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str], partition: str, touched: Sequence, version: str | None = None) -> DataFrame:
+    """The touched partitions after the upsert, from a scan of these alone."""
+    base = spark.read.parquet(path).where(F.col(partition).isin(list(touched)))
+    return upsert(base, updates, keys, version).select(*base.columns)
+
+
 def load_fact(df: DataFrame, pillar: str, sources: DataFrame) -> DataFrame:
     """Fact rows ready for the warehouse: source key looked up by name, values coerced, columns in schema order."""
     spec = PILLARS[pillar]
