@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,9 @@ from indicatrix.llm.common import Scratch
 CHUNK_CHARS = 16_384
 SPACE = "▁"
 _CUT = re.compile(f"(?<=[^{SPACE}]){SPACE}")
+_WORD, _BYTE = re.compile(" +[^ ]*"), re.compile("<0x[0-9A-F]{2}>")
+#: A worker forgets its words when it knows more than this.
+KEPT_WORDS = 1 << 18
 LOW = float("-inf")
 
 State = tuple[int, int] | None
@@ -154,6 +158,70 @@ class Pieces:
         return [*(i for p in head for i in self.piece_ids(p)), *inner, *(i for p in tail for i in self.piece_ids(p))]
 
 
+class Words:
+    """Ids of whole texts and texts of ids, batch by batch: a word and the spaces before it are encoded once, as no piece crosses a cut, and gathered from then on."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        table = [pieces.library.id_to_piece(i) for i in range(pieces.library.get_piece_size())]
+        spelled = [bytes([int(t[3:5], 16)]) if _BYTE.fullmatch(t) else t.replace(SPACE, " ").encode() for t in table]
+        self.lengths = np.array([len(t) for t in spelled], np.int64)
+        self.data, self.starts = np.frombuffer(b"".join(spelled), np.uint8), np.cumsum(self.lengths) - self.lengths
+        self.plain = np.array([t.encode() == x or _BYTE.fullmatch(t) is not None or SPACE in t for t, x in zip(table, spelled)])
+        self.plain &= np.array([not (pieces.library.is_unknown(i) or pieces.library.is_control(i) or pieces.library.is_unused(i)) for i in range(len(table))])
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.begin, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        rest = [w[1:] for w in words]  # the library puts the first space back
+        coded = iter(self.pieces.library.encode([r for r in rest if r], num_threads=1))
+        new = [next(coded) if r else self.pieces.piece_ids(SPACE) for r in rest]
+        count = np.array([len(n) for n in new], np.int64)
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(new), np.int32, int(count.sum()))])
+
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        if len(self.known) > KEPT_WORDS:
+            self.forget()
+        words = [_WORD.findall(f" {t.replace(SPACE, ' ')}") if t else [] for t in texts]
+        flat = list(chain.from_iterable(words))
+        new = set(flat) - self.known.keys()
+        if new:
+            self._learn(list(new))
+        number = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        count = self.count[number]
+        behind = np.append(0, np.cumsum(count))[np.append(0, np.cumsum([len(w) for w in words], dtype=np.int64))]
+        return pa.ListArray.from_arrays(pa.array(behind.astype(np.int32)), pa.array(self.ids[_gather(self.begin[number], count)]))
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """What the library makes of the ids: the bytes of all pieces, less the first space. Ids without bytes of their own, and bytes that are no text, are left to the library."""
+        flat, bounds = ids.flatten().to_numpy(zero_copy_only=False), ids.offsets.to_numpy().astype(np.int64)
+        flat, bounds = flat, bounds - bounds[0]
+        if self.plain[flat].all():
+            lengths = self.lengths[flat]
+            data = self.data[_gather(self.starts[flat], lengths)]
+            ends = np.append(0, np.cumsum(lengths))[bounds]
+            first = ends[:-1][np.diff(ends) > 0]
+            if (data[first] == 32).all():
+                spaces = np.concatenate([[0], np.cumsum(np.diff(ends) > 0)])
+                out = pa.Array.from_buffers(pa.large_string(), len(ids), [None, pa.py_buffer(ends - spaces), pa.py_buffer(np.delete(data, first))])
+                try:
+                    out.validate(full=True)
+                    return out.cast(pa.string())
+                except pa.ArrowInvalid:
+                    pass
+        return pa.array(self.pieces.library.decode(ids.to_pylist()), pa.string())
+
+
+def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
 def max_plus(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The product of two transfer matrices: associative."""
     return (left[:, :, None] + right[None, :, :]).max(axis=1)
@@ -199,7 +267,7 @@ _CHUNK = pa.schema([("key", pa.int64()), ("number", pa.int32()), ("text", pa.str
 def encode(docs: DataFrame, model: bytes, carried: list[str], chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """carried (a struct of columns), ids and chunks (how many the text was split into) of every row: the ids the model gives the whole text.
 
-    Texts of up to chunk_chars characters are one chunk, encoded as they come. Longer ones are split, also inside a word where there is no space. Each chunk yields
+    Texts of up to chunk_chars characters are one chunk, of which a worker has each word encoded by the library once. Longer ones are split, also inside a word where there is no space. Each chunk yields
     the max-plus matrix between the pieces that may cross its begin and its end; a text's matrices, which are small, are multiplied; and each chunk finds its pieces
     again between the two states chosen for it. Null texts are empty and have no ids. Rows stay as they are, repeated ones too.
     """
@@ -210,11 +278,11 @@ def encode(docs: DataFrame, model: bytes, carried: list[str], chunk_chars: int =
     kind = dict(rows.dtypes)["carried"]
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = Pieces(shared.value).library
+        words = Words(Pieces(shared.value))
         for big in batches:
             for batch in (big.slice(k, 256) for k in range(0, big.num_rows, 256)):
-                found = library.encode(batch.column("text").to_pylist(), num_threads=1)
-                yield pa.RecordBatch.from_arrays([batch.column("carried"), pa.array(found, pa.list_(pa.int32())), pa.array([1] * len(found), pa.int32())], names=["carried", "ids", "chunks"])
+                found = words.encode(batch.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column("carried"), found, pa.array(np.ones(len(found), np.int32))], names=["carried", "ids", "chunks"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, key = Pieces(shared.value), TaskContext.get().partitionId() << 32
@@ -259,10 +327,10 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = Pieces(shared.value).library
+        words = Words(Pieces(shared.value))
         for big in batches:
             for batch in (big.slice(k, 256) for k in range(0, big.num_rows, 256)):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(library.decode(batch.column("ids").to_pylist()) if batch.num_rows else [], pa.string())], names=[*batch.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, words.decode(batch.column("ids"))], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(texts, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
 

@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from indicatrix.llm import pieces
@@ -40,6 +41,24 @@ def test_unigram_path_weighs_as_much_as_the_librarys(model):
         assert weights[0] == pytest.approx(weights[1])
 
 
+def test_words_give_the_librarys_ids_and_texts(model, texts, monkeypatch):
+    """Also with spaces at both ends, marks, control characters, special tokens, and words that are forgotten; decoding is the library's, for any ids."""
+    monkeypatch.setattr(pieces, "KEPT_WORDS", 500)
+    p, rng = pieces.Pieces(model), random.Random(9)
+    words = pieces.Words(p)
+    parts = ["the", "ing", " ", "  ", "▁", "\n", "\t", "\x00", "\u00a0", "é", "e\u0301", "漢", "🙂", "<s>", "</s>", "<unk>", "<0x41>", "0", "A", "\ufffd", "\r\n"]
+    made = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(3000)] + ["", " ", "   ", "▁", "a ", " a", "\n"] + [t for _, t in texts]
+    for k in range(0, len(made), 256):
+        batch = made[k:k + 256]
+        ids = words.encode(batch)
+        assert ids.to_pylist() == p.library.encode(batch)
+        assert words.decode(ids).to_pylist() == p.library.decode(ids.to_pylist())
+    size = p.library.get_piece_size()
+    for _ in range(300):
+        ids = [[rng.randrange(size) for _ in range(rng.randint(0, 6))] for _ in range(3)]
+        assert words.decode(pa.array(ids, pa.list_(pa.int32()))).to_pylist() == p.library.decode(ids)
+
+
 def test_products_are_associative():
     import numpy as np
 
