@@ -46,12 +46,14 @@ def _struct(columns: dict[str, Column]) -> Column:
     return F.struct(*[c.alias(k) for k, c in columns.items()])
 
 
-def _banded(fit: DataFrame, series: Sequence[str], horizon: int, center: Column, width: Column, grain: str, log: bool = False) -> DataFrame:
-    """Expand fits to h = 1..horizon; ``center`` and ``width`` may use the column h."""
+def _banded(fit: DataFrame, series: Sequence[str], horizon: int, center: Column, width: Column, grain: str, log: bool = False, enough: Column | None = None,
+            more: Sequence[Column] = ()) -> DataFrame:
+    """Expand fits to h = 1..horizon; ``center`` and ``width`` may use the column h. Where a fit has not ``enough`` values its rows stay, without numbers."""
     wrap = F.exp if log else (lambda c: c)
-    path = fit.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("_c", center).withColumn("_w", width)
+    known = F.lit(True) if enough is None else enough
+    path = fit.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("_c", F.when(known, center)).withColumn("_w", F.when(known, width))
     c, w = F.col("_c"), F.col("_w")
-    return path.select(*series, "h", add_periods(F.col("last_period"), F.col("h"), grain).alias("period_start"), wrap(c).alias("forecast"),
+    return path.select(*series, *more, "h", add_periods(F.col("last_period"), F.col("h"), grain).alias("period_start"), wrap(c).alias("forecast"),
                        wrap(c - w).alias("lower_68"), wrap(c + w).alias("upper_68"), wrap(c - 1.96 * w).alias("lower_95"), wrap(c + 1.96 * w).alias("upper_95"))
 
 
@@ -59,25 +61,25 @@ def log_linear(panel: DataFrame, horizon: int, grain: str, series: Sequence[str]
     """ln(y) = a + b t with constant bands in logs."""
     y = F.ln(F.greatest(F.col("value"), F.lit(LOG_FLOOR)))
     fit = numbered(panel, series).groupBy(*series).agg(_struct(_line(y, F.col("t"))).alias("m"), F.max("period_start").alias("last_period"), F.max("t").alias("last_t"))
-    fit = fit.where("m.n >= 3")
     return _banded(fit, series, horizon, F.col("m.a") + F.col("m.b") * (F.col("last_t") + F.col("h")),
-                   F.greatest(_residual_sd("m", 2), F.lit(1e-10)), grain, log=True)
+                   F.greatest(_residual_sd("m", 2), F.lit(1e-10)), grain, log=True, enough=F.col("m.n") >= 3, more=[F.col("m.n")])
 
 
 def log_linear_growth(panel: DataFrame, periods_per_year: int, series: Sequence[str] = LONG) -> DataFrame:
     """Slope, r2 and annualised growth of the log trend."""
     y = F.ln(F.greatest(F.col("value"), F.lit(LOG_FLOOR)))
-    m = numbered(panel, series).groupBy(*series).agg(_struct(_line(y, F.col("t"))).alias("m")).where("m.n >= 3")
+    m = numbered(panel, series).groupBy(*series).agg(_struct(_line(y, F.col("t"))).alias("m"))
+    enough = F.col("m.n") >= 3
     r2 = F.col("m.sxy") * F.col("m.sxy") / F.when((F.col("m.sxx") > 0) & (F.col("m.syy") > 0), F.col("m.sxx") * F.col("m.syy"))
-    return m.select(*series, F.col("m.n").alias("n"), rounded("m.b", 6).alias("slope"), rounded(r2, 4).alias("r_squared"),
-                    rounded((F.exp(F.col("m.b") * periods_per_year) - 1) * 100, 4).alias("annual_growth"))
+    return m.select(*series, F.col("m.n").alias("n"), F.when(enough, rounded("m.b", 6)).alias("slope"), F.when(enough, rounded(r2, 4)).alias("r_squared"),
+                    F.when(enough, rounded((F.exp(F.col("m.b") * periods_per_year) - 1) * 100, 4)).alias("annual_growth"))
 
 
 def linear_trend(panel: DataFrame, horizon: int, grain: str, series: Sequence[str] = LONG) -> DataFrame:
     fit = numbered(panel, series).groupBy(*series).agg(_struct(_line(F.col("value"), F.col("t"))).alias("m"), F.max("period_start").alias("last_period"),
-                                                       F.max("t").alias("last_t")).where("m.n >= 3")
+                                                       F.max("t").alias("last_t"))
     return _banded(fit, series, horizon, F.col("m.a") + F.col("m.b") * (F.col("last_t") + F.col("h")),
-                   _residual_sd("m", 2) * F.sqrt(1 + F.col("h") / F.col("m.n")), grain)
+                   _residual_sd("m", 2) * F.sqrt(1 + F.col("h") / F.col("m.n")), grain, enough=F.col("m.n") >= 3, more=[F.col("m.n")])
 
 
 def _speed(m: str) -> Column:
@@ -91,15 +93,15 @@ def mean_reversion(panel: DataFrame, horizon: int, grain: str, target: float | N
     """Exponential approach to a target: a fixed one, one per series (``targets`` with column ``target``), or the series' mean."""
     moves = numbered(panel, series)
     fit = moves.groupBy(*series).agg(_struct(_line(F.col("value") - F.col("before"), F.col("before"))).alias("m"), F.avg("value").alias("mean"),
-                                     F.max_by("value", "period_start").alias("last"), F.max("period_start").alias("last_period")).where("m.n >= 2")
+                                     F.max_by("value", "period_start").alias("last"), F.max("period_start").alias("last_period"))
     fit = fit.join(targets, list(series)) if targets is not None else fit.withColumn("target", F.lit(target) if target is not None else F.col("mean"))
     k, n = F.col("k"), F.col("m.n")
     fit = fit.withColumn("k", _speed("m"))
     # residual = change - k (target - previous) = change + k previous + constant
     spread = F.col("m.syy") + 2 * k * F.col("m.sxy") + k * k * F.col("m.sxx")
-    fit = fit.withColumn("sigma", F.sqrt(F.greatest(spread, F.lit(0.0)) / (n - 1)))
+    fit = fit.withColumn("sigma", F.sqrt(F.greatest(spread, F.lit(0.0)) / F.when(n > 1, n - 1)))
     width = F.sqrt(F.col("sigma") * F.col("sigma") / (2 * k) * (1 - F.exp(-2 * k * F.col("h"))))
-    return _banded(fit, series, horizon, F.col("target") + (F.col("last") - F.col("target")) * F.pow(1 - k, F.col("h")), width, grain)
+    return _banded(fit, series, horizon, F.col("target") + (F.col("last") - F.col("target")) * F.pow(1 - k, F.col("h")), width, grain, enough=n >= 2, more=[n])
 
 
 # ---- exponential smoothing ----------------------------------------------------------------------------------------
@@ -132,12 +134,13 @@ def smooth_with(panel: DataFrame, alphas: DataFrame, series: Sequence[str] = LON
 # ---- debt path ----------------------------------------------------------------------------------------------------
 
 def debt_path(start: DataFrame, horizon: int, grain: str = "quarter", cap: float = 500.0, series: Sequence[str] = ("entity",)) -> DataFrame:
-    """d' = d (1 + r) / (1 + g) - pb in closed form. ``start`` has debt, r, g, pb, sigma and last_period per series."""
+    """d' = d (1 + r) / (1 + g) - pb in closed form, cut at a cap, with a column that says where. ``start`` has debt, r, g, pb, sigma and last_period per series."""
     a = (1 + F.col("r")) / F.when(F.abs(1 + F.col("g")) > 1e-6, 1 + F.col("g")).otherwise(1e-6)
     fit = start.withColumn("a", a)
     power = F.pow("a", F.col("h"))
     total = F.when(F.abs(F.col("a") - 1) < 1e-12, F.col("h").cast("double")).otherwise((power - 1) / (F.col("a") - 1))
-    return _banded(fit, series, horizon, F.least(F.col("debt") * power - F.col("pb") * total, F.lit(cap)), F.col("sigma") * F.sqrt("h"), grain)
+    path = F.col("debt") * power - F.col("pb") * total
+    return _banded(fit, series, horizon, F.least(path, F.lit(cap)), F.col("sigma") * F.sqrt("h"), grain, more=[(path > cap).alias("is_capped")])
 
 
 # ---- backtests ----------------------------------------------------------------------------------------------------

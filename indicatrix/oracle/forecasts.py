@@ -33,7 +33,7 @@ def line(p: str, horizon: int, y: str = "v", log: bool = False) -> str:
 def revert(p: str, horizon: int, target: str = "mean") -> str:
     return f"""SELECT *, g + (last - g) * pow(1 - k, h) AS c, sqrt(s * s / (2 * k) * (1 - exp(-2 * k * h))) AS w FROM (
   SELECT *, {target} AS g, sqrt(greatest(syy + 2 * k * sxy + k * k * sxx, 0) / (m - 1)) AS s FROM (SELECT *, CASE WHEN sxx / m <= 1e-12 THEN 0.05 ELSE greatest(-b, 0.001) END AS k FROM (
-  SELECT entity, indicator, regr_count(v - before, before) AS m, regr_slope(v - before, before) AS b, regr_sxx(v - before, before) AS sxx,
+  SELECT entity, indicator, CAST(regr_count(v - before, before) AS BIGINT) AS m, regr_slope(v - before, before) AS b, regr_sxx(v - before, before) AS sxx,
     regr_syy(v - before, before) AS syy, regr_sxy(v - before, before) AS sxy, avg(v) AS mean, arg_max(v, period_start) AS last, max(period_start) AS last_period
   FROM {p} GROUP BY 1, 2))) CROSS JOIN (SELECT CAST(unnest(range(1, {horizon + 1})) AS INTEGER) AS h)"""
 
@@ -91,15 +91,15 @@ se AS (SELECT entity, indicator, alpha, sum(pow(v - p, 2)) AS sse FROM (SELECT *
 ba AS (SELECT entity, indicator, arg_min(alpha, sse) AS alpha, min(sse) AS sse FROM se GROUP BY ALL)"""
 SMOOTHED = """, sp AS (SELECT sm.entity, sm.indicator, sm.period_start, s AS v, lag(s) OVER (PARTITION BY sm.entity ORDER BY t) AS before FROM sm JOIN ba ON sm.entity = ba.entity AND sm.alpha = ba.alpha),
 tg AS (SELECT entity, avg(v) AS target FROM up GROUP BY 1)"""
-DEBT = """SELECT entity, h, CAST(last_period + to_months(CAST(h AS INTEGER) * 3) AS DATE) AS period_start, round(c, 2) AS forecast, round(c - w, 2) AS lower_68, round(c + w, 2) AS upper_68,
+DEBT = """SELECT entity, is_capped, h, CAST(last_period + to_months(CAST(h AS INTEGER) * 3) AS DATE) AS period_start, round(c, 2) AS forecast, round(c - w, 2) AS lower_68, round(c + w, 2) AS upper_68,
   round(c - 1.96 * w, 2) AS lower_95, round(c + 1.96 * w, 2) AS upper_95 FROM (
-  SELECT *, least(debt * pow(a, h) - pb * CASE WHEN abs(a - 1) < 1e-12 THEN h ELSE (pow(a, h) - 1) / (a - 1) END, 500) AS c, sigma * sqrt(h) AS w FROM (
+  SELECT *, least(d, 500) AS c, d > 500 AS is_capped, sigma * sqrt(h) AS w FROM (SELECT *, debt * pow(a, h) - pb * CASE WHEN abs(a - 1) < 1e-12 THEN h ELSE (pow(a, h) - 1) / (a - 1) END AS d FROM (
   SELECT *, (1 + r) / (1 + g) AS a FROM (SELECT entity, arg_max(debt_to_gdp_ratio, period_start) AS debt, coalesce(avg(growth) FILTER (k <= 4), 0.005) AS g,
     arg_max(budget_deficit, period_start) / 4.0 AS pb, stddev_pop(move) AS sigma, max(period_start) AS last_period FROM (
     SELECT *, (nominal_gdp - lag(nominal_gdp) OVER w) / lag(nominal_gdp) OVER w AS growth, debt_to_gdp_ratio - lag(debt_to_gdp_ratio) OVER w AS move,
       row_number() OVER (PARTITION BY entity ORDER BY period_start DESC) AS k FROM quarterly WINDOW w AS (PARTITION BY entity ORDER BY period_start)) GROUP BY 1)
   JOIN (SELECT entity, pow(1 + arg_max(portugal_10y_bond_yield, period_start) FILTER (portugal_10y_bond_yield IS NOT NULL) / 100.0, 0.25) - 1 AS r FROM monthly GROUP BY 1) USING (entity))
-  CROSS JOIN (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS h))"""
+  CROSS JOIN (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS h)))"""
 GP = panel("gp", "quarterly", ["real_gdp"])
 KEY = "entity, indicator, o"
 GRID = "(SELECT row_number() OVER (ORDER BY a, b, g) - 1 AS i, a, b, g FROM (VALUES (0.1::DOUBLE), (0.3), (0.5), (0.7), (0.9)) x(a), (VALUES (0.0::DOUBLE), (0.05), (0.2)) y(b), (VALUES (0.05::DOUBLE), (0.2), (0.5)) z(g))"
@@ -203,18 +203,18 @@ SQL = {
     "full_ensemble": facts(f"""SELECT entity, indicator, h, period_start, {", ".join(f"round(sum({b} * weight), 2) AS {b}" for b in BANDS)} FROM ({FOUR_ROWS}) JOIN wt USING (entity, indicator, model) GROUP BY 1, 2, 3, 4""",
                            "monthly", "quarterly", extra=FOUR),
     "ensemble_status": facts("SELECT entity, indicator, model, origins, round(mae, 4) AS mae, round(weight, 4) AS weight, CASE WHEN mae IS NULL THEN 'failed' ELSE 'ok' END AS status FROM wt", "monthly", "quarterly", extra=FOUR),
-    "gdp_forecast": facts("SELECT *, year(period_start) || '-Q' || quarter(period_start) AS date_key FROM (" + bands(line("gp", 8, LOG, True), 8, "quarter", 2, True) + ")",
+    "gdp_forecast": facts("SELECT *, year(period_start) || '-Q' || quarter(period_start) AS date_key FROM (" + bands(line("gp", 8, LOG, True), 8, "quarter", 2, True, ", n") + ")",
                           "quarterly", extra=GP),
-    "credit_forecast": facts("SELECT *, strftime(period_start, '%Y-%m') AS date_key FROM (" + bands(line("cp", 12, LOG, True), 12, "month", 2, True) + ")",
+    "credit_forecast": facts("SELECT *, strftime(period_start, '%Y-%m') AS date_key FROM (" + bands(line("cp", 12, LOG, True), 12, "month", 2, True, ", n") + ")",
                              extra=panel("cp", "monthly", ["total_credit"], 36)),
     "credit_growth": facts(f"""SELECT entity, indicator, count(*) AS n, round(regr_slope({LOG}, t), 6) AS slope, round(regr_r2({LOG}, t), 4) AS r_squared,
   round((exp(regr_slope({LOG}, t) * 12) - 1) * 100, 4) AS annual_growth FROM cp GROUP BY 1, 2""", extra=panel("cp", "monthly", ["total_credit"], 36)),
-    "rate_forecast": facts(bands(revert("xp", 12), 12, "month", 3), extra=panel("xp", "monthly", ["ecb_main_refinancing_rate", "euribor_12m"])),
-    "inflation_forecast": facts(bands(revert("xp", 12, "2.0::DOUBLE"), 12, "month", 2), extra=panel("xp", "monthly", ["hicp"])),
+    "rate_forecast": facts(bands(revert("xp", 12), 12, "month", 3, extra=", m AS n"), extra=panel("xp", "monthly", ["ecb_main_refinancing_rate", "euribor_12m"])),
+    "inflation_forecast": facts(bands(revert("xp", 12, "2.0::DOUBLE"), 12, "month", 2, extra=", m AS n"), extra=panel("xp", "monthly", ["hicp"])),
     "smoothing_weights": facts("SELECT entity, indicator, alpha, round(sse, 3) AS sse FROM ba", extra=UP + ", " + SMOOTH),
-    "unemployment_forecast": facts(bands(revert("sp", 12, "target").replace("FROM sp GROUP BY 1, 2", "FROM sp GROUP BY 1, 2) JOIN tg USING (entity"), 12, "month", 2),
+    "unemployment_forecast": facts(bands(revert("sp", 12, "target").replace("FROM sp GROUP BY 1, 2", "FROM sp GROUP BY 1, 2) JOIN tg USING (entity"), 12, "month", 2, extra=", m AS n"),
                                    extra=UP + ", " + SMOOTH + SMOOTHED),
-    "trend_forecast": facts(bands(line("rp", 12), 12, "month", 3), extra=RATES),
+    "trend_forecast": facts(bands(line("rp", 12), 12, "month", 3, extra=", n"), extra=RATES),
     "debt_forecast": facts(DEBT, "monthly", "quarterly"),
     "backtest_origins": facts(scored(backtest("gp", "log_linear", 4, EXPAND.format(12, 4)), "entity, indicator, model, origin"), "quarterly", extra=GP),
     "backtest_gdp": facts(scored(backtest("gp", "log_linear", 4, EXPAND.format(12, 4)), "entity, indicator, model"), "quarterly", extra=GP),

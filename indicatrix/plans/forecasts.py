@@ -120,8 +120,7 @@ def ensemble_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates, credit = _monthly(wh, *REVERTING), _monthly(wh, "total_credit")
     weights = fc.model_weights(_scores(rates, ["linear", "mean_reversion"], 12)).unionByName(
         fc.model_weights(_scores(credit, ["linear", "log_linear"], 12)))
-    runs = [("linear", fc.linear_trend(rates.unionByName(credit), 12, "month")), ("mean_reversion", fc.mean_reversion(rates, 12, "month")),
-            ("log_linear", fc.log_linear(credit, 12, "month"))]
+    runs = [("linear", fc.linear_trend(rates.unionByName(credit), 12, "month")), ("mean_reversion", fc.mean_reversion(rates, 12, "month")), ("log_linear", fc.log_linear(credit, 12, "month"))]
     stacked = None
     for name, run in runs:
         named = run.withColumn("model", F.lit(name))
@@ -150,7 +149,7 @@ def _all_models(panel: DataFrame, grain: str, cycle: int) -> tuple[DataFrame, Da
     scored = _scores(panel, ["linear", "mean_reversion"], cycle) \
         .unionByName(fc.split_forecasts(fc.holt_winters_fits(panel, cycle, splits, cycle), panel, "holt_winters", cycle)) \
         .unionByName(fc.split_forecasts(fc.autoregression_fits(panel, fc.last_splits(3, cycle), cycle), panel, "autoregression", cycle))
-    runs = [fc.linear_trend(panel, cycle, grain), fc.mean_reversion(panel, cycle, grain), fc.holt_winters(panel, cycle, grain, cycle).drop("detail"), fc.autoregression(panel, cycle, grain).drop("detail")]
+    runs = [fc.linear_trend(panel, cycle, grain).drop("n"), fc.mean_reversion(panel, cycle, grain).drop("n"), fc.holt_winters(panel, cycle, grain, cycle).drop("detail"), fc.autoregression(panel, cycle, grain).drop("detail")]
     stacked = None
     for name, run in zip(MODELS, runs):
         named = run.withColumn("model", F.lit(name))

@@ -263,3 +263,22 @@ def test_a_failing_model_leaves_a_trace_and_no_weight(series):
     assert [r["predicted"] is None for r in failing.orderBy("origin", "h").collect()] == [False] * 4 + [True] * 4
     steady = fc.udf_forecasts(panel, "steady", lambda y, h: np.repeat(y[-1] + 1, h), 2, lambda n: range(10, n - 1, 5))
     assert {r["model"]: r["weight"] for r in fc.model_weights(failing.unionByName(steady)).collect()} == {"failing": 0.0, "steady": 1.0}
+
+
+def test_short_series_keep_their_rows(series):
+    """Two values for a line, one change for a reversion: rows with n and no numbers."""
+    panel = series({"one": [3.0], "two": [3.0, 4.0], "three": [3.0, 4.0, 6.0]})
+    for out, known in ((fc.linear_trend(panel, 2, "month"), {"three"}), (fc.log_linear(panel, 2, "month"), {"three"}), (fc.mean_reversion(panel, 2, "month"), {"three"})):
+        rows = out.collect()
+        assert len(rows) == 6 and {r["entity"] for r in rows if r["forecast"] is not None} == known and all(r["n"] is not None for r in rows)
+    growth = {r["entity"]: r for r in fc.log_linear_growth(panel, 12).collect()}
+    assert len(growth) == 3 and growth["two"]["slope"] is None and growth["two"]["n"] == 2 and growth["three"]["annual_growth"] > 0
+
+
+def test_a_capped_path_says_so(spark):
+    from datetime import date
+
+    start = spark.createDataFrame([("cap", 490.0, 0.05, 0.0, 0.0, 1.0, date(2020, 10, 1)), ("free", 90.0, 0.01, 0.0, 0.0, 1.0, date(2020, 10, 1))],
+                                  "entity string, debt double, r double, g double, pb double, sigma double, last_period date")
+    rows = fc.debt_path(start, 3).collect()
+    assert all(r["is_capped"] == (r["entity"] == "cap") for r in rows) and len(rows) == 6
