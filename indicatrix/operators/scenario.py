@@ -134,3 +134,13 @@ def combined(base: DataFrame, coefficients: DataFrame, bps: float = 200.0, pct:
         rounded(ratio(F.col("total_debt"), F.col("annual_gdp") * (1 + pct / 100.0)) * 100).alias("worst_debt_to_gdp_pct"),
         rounded(F.col("total_debt") * (bps / 100.0) / 100.0, 1).alias("worst_additional_debt_cost"), band("debt_to_gdp_ratio", DEBT_RISK).alias("debt_risk"),
         band("unemployment_rate", LABOUR_RISK).alias("labour_risk"), band("hicp", PRICE_RISK).alias("price_risk"))
+
+
+def report(base: DataFrame, coefficients: DataFrame, bps: float = 200.0, pct: float = -2.0, inflation: float = 6.0, balance: float = -1.0) -> DataFrame:
+    """The combined worst case and, beside it, each of the four scenarios it rests on, one row for each entity; columns carry the scenario's name."""
+    parts = {"rate": rate_shock(base, coefficients, (bps,)), "output": output_shock(base, coefficients, (pct,)), "inflation": inflation_shock(base, (inflation,)),
+             "consolidation": consolidation(base, (balance,))}
+    out = combined(base, coefficients, bps, pct)
+    for name, part in parts.items():
+        out = out.join(part.select("entity", *[F.col(c).alias(f"{name}_{c}") for c in part.columns if c not in ("entity", "shock")]), "entity", "left")
+    return out

@@ -57,3 +57,12 @@ FROM (SELECT *, (1 + {Y} / 100) / 1.02 AS a FROM {shocks(-1, 8)})""",
   round(total_debt * 2 / 100, 1) AS worst_additional_debt_cost, CASE WHEN debt_to_gdp_ratio > 90 THEN 'HIGH' ELSE 'MODERATE' END AS debt_risk,
   CASE WHEN unemployment_rate < 7 THEN 'LOW' ELSE 'MODERATE' END AS labour_risk, CASE WHEN hicp < 3 THEN 'LOW' ELSE 'ELEVATED' END AS price_risk FROM bl JOIN co USING (entity)""",
 }.items()}
+
+
+def part(name: str, query: str, shock: int) -> str:
+    return f"(SELECT COLUMNS('(.*)') AS '{name}_\\1' FROM (SELECT * EXCLUDE (shock) FROM ({SQL[query]}) WHERE shock = {shock})) {name}"
+
+
+_PARTS = [("rate", "scenario_rate_shock", 200), ("output", "scenario_output_shock", -2), ("inflation", "scenario_inflation_shock", 6), ("consolidation", "scenario_consolidation", -1)]
+SQL["scenario_report"] = f"SELECT * EXCLUDE ({', '.join(f'{n}_entity' for n, _, _ in _PARTS)}) FROM ({SQL['scenario_combined']}) c " + " ".join(
+    f"LEFT JOIN {part(*p)} ON {p[0]}_entity = c.entity" for p in _PARTS)

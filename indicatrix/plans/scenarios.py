@@ -46,5 +46,10 @@ def scenario_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sc.combined(*_both(spark, sf_dir))
 
 
+def scenario_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The combined stress test with its parts."""
+    return sc.report(*_both(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (scenario_baseline, scenario_coefficients, scenario_rate_shock, scenario_output_shock, scenario_inflation_shock,
-                                   scenario_consolidation, scenario_combined)}
+                                   scenario_consolidation, scenario_combined, scenario_report)}
