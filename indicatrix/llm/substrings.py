@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from indicatrix.llm.common import Scratch, shuffle_width
 from indicatrix.llm.packing import find_words, mix, pack, pack_sorted, text_bytes, unpack, unpack_sorted, word_hashes
+from indicatrix.operators.ranking import number_large_groups
 
 WINDOW = 13
 #: A task looks at about so many bytes of text at a time; a bucket of edges comes from about so many.
@@ -185,12 +186,19 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame, carried: list[str]) -> tuple[DataFrame, int, int]:
-    """key, carried columns and text; a key is doc_id * copies + the row's number among rows with that id. Also copies, and the bytes of all texts."""
+    """key, carried columns and text; a key is doc_id * copies + the row's number among rows with that id. Also copies, and the bytes of all texts.
+
+    Ids for which that would leave 64 bits are first replaced by their ranks, which keep their order; a null id comes before all.
+    """
     text = F.coalesce(docs["text"], F.lit(""))
     rows = docs.select(docs["doc_id"].cast("long").alias("id"), (F.struct(*[docs[c] for c in carried]) if carried else F.lit(None).cast("int")).alias("carried"), text.alias("text"))
-    low, size = rows.agg(F.min("id"), F.sum(F.octet_length("text"))).first()
-    rows = rows.withColumn("id", F.coalesce("id", F.lit((low or 0) - 1)))
+    low, high, size = rows.agg(F.min("id"), F.max("id"), F.sum(F.octet_length("text"))).first()
     often = rows.groupBy("id").count().where("count > 1").agg(F.max("count")).first()[0] or 1
+    if max(abs((low or 0) - 1), abs(high or 0) + 1) * often < 1 << 63:
+        rows = rows.withColumn("id", F.coalesce("id", F.lit((low or 0) - 1)))
+    else:
+        ranks = number_large_groups(rows.where("id is not null").select(F.lit(0).alias("all"), "id").distinct(), ["all"], "id", True, "rank", ["id"])
+        rows = rows.join(ranks.select("id", "rank"), "id", "left").select(F.coalesce("rank", F.lit(0)).cast("long").alias("id"), "carried", "text")
     if often == 1:
         return rows.withColumnRenamed("id", "key"), 1, size or 0
     number = F.row_number().over(W.partitionBy("id").orderBy(F.xxhash64("text"), "text")) - 1

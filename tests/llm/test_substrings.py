@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pytest
+
 from indicatrix.llm import substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -69,3 +71,14 @@ def test_white_space_stays_around_a_cut(spark):
     passage = " ".join(f"p{i}" for i in range(20))
     docs = spark.createDataFrame([(1, passage), (2, f"One\ttwo\n\n{passage}\nthree  four\n")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in substrings.without_repeats(docs).collect()} == {1: passage, 2: "One\ttwo\n\nthree  four\n"}
+
+
+@pytest.mark.parametrize("ids", [(2**62 + 1, 2**62 + 1, 2**62), (-(2**63), None, 2**63 - 1), (-(2**63), -(2**63), None), (None, None, 2**63 - 1), (2**63 - 1, 2**63 - 1, -(2**63))])
+def test_ids_at_both_ends_of_64_bits(spark, ids):
+    """Also repeated and next to null ids, which are smaller than all."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(ids[0], passage + " one"), (ids[1], passage + " two"), (ids[2], "three " + passage), (7, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    below = -(2**63) - 1
+    got = sorted((below if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.repeated_words(docs).collect())
+    assert got == brute([(below if d is None else d, t) for d, t in rows])
