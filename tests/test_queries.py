@@ -16,7 +16,8 @@ spec.loader.exec_module(check)
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="test tables are not here")
 SAMPLE = ["gdp_growth_ranking", "unemp_trend_ma12", "deleveraging_episodes", "credit_to_gdp", "health_scorecard", "annual_snapshot", "transform_credit", "dense_customers",
           "customer_ranks", "policy_steps", "pillar_summaries", "period_pairwise", "correlation_levels", "quality_summary", "threshold_alerts", "peer_comparison",
-          "ensemble_forecast", "scenario_consolidation", "briefing_tone", "kpi_yoy", "chart_growth_monthly", "positional_payload", "upserted_orders"]
+          "ensemble_forecast", "scenario_consolidation", "briefing_tone", "kpi_yoy", "chart_growth_monthly", "positional_payload", "upserted_orders",
+          "unit_roots", "correlation_matrix", "phillips_band", "seasonal_forecast", "order_search_forecast", "ensemble_status", "lineage_records", "drift_check", "key_checks", "freshness_checks", "extracted_pillars", "page_digests", "upserted_partitions", "customer_comparison", "customer_rank_history", "scenario_report", "correlation_report", "significance_report"]
 
 
 @pytest.fixture(scope="module")
