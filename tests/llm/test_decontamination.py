@@ -64,3 +64,23 @@ def test_items_of_few_words_and_items_without_an_id(spark):
     got = {(r["doc_id"], r["item_id"], r["start_word"], r["n_words"], r["similarity"]) for r in decontamination.contaminated(docs, items).collect()}
     assert got == {(1, 1, 3, 2, 1.0), (6, 1, 0, 2, 1.0), (4, 2, 4, 1, 1.0), (4, 3, 2, 3, 1.0), (4, 4, 2, 4, 1.0), (5, None, 1, 12, 1.0)}
     assert {r["doc_id"] for r in decontamination.without_contaminated(docs, items).collect()} == {2, 3}
+
+
+def test_a_long_text_of_one_repeated_word_and_repeated_rows(spark):
+    long_item = " ".join(f"w{k % 7}" for k in range(60))
+    texts = [(1, "the " * 20_000), (1, "the " * 20_000), (2, "w0 w1 w2 w3 w4 w5 w6 " * 700), (None, "see the end"), (None, "see the end"), (None, "nothing")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the"), (2, long_item), (2, "the end")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["start_word"], r["n_words"], r["similarity"]) for r in decontamination.contaminated(docs, items).collect()}
+    assert got == {(1, 1, 0, 1, 1.0), (2, 2, 0, 60, 1.0), (None, 1, 1, 1, 1.0), (None, 2, 1, 2, 1.0)}
+
+
+def test_items_in_lots(spark, documents, monkeypatch):
+    benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    whole = found(documents, benchmark)
+    monkeypatch.setattr(decontamination, "ITEMS_AT_ONCE", 70)
+    monkeypatch.setattr(decontamination, "WORDS_AT_ONCE", 40)
+    monkeypatch.setattr(decontamination, "LANE_MAX", 20)
+    items = benchmark.limit(3)
+    ids = {r["item_id"] for r in items.collect()}
+    assert found(documents, items) == {k: v for k, v in whole.items() if k[1] in ids}
