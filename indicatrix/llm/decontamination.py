@@ -133,7 +133,8 @@ def _search(docs: DataFrame, items: DataFrame, scratch: Scratch, lot: int, few_w
     found = texts.join(runs, texts["doc_id"].eqNullSafe(runs["run_doc"]) & (texts["row"] == runs["run_row"])) \
         .groupBy("doc_id", "row", "n").agg(F.first("text").alias("text"), F.first("runs").alias("runs"))
     # items of fewer than five words meet windows of just as many words; texts of fewer than five have one shingle of all their words
-    windows = found.select("doc_id", "n", "runs", shingles(words_of(F.lower("text")), F.least("n", F.lit(SHINGLE))).alias("hashes")) \
+    windows = found.select("doc_id", "n", "runs", words_of(F.lower("text")).alias("words")) \
+        .select("doc_id", "n", "runs", shingles(F.col("words"), F.least("n", F.lit(SHINGLE))).alias("hashes")) \
         .select("doc_id", "n", "hashes", F.explode("runs").alias("run")) \
         .select("doc_id", "n", "hashes", F.explode(F.sequence("run.low", "run.high")).alias("start")) \
         .select("doc_id", "n", "start", F.slice("hashes", F.col("start") + 1, F.greatest(F.col("n") - (SHINGLE - 1), F.lit(1))).alias("window")).where(F.size("window") > 0)
