@@ -32,13 +32,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     """text and y of a bounded sample: of each class, the labelled documents with the smallest id hashes.
 
     Labels that are null or neither 0 nor 1 do not count, nor do documents whose labels differ. Repeated labels count once.
+    Of an id with several texts the one with the smallest hash counts, so the sample has one row for each id at most, however often an id repeats.
     """
     one = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("y")).where("doc_id is not null and y in (0, 1)") \
         .groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("doc_id", "y")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = one.where("y = 1").orderBy(*order).limit(rows).union(one.where("y = 0").orderBy(*order).limit(rows))
     texts = doc_texts(docs).where(F.char_length("text").between(1, chars))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")  # 2 * rows ids at most
+    met = texts.join(F.broadcast(chosen), "doc_id")  # 2 * rows ids at most
+    return met.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "y")
 
 
 def _dictionary(texts: list[bytes]) -> bytes:

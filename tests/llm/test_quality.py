@@ -37,3 +37,30 @@ def test_labels_of_one_class_or_none(spark, odd_docs):
         return {r["score"] for r in quality.score(odd_docs, quality.fit(odd_docs, labels)).collect()}
 
     assert scores([]) == {0.5} and scores([(1, 1), (5, 1), (None, 0), (9, None)]) == {1.0}
+
+
+def test_an_id_that_repeats_counts_once_in_the_sample(spark):
+    docs = spark.range(5000).selectExpr("id % 2 + 1 as doc_id", "concat('text ', id % 50) as text")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 1)], "doc_id long, quality int")
+    sample = quality.training_sample(docs, labels, "quality").collect()
+    assert sorted((r["doc_id"], r["y"]) for r in sample) == [(1, 1), (2, 0)]
+    assert sorted(map(str, sample)) == sorted(map(str, quality.training_sample(docs.repartition(7), labels, "quality").collect()))
+
+
+def test_scores_by_brute_force(spark, corpus, labels):
+    """Every score from the two dictionaries by plain Python: compressed sizes, their features and the logistic function."""
+    import math
+
+    import zstandard
+
+    model = quality.fit(corpus, labels.where(doc_bucket(labels["doc_id"], 5) != 0))
+    sides = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+    expected = {}
+    for r in corpus.select("doc_id", "text").collect():
+        data = (r["text"] or "").encode()
+        g, b = (len(side.compress(data)) for side in sides)
+        z, short = 10 * (b - g) / (b + g), math.log((min(g, b) + 1) / (len(data) + 12))
+        x = [1, z, z * math.log1p(len(data)) / 8, short, short * short]
+        expected[r["doc_id"]] = 1 / (1 + math.exp(-sum(w * v for w, v in zip(model.weights, x))))
+    got = {r["doc_id"]: r["score"] for r in quality.score(corpus, model).collect()}
+    assert got == pytest.approx(expected, abs=1e-9)
