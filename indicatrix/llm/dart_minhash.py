@@ -264,14 +264,18 @@ def near_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each class: that of the smallest doc_id, among rows of one id that of the smallest text digest. Null texts stay."""
+    """One row of each class: that of the smallest doc_id, among rows of one id that of the smallest text digest. Null texts stay.
+
+    All columns come back as they were, whatever their names. Empty texts are one class.
+    """
     scratch = Scratch(docs.sparkSession, "near-first")
     classes = scratch.keep(near_classes(docs, scratch).where("text_key is not null"), "rows")
     order = F.struct(F.coalesce("doc_id", F.lit(-(2**63))), "text_key")  # a null id is the smallest
     kept = classes.groupBy("class_key").agg(F.min_by(F.struct("doc_id", "text_key"), order).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.text_key").alias("__key"))
-    keyed = docs.withColumns({"__doc": docs["doc_id"].cast("long"), "__text": F.unhex(F.md5(docs["text"].cast("binary")))})
-    stay = keyed.join(kept, keyed["__doc"].eqNullSafe(kept["__id"]) & (keyed["__text"] == kept["__key"]), "left_semi")
+    # all columns of a row travel as one struct, so none of theirs can clash with the keys
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc"), F.unhex(F.md5(docs["text"].cast("binary"))).alias("digest"))
+    stay = keyed.join(kept, keyed["doc"].eqNullSafe(kept["__id"]) & (keyed["digest"] == kept["__key"]), "left_semi")
     if not classes.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
-        stay = stay.dropDuplicates(["__doc", "__text"])
-    return stay.unionByName(keyed.where("text is null")).select(*docs.columns)
+        stay = stay.dropDuplicates(["doc", "digest"])
+    return stay.unionByName(keyed.where("digest is null")).select(*[F.col("row")[c].alias(c) for c in docs.columns])

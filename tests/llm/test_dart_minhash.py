@@ -87,3 +87,12 @@ def test_odd_rows(spark, odd_docs, no_docs):
     kept = dart_minhash.first_of_each(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 6, 8, 9, 9, 10, 11]
+
+
+def test_columns_named_like_the_keys_come_back_unchanged(spark):
+    names = ["__doc", "__text", "__id", "__key", "row", "doc", "digest", "text_key", "label", "root"]
+    rows = [(d, t, *[f"{n}-{d}" for n in names]) for d, t in ((1, "a b c"), (2, "a b c"), (3, None), (None, "d e"), (None, "d e"), (4, ""))]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"{n} string" for n in names]]))
+    kept = dart_minhash.first_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.where("doc_id is null or doc_id != 2").distinct().collect()))
