@@ -31,11 +31,20 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return decontamination.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with underscores behind it where a column has it already (capitals do not count)."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All columns, text as decoded, and n_pieces and piece_ids; where docs has columns of these names they stay, and the new ones get an underscore."""
     names = [c for c in docs.columns if c != "text"]
     model = piece_model()
     coded = pieces.decode(pieces.encode(docs, model, names), model)
-    return coded.select(*[F.col("decoded").alias("text") if c == "text" else F.col("carried")[c].alias(c) for c in docs.columns], F.size("ids").alias("n_pieces"), F.col("ids").alias("piece_ids"))
+    return coded.select(*[F.col("decoded").alias("text") if c == "text" else F.col("carried")[c].alias(c) for c in docs.columns],
+                        F.size("ids").alias(free_name("n_pieces", docs.columns)), F.col("ids").alias(free_name("piece_ids", docs.columns)))
 
 
 STAGES = [("quality classifier", good_texts), ("near-duplicates", one_of_each), ("substring dedup", no_repeats), ("benchmark decontamination", no_benchmark), ("pieces", as_pieces)]
