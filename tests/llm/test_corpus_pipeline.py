@@ -54,3 +54,12 @@ def test_each_stage_takes_effect_and_keeps_the_rest(spark, stages):
 
 def test_run_gives_the_last_stage(spark, stages):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.01").select("doc_id").exceptAll(stages["pieces"][1].select("doc_id")).isEmpty()
+
+
+def test_columns_named_like_the_new_ones_stay(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a small text", 7, "x"), (2, None, None, None), (3, "", 8, "y")], "doc_id long, text string, N_Pieces int, piece_ids string")
+    after = corpus_pipeline.as_pieces(spark, docs, "")
+    assert after.columns == ["doc_id", "text", "N_Pieces", "piece_ids", "n_pieces_", "piece_ids_"]
+    after.write.parquet(f"{tmp_path}/out")
+    kept = {r["doc_id"]: (r["N_Pieces"], r["piece_ids"], r["n_pieces_"] == len(r["piece_ids_"] or [])) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert kept == {1: (7, "x", True), 2: (None, None, True), 3: (8, "y", True)}
