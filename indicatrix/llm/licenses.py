@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from indicatrix.llm.common import words_of
+from indicatrix.llm.common import Scratch
 
 THRESHOLD = 0.8
 
@@ -63,7 +63,7 @@ def template_bigrams(text: str) -> list[str]:
 
 def normal_words(text: Column) -> Column:
     """Lower-case words of letters and digits; anything else parts words."""
-    return words_of(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def bigrams(words: Column) -> Column:
@@ -95,9 +95,10 @@ def passages(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thre
 
     text = F.coalesce(docs["text"], F.lit(""))
     lines = F.split(text, r"\r\n|\n|\r")
-    passages = docs.select(docs["doc_id"].cast("long").alias("doc_id"), lines.alias("lines"), text.alias("text")) \
-        .select("doc_id", F.posexplode(F.when(F.size("lines") > 1, F.concat(F.col("lines"), F.array("text"))).otherwise(F.col("lines"))).alias("at", "passage"), F.size("lines").alias("n_lines"))
-    spoken = passages.select("doc_id", F.when(F.col("at") == F.col("n_lines"), -1).otherwise(F.col("at")).alias("line"), normal_words(F.col("passage")).alias("words"))
+    passages = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _let(lines, lambda x: F.when(F.size(x) > 1, F.concat(x, F.array(text))).otherwise(x)).alias("parts"))
+    # words are made where lines are told apart: a filter on them is not pushed below and does not make them again
+    spoken = passages.select("doc_id", F.size("parts").alias("n_parts"), F.posexplode(F.transform("parts", normal_words)).alias("at", "words")) \
+        .select("doc_id", F.when((F.col("n_parts") > 1) & (F.col("at") == F.col("n_parts") - 1), -1).otherwise(F.col("at")).alias("line"), "words")
     fitting = spoken.where(F.size("words") - 1 >= min(r[0] for r in rows)).where(F.size("words") - 1 <= max(r[0] for r in rows)) \
         .select("doc_id", "line", (F.size("words") - 1).alias("n"), bigrams(F.col("words")).alias("pairs"))
     met = fitting.join(F.broadcast(sizes), "n")  # templates times the counts within their bounds: fixed by the templates
@@ -144,6 +145,13 @@ def _cover(kept: list[tuple[int, str, list[str]]], threshold: float) -> list[str
     return sorted(words)
 
 
+def _covered(docs: DataFrame, kept: list[tuple[int, str, list[str]]], threshold: float) -> DataFrame:
+    """doc_id and text of the rows with a word of _cover. A line or whole text at the threshold is a run of words at the threshold, so all passages lie in these rows."""
+    cover = F.split(F.lit(" ".join(_cover(kept, threshold))), " ")  # one literal
+    text = F.coalesce(docs["text"], F.lit(""))
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text")).where(F.arrays_overlap(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), cover))
+
+
 def _windows(h: Column, m: Column, least: Column, most: Column, threshold: float) -> Column:
     """The windows that are reported of one text and template, from the places of the template's bigrams in ascending order."""
     end = "struct<pos:int,g:string,line:int,end_line:int,prev:int>"
@@ -189,14 +197,16 @@ def _windows(h: Column, m: Column, least: Column, most: Column, threshold: float
     return F.aggregate(reached, state(F.array().cast(f"array<{one}>"), F.lit(0), F.lit(0), none), take, lambda a: F.concat(a["done"], F.filter(F.array(a["best"]), lambda x: x.isNotNull())))
 
 
-def windows(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, full_texts: list[tuple[str, str]] = FULL_TEXTS, threshold: float = THRESHOLD) -> DataFrame:
+def windows(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, full_texts: list[tuple[str, str]] = FULL_TEXTS, threshold: float = THRESHOLD,
+            covered: bool = False) -> DataFrame:
     """The notices that are neither a line nor a whole text: runs of words of any extent, as passages() has them; line is the one where a run begins.
 
     A run at the threshold may begin at any word and have any length within the size bounds. Of each template, from left to right: among the runs through the place
     where the first of them is complete, the best (then the first, then the shortest) is reported, and the search goes on behind it; so runs that are reported do
     not meet, and every other one meets one of them. Runs in a line or whole text that passages() reports for the same licence
     are that notice and not reported again, but for full texts, which it does not compare. Only texts are read closely that have a word of _cover; templates meet them
-    where enough bigrams are shared, and a run starts only where enough follow.
+    where enough bigrams are shared, and a run starts only where enough follow. covered: docs has only rows of _covered. Null and empty texts have no runs, repeated
+    rows have theirs as often as they occur, very long texts are searched whole.
     """
     spark = docs.sparkSession
     kept = [(k, name, pairs) for k, (name, text) in enumerate([*templates, *full_texts]) if (pairs := template_bigrams(text))]
@@ -211,13 +221,7 @@ def windows(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, full_
                                               "t_pairs array<string>, t_counts array<int>, kin array<struct<m:int,pairs:array<string>>>"))
     every = F.split(F.lit("\n".join(sorted({g for r in rows for g in r[7]}))), "\n")  # one literal
 
-    cover: dict[str, list[str]] = {}
-    for w in _cover(kept, threshold):
-        cover.setdefault(w[0], []).append(w[1:])
-    by_letter = "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in cover.items())
-    text = F.coalesce(docs["text"], F.lit(""))
-    near = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text")) \
-        .where(F.lower("text").rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{by_letter})(?![\p{{L}}\p{{N}}])"))
+    near = docs if covered else _covered(docs, kept, threshold)
     words = F.flatten(F.transform(F.split("text", r"\r\n|\n|\r"), lambda line, at: F.transform(normal_words(line), lambda w: F.struct(w.alias("w"), at.alias("line")))))
 
     def hits(w: Column) -> Column:
@@ -229,7 +233,8 @@ def windows(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, full_
         return F.struct(F.size(w).alias("n_words"), F.transform(places, hit).alias("hits"))
 
     met = near.select("doc_id", "text", _let(words, hits).alias("x"))\
-        .select("doc_id", "text", "x.n_words", "x.hits", F.array_intersect(F.col("x.hits")["g"], every).alias("shared")).where(F.size("shared") > 0) \
+        .select("doc_id", "text", "x.n_words", "x.hits", F.array_intersect(F.col("x.hits")["g"], every).alias("shared")) \
+        .select("doc_id", "text", "n_words", "shared", F.filter("hits", lambda x: F.array_contains("shared", x["g"])).alias("hits")) \
         .join(known, (F.size("shared") >= F.col("least_distinct")) & (F.size(F.array_intersect("shared", "t_pairs")) >= F.col("least_distinct")))  # templates are fixed
 
     def with_previous(h: Column) -> Column:
@@ -261,8 +266,14 @@ def windows(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, full_
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, full_texts: list[tuple[str, str]] = FULL_TEXTS) -> DataFrame:
-    """Every licence notice: lines and whole texts that reach the threshold, and runs of words inside longer lines or over several lines, also of full licence texts."""
-    return passages(docs, templates, threshold).unionByName(windows(docs, templates, full_texts, threshold))
+    """Every licence notice: lines and whole texts that reach the threshold, and runs of words inside longer lines or over several lines, also of full licence texts.
+
+    Every text is searched once for the words of _cover; the rows that have one are written to the checkpoint folder, and both searches read them there.
+    """
+    kept = [(k, name, pairs) for k, (name, text) in enumerate([*templates, *full_texts]) if (pairs := template_bigrams(text))]
+    if kept:
+        docs = Scratch(docs.sparkSession, "licenses").keep(_covered(docs, kept, threshold), "covered")
+    return passages(docs, templates, threshold).unionByName(windows(docs, templates, full_texts, threshold, covered=bool(kept)))
 
 
 def oracle_sql(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
