@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from indicatrix.llm import ball_search, dart_minhash, decontamination, fingerprints, licenses, pieces, pitman_yor, quality, shards, simplex_clusters, substrings, suffix_arrays, token_files
 from indicatrix.llm.common import Scratch, doc_bucket
 
-#: Where the public vocabularies lie; read on the driver and sent to the tasks.
-TOKENIZERS = "/opt/tokenizers"
 #: A text of at least this score counts as good.
 GOOD = 0.3
 
@@ -24,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def piece_model() -> bytes:
-    return Path(TOKENIZERS, "piece_bpe_32k.model").read_bytes()
+    return Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
 
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +59,7 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = Path(TOKENIZERS, "word_bpe_49k.json").read_text(encoding="utf-8")
+    vocabulary = Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
     return token_files.written_index(_table(spark, sf_dir, "documents"), vocabulary, end_id=1)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import zlib
 from collections.abc import Iterator
@@ -21,6 +22,8 @@ from indicatrix.llm.common import Scratch, doc_texts, shuffle_width
 PACK_IDS = 500_000
 #: The dictionary is trained on so many documents at most, each of so many characters at most. Every document is written.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 1000, 20_000, 64 * 1024
+#: A shard, the work of one task, comes from about so many bytes of text; there are as many as the shuffle is wide at least.
+SHARD_BYTES = 64 << 20
 #: Words whose ids a task keeps at a time.
 KEPT_WORDS = 500_000
 
@@ -161,7 +164,8 @@ def write_packs(docs: DataFrame, path: str, tokenizer_json: str, end_id: int) ->
             yield row()
 
     order = [F.col("doc_id"), F.xxhash64("text")]
-    placed = texts.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    placed = texts.repartitionByRange(max(shuffle_width(spark), math.ceil(size / SHARD_BYTES)), *order).sortWithinPartitions(*order)
     placed.mapInArrow(pack, PACKS).write.mode("overwrite").option("compression", "none").parquet(f"{path}/packs")
 
 

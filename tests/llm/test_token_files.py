@@ -3,13 +3,13 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 
 from indicatrix.llm import token_files
-from indicatrix.llm.queries import TOKENIZERS
 
-VOCABULARY = Path(TOKENIZERS, "word_bpe_49k.json").read_text(encoding="utf-8")
+VOCABULARY = Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
 
 
 @pytest.fixture(scope="module")
