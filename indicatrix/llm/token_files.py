@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -134,7 +134,11 @@ def write_packs(docs: DataFrame, path: str, tokenizer_json: str, end_id: int) ->
 
     texts = doc_texts(docs)
     width = "<u2" if max(make_encoder().tokenizer.get_vocab_size(True), end_id + 1) <= 65536 else "<u4"
-    dictionary = train_dictionary(texts, make_encoder, width)
+    seen = Observation()  # the bytes of all texts, summed by the pass that takes the sample
+    dictionary, size = b"", 0
+    if not texts.isEmpty():
+        dictionary = train_dictionary(texts.observe(seen, F.sum(F.octet_length("text")).alias("bytes")), make_encoder, width)
+        size = seen.get["bytes"]
     digest = dict_hash(dictionary)
     spark.createDataFrame([(digest, dictionary, width)], "dict_hash string, dictionary binary, width string").coalesce(1).write.mode("overwrite").parquet(f"{path}/dictionary")
 
@@ -164,7 +168,6 @@ def write_packs(docs: DataFrame, path: str, tokenizer_json: str, end_id: int) ->
             yield row()
 
     order = [F.col("doc_id"), F.xxhash64("text")]
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     placed = texts.repartitionByRange(max(shuffle_width(spark), math.ceil(size / SHARD_BYTES)), *order).sortWithinPartitions(*order)
     placed.mapInArrow(pack, PACKS).write.mode("overwrite").option("compression", "none").parquet(f"{path}/packs")
 
