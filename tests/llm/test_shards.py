@@ -1,6 +1,9 @@
+import math
 import zlib
 from collections import Counter
 
+import xxhash
+
 from indicatrix.llm import shards
 
 
@@ -19,6 +22,24 @@ def test_slots_sizes_and_checksums(documents, texts):
     assert len(rows) == len(texts)
 
 
+def chosen(key, weights):
+    """The shard with the smallest exponential draw of all, hashed here by the xxhash library: the smallest of each subtree on the way down is the smallest of all."""
+    start = 42 if key is None else xxhash.xxh64(key.to_bytes(8, "little", signed=True), seed=42).intdigest()
+    bits = {s: xxhash.xxh64(f"shard:{s}".encode(), seed=start).intdigest() >> 12 for s in weights}
+    return min(weights, key=lambda s: -math.log((bits[s] + 0.5) / 2**52) / weights[s])
+
+
+def test_shards_against_plain_draws(spark):
+    ids = [*range(3000), None, -5, -(2**63), 2**63 - 1]
+    docs = spark.createDataFrame([(d, "x") for d in ids], "doc_id long, text string")
+    even = {s: 1.0 for s in range(16)}
+    for r in placed(docs):
+        assert (r["shard"], r["grown_shard"]) == (chosen(r["doc_id"], even), chosen(r["doc_id"], even | {16: 1.0}))
+    tree = {"a": {"a1": {0: 1.0, 1: 3.0}}, "b": {"b1": {2: 2.0}, "b2": {3: 0.5}}}
+    for r in placed(docs, tree, tree):
+        assert r["shard"] == chosen(r["doc_id"], {0: 1.0, 1: 3.0, 2: 2.0, 3: 0.5})
+
+
 def test_keys_move_only_into_the_new_shard(spark):
     docs = spark.range(20000).selectExpr("id AS doc_id", "'x' AS text")
     rows = placed(docs)
