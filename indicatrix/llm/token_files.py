@@ -7,6 +7,7 @@ import math
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +50,10 @@ class WordEncoder:
         self.ids, self.counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
 
     def _slots(self, words: list[str]) -> np.ndarray:
-        if len(self.slots) + len(words) > max(KEPT_WORDS, len(words)):
-            self.forget()
         fresh = [w for w in words if w not in self.slots]
+        if fresh and len(self.slots) + len(fresh) > max(KEPT_WORDS, len(words)):
+            self.forget()
+            fresh = words
         if fresh:
             self.slots.update(zip(fresh, range(len(self.slots), len(self.slots) + len(fresh))))
             groups = [fresh[k:k + 256] for k in range(0, len(fresh), 256)]
@@ -69,7 +71,7 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, r"([A-Za-z0-9])([.,!?;:$%&#*]+)([ \n])", r"\1 \2\3"))
         lists = split.offsets.to_numpy().astype(np.int64)
         words = split.values.slice(lists[0], lists[-1] - lists[0]).dictionary_encode()
-        slots = self._slots(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+        slots = self._slots(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
         self.ids, self.counts = [np.concatenate(self.ids)], [np.concatenate(self.counts)]
         ids, counts = self.ids[0], self.counts[0]
         starts = np.concatenate([[0], np.cumsum(counts)])
@@ -80,8 +82,13 @@ class WordEncoder:
         return np.insert(flat, np.cumsum(per_text), self.end_id).astype(np.uint32), per_text + 1
 
 
-def _encode(batches: Iterator[pa.RecordBatch], make_encoder) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    encoder = make_encoder()
+@lru_cache(1)
+def kept_encoder(tokenizer_json: str, end_id: int) -> WordEncoder:
+    """The encoder of this Python worker: its next tasks find the vocabulary loaded and words encoded."""
+    return WordEncoder(tokenizer_json, end_id)
+
+
+def _encode(batches: Iterator[pa.RecordBatch], encoder: WordEncoder) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     for batch in batches:
         for k in range(0, batch.num_rows, 1024):
             part = batch.slice(k, 1024)
@@ -105,12 +112,12 @@ def dict_hash(dictionary: bytes) -> str:
     return hashlib.sha256(dictionary).hexdigest()
 
 
-def train_dictionary(docs: DataFrame, make_encoder, width: str) -> bytes:
+def train_dictionary(docs: DataFrame, encoder: WordEncoder, width: str) -> bytes:
     """A dictionary from the serialized id arrays of a bounded sample: the documents with the smallest id hashes. Empty where the sample is too small."""
     import zstandard
 
     sample = docs.where(F.char_length("text").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE_DOCS).select("text").toArrow()
-    ids, counts = make_encoder().encode(sample.column("text").combine_chunks() if sample.num_rows else pa.array([], pa.string()))
+    ids, counts = encoder.encode(sample.column("text").combine_chunks() if sample.num_rows else pa.array([], pa.string()))
     arrays = [a.astype(width).tobytes() for a in np.split(ids, np.cumsum(counts)[:-1])] if len(counts) else []
     try:
         return zstandard.train_dictionary(DICT_BYTES, arrays).as_bytes()
@@ -128,16 +135,13 @@ def write_packs(docs: DataFrame, path: str, tokenizer_json: str, end_id: int) ->
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tokenizer_json)  # one file of a vocabulary, a few MB whatever the documents
-
-    def make_encoder():
-        return WordEncoder(shared.value, end_id)
-
+    encoder = WordEncoder(tokenizer_json, end_id)
     texts = doc_texts(docs)
-    width = "<u2" if max(make_encoder().tokenizer.get_vocab_size(True), end_id + 1) <= 65536 else "<u4"
+    width = "<u2" if max(encoder.tokenizer.get_vocab_size(True), end_id + 1) <= 65536 else "<u4"
     seen = Observation()  # the bytes of all texts, summed by the pass that takes the sample
     dictionary, size = b"", 0
     if not texts.isEmpty():
-        dictionary = train_dictionary(texts.observe(seen, F.sum(F.octet_length("text")).alias("bytes")), make_encoder, width)
+        dictionary = train_dictionary(texts.observe(seen, F.sum(F.octet_length("text")).alias("bytes")), encoder, width)
         size = seen.get["bytes"]
     digest = dict_hash(dictionary)
     spark.createDataFrame([(digest, dictionary, width)], "dict_hash string, dictionary binary, width string").coalesce(1).write.mode("overwrite").parquet(f"{path}/dictionary")
@@ -154,7 +158,7 @@ def write_packs(docs: DataFrame, path: str, tokenizer_json: str, end_id: int) ->
 
         schema = pa.schema([("shard", pa.int32()), ("pack", pa.int32()), ("dict_hash", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())),
                             ("offsets", pa.list_(pa.int64())), ("frames", pa.binary())])
-        for names, ids, counts in _encode(batches, make_encoder):
+        for names, ids, counts in _encode(batches, kept_encoder(shared.value, end_id)):
             ends = np.cumsum(counts)
             stored = ids.astype(width)
             for name, end, n in zip(names, ends.tolist(), counts.tolist()):

@@ -34,6 +34,27 @@ def test_word_by_word_is_the_librarys_encoding(tokenizer):
         assert counts.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
 
 
+def test_a_worker_encodes_a_word_once(tokenizer, monkeypatch):
+    """The next task of a worker has the same encoder, and words that are known already do not count as new ones."""
+    monkeypatch.setattr(token_files, "KEPT_WORDS", 100)
+    made, groups = [" ".join(f"{a}{b}" for a in "abcdefghij" for b in "klmnop")], []
+    encoder = token_files.kept_encoder(VOCABULARY, 1)
+    library = encoder.tokenizer
+
+    class Counted:
+        def encode_batch(self, texts, **more):
+            groups.append(texts)
+            return library.encode_batch(texts, **more)
+
+    monkeypatch.setattr(encoder, "tokenizer", Counted())
+    for _ in range(3):
+        assert token_files.kept_encoder(VOCABULARY, 1).encode(pa.array(made))[0].tolist() == ids_of(tokenizer, made)[0]
+    assert len(groups) == 1
+    other = [" ".join(f"{a}{b}" for a in "qrstuvwxyz" for b in "klmnop")]  # too many for both: the older ones are forgotten
+    for texts in (other, made, made + other):
+        assert encoder.encode(pa.array(texts))[0].tolist() == [i for e in ids_of(tokenizer, texts) for i in e]
+
+
 def test_index_from_the_files(documents, texts, tokenizer):
     rows, start = [], 0
     for (doc_id, _), ids in zip(texts, ids_of(tokenizer, [t for _, t in texts])):
