@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from indicatrix.llm.common import Scratch
+from indicatrix.llm.common import TEXT_ROWS, Scratch
 from indicatrix.llm.components import components
 from indicatrix.llm.packing import find_words, mix, text_bytes, word_hashes
 
@@ -268,7 +268,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
 
     All columns come back as they were, whatever their names. Empty texts are one class.
     """
-    scratch = Scratch(docs.sparkSession, "near-first")
+    scratch = Scratch(docs.sparkSession, "near-first", batch_rows=TEXT_ROWS)
     classes = scratch.keep(near_classes(docs, scratch).where("text_key is not null"), "rows")
     order = F.struct(F.coalesce("doc_id", F.lit(-(2**63))), "text_key")  # a null id is the smallest
     kept = classes.groupBy("class_key").agg(F.min_by(F.struct("doc_id", "text_key"), order).alias("k"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import chain
 
 import numpy as np
@@ -53,7 +53,7 @@ class Pieces:
             raise ValueError("a piece has a space behind another character")
         self.longest = max(map(len, self.scores))
         self.unknown = min(self.scores.values()) - 10
-        self.fits = lru_cache(1 << 20)(self._fits)
+        self.fits = lru_cache(1 << 20)(partial(_fits, self.scores))  # not a method: without a circle a task's pieces go when it ends
 
     def normal(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
@@ -71,16 +71,6 @@ class Pieces:
     def weight(self, piece: str) -> float:
         return 0.0 if self.merges else self.scores.get(piece, self.unknown)
 
-    def _fits(self, left: str, right: str) -> bool:
-        symbols = list(left + right)
-        while len(symbols) > 1:
-            merged = [(-self.scores[a + b], k) for k, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in self.scores]
-            if not merged:
-                break
-            k = min(merged)[1]
-            symbols[k:k + 2] = [symbols[k] + symbols[k + 1]]
-        return symbols == [left, right]
-
     def states(self, text: str, at: int, cut: bool) -> list[State]:
         """All pieces of the text that begin before a boundary and end at it or behind it."""
         if cut:
@@ -158,6 +148,18 @@ class Pieces:
         return [*(i for p in head for i in self.piece_ids(p)), *inner, *(i for p in tail for i in self.piece_ids(p))]
 
 
+def _fits(scores: dict[str, float], left: str, right: str) -> bool:
+    """Whether merging the characters of two pieces in a row ends in these two."""
+    symbols = list(left + right)
+    while len(symbols) > 1:
+        merged = [(-scores[a + b], k) for k, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in scores]
+        if not merged:
+            break
+        k = min(merged)[1]
+        symbols[k:k + 2] = [symbols[k] + symbols[k + 1]]
+    return symbols == [left, right]
+
+
 class Words:
     """Ids of whole texts and texts of ids, batch by batch: a word and the spaces before it are encoded once, as no piece crosses a cut, and gathered from then on."""
 

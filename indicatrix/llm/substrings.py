@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from indicatrix.llm.common import Scratch, shuffle_width
+from indicatrix.llm.common import TEXT_ROWS, Scratch, shuffle_width
 from indicatrix.llm.packing import find_words, mix, pack, pack_sorted, text_bytes, unpack, unpack_sorted, word_hashes
 from indicatrix.operators.ranking import number_large_groups
 
@@ -216,7 +216,7 @@ def find_repeats(docs: DataFrame, carried: list[str]) -> DataFrame:
     Null and empty texts have no words. Rows with one doc_id are documents of the same id: neither is smaller. A null id counts as smaller than all.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "substrings")
+    scratch = Scratch(spark, "substrings", batch_rows=TEXT_ROWS)
     rows, copies, size = _keyed(docs, carried)
     buckets = max(shuffle_width(spark), math.ceil(size / BUCKET_BYTES))
     edges = rows.select("key", "text").mapInArrow(_emit_edges(buckets, copies), "bucket int, edges binary, places binary")

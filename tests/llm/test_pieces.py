@@ -1,4 +1,6 @@
+import gc
 import random
+import weakref
 import zlib
 
 import pyarrow as pa
@@ -73,3 +75,16 @@ def test_round_trips_of_odd_rows(odd_docs, no_docs, model):
     rows = [(r["doc_id"] or 0, library.encode(r["text"] or "")) for r in odd_docs.select("doc_id", "text").collect()]
     assert got == sorted((d, len(ids), zlib.crc32(",".join(map(str, ids)).encode()), True) for d, ids in rows)
     assert pieces.round_trips(no_docs, model).count() == 0
+
+
+def test_pieces_go_when_a_task_ends(model):
+    """A worker lives on after its task; what the task knew must not wait in it for the collector."""
+    words = pieces.Words(pieces.Pieces(model))
+    words.encode(["some words", "w" * 50])
+    gone = weakref.ref(words.pieces)
+    gc.disable()
+    try:
+        del words
+        assert gone() is None
+    finally:
+        gc.enable()

@@ -82,3 +82,23 @@ def test_ids_at_both_ends_of_64_bits(spark, ids):
     below = -(2**63) - 1
     got = sorted((below if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.repeated_words(docs).collect())
     assert got == brute([(below if d is None else d, t) for d, t in rows])
+
+
+def test_few_texts_at_a_time(spark, monkeypatch):
+    """Whole texts are long rows: a worker gets some of them at a time, however many its task has."""
+    monkeypatch.setattr(substrings, "TEXT_ROWS", 7)
+    emit, apply = substrings._emit_edges, substrings._apply
+
+    def looked_at(batches):
+        for batch in batches:
+            if batch.num_rows > 7:
+                raise ValueError(f"{batch.num_rows} rows at a time")
+            yield batch
+
+    monkeypatch.setattr(substrings, "_emit_edges", lambda *sizes: lambda batches: emit(*sizes)(looked_at(batches)))
+    monkeypatch.setattr(substrings, "_apply", lambda batches: apply(looked_at(batches)))
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(k, f"{passage} own{k}" if k % 3 else f"one{k} two") for k in range(100)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)) == brute(rows)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
