@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from indicatrix.llm import dart_minhash, decontamination, pieces, quality, substrings
-from indicatrix.llm.common import Scratch
+from indicatrix.llm.common import TEXT_ROWS, Scratch
 from indicatrix.llm.queries import GOOD, piece_model, quality_model
 
 
 def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.accepted(docs, quality_model(spark, docs, sf_dir), GOOD)
+    """Written here, so that whole texts go to Python TEXT_ROWS at a time."""
+    return Scratch(spark, "good", batch_rows=TEXT_ROWS).keep(quality.accepted(docs, quality_model(spark, docs, sf_dir), GOOD), "rows")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +40,14 @@ def free_name(name: str, taken: list[str]) -> str:
 
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All columns, text as decoded, and n_pieces and piece_ids; where docs has columns of these names they stay, and the new ones get an underscore."""
+    """All columns, text as decoded, and n_pieces and piece_ids; where docs has columns of these names they stay, and the new ones get an underscore.
+
+    Ids and decoded texts are written one after the other: a task has one Python worker at a time, which gets TEXT_ROWS rows at a time.
+    """
     names = [c for c in docs.columns if c != "text"]
-    model = piece_model()
-    coded = pieces.decode(pieces.encode(docs, model, names), model)
+    model, scratch = piece_model(), Scratch(spark, "pieces-back", batch_rows=TEXT_ROWS)
+    coded = scratch.keep(pieces.decode(scratch.keep(pieces.encode(docs, model, names), "ids"), model), "rows")
+    scratch.drop("ids")
     return coded.select(*[F.col("decoded").alias("text") if c == "text" else F.col("carried")[c].alias(c) for c in docs.columns],
                         F.size("ids").alias(free_name("n_pieces", docs.columns)), F.col("ids").alias(free_name("piece_ids", docs.columns)))
 

@@ -141,7 +141,7 @@ def merged_labels(texts: list[str], labels: list) -> list[tuple]:
     """Labels of members that links at or above the threshold connect: (label, smallest label of its class), where they differ.
 
     Pairs are tried from the most to the least agreeing signatures and compared exactly only while they are not connected, so every link that is left out joins
-    members that are connected anyway.
+    members that are connected anyway. A pair takes ten bytes, and as many again while they are put in order.
     """
     flat, bounds = elements(pa.array(texts, pa.large_string()))
     signature = signatures(flat, bounds)
@@ -158,14 +158,15 @@ def merged_labels(texts: list[str], labels: list) -> list[tuple]:
 
     tried: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i in range(len(texts) - 1):
-        agree = (signature[i + 1:] == signature[i]).sum(axis=1)
+        agree = (signature[i + 1:] == signature[i]).sum(axis=1).astype(np.int16)
         fits = (agree >= LEAST_AGREEMENT * COORDINATES) & (np.minimum(size[i + 1:], size[i]) >= THRESHOLD * np.maximum(size[i + 1:], size[i]))
         j = np.flatnonzero(fits)
-        tried.append((agree[j], np.full(len(j), i), j + i + 1))
+        tried.append((agree[j], np.full(len(j), i, np.int32), (j + i + 1).astype(np.int32)))
     if not tried:
         return []
     agree, a, b = (np.concatenate(x) for x in zip(*tried))
-    for p in np.argsort(-agree, kind="stable").tolist():
+    tried.clear()
+    for p in np.argsort(-agree, kind="stable"):
         i, j = int(a[p]), int(b[p])
         x, y = find(i), find(j)
         if x != y and similarity(own[i], own[j]) >= THRESHOLD:

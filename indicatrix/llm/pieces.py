@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from indicatrix.llm.common import Scratch
+from indicatrix.llm.common import TEXT_ROWS, Scratch
 
 #: Longer texts are split into chunks of about so many characters.
 CHUNK_CHARS = 16_384
@@ -274,7 +274,7 @@ def encode(docs: DataFrame, model: bytes, carried: list[str], chunk_chars: int =
     again between the two states chosen for it. Null texts are empty and have no ids. Rows stay as they are, repeated ones too.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "pieces")
+    scratch = Scratch(spark, "pieces", batch_rows=TEXT_ROWS)
     shared = spark.sparkContext.broadcast(model)  # one file of a vocabulary, whatever the documents
     rows = docs.select(F.struct(*[docs[c] for c in carried]).alias("carried"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["carried"]

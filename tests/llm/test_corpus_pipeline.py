@@ -63,3 +63,26 @@ def test_columns_named_like_the_new_ones_stay(spark, tmp_path):
     after.write.parquet(f"{tmp_path}/out")
     kept = {r["doc_id"]: (r["N_Pieces"], r["piece_ids"], r["n_pieces_"] == len(r["piece_ids_"] or [])) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert kept == {1: (7, "x", True), 2: (None, None, True), 3: (8, "y", True)}
+
+
+def test_few_texts_at_a_time(spark, monkeypatch, tmp_path):
+    """Whole texts are long rows: in every stage with texts a worker gets some of them at a time, however many its task has, whoever writes the stage's rows."""
+    def looked_at(batches):
+        for batch in batches:
+            if batch.num_rows > 7:
+                raise ValueError(f"{batch.num_rows} rows at a time")
+            yield batch
+
+    quality, pieces = corpus_pipeline.quality, corpus_pipeline.pieces
+    monkeypatch.setattr(corpus_pipeline, "TEXT_ROWS", 7)
+    monkeypatch.setattr(pieces, "TEXT_ROWS", 7)
+    monkeypatch.setattr(corpus_pipeline, "quality_model", lambda *_: quality.Classifier(b"", b"", None, 0.5))
+    for module, name in ((quality, "accepted"), (pieces, "encode"), (pieces, "decode")):
+        monkeypatch.setattr(module, name, lambda df, *rest, whole=getattr(module, name): whole(df.mapInArrow(looked_at, df.schema), *rest))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    texts = {k: f"text {k} " * (3 if k % 10 else 4000) for k in range(100)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    for stage in (corpus_pipeline.good_texts, corpus_pipeline.as_pieces):
+        stage(spark, docs, "").write.parquet(f"{tmp_path}/{stage.__name__}")
+        assert rows(spark.read.parquet(f"{tmp_path}/{stage.__name__}")) == texts
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -96,3 +97,18 @@ def test_columns_named_like_the_keys_come_back_unchanged(spark):
     kept = dart_minhash.first_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(map(str, kept.collect())) == sorted(map(str, docs.where("doc_id is null or doc_id != 2").distinct().collect()))
+
+
+def test_pairs_of_a_block_are_small(monkeypatch):
+    """Near copies agree in all pairs of a block: a pair takes few bytes, not a row of long numbers and Python objects."""
+    n = 800
+    texts = [" ".join(f"w{i}" for i in range(60)) + f" own{k}" for k in range(n)]
+    monkeypatch.setattr(dart_minhash, "signatures", lambda items, bounds: np.zeros((len(bounds) - 1, dart_minhash.COORDINATES), np.uint64))
+    tracemalloc.start()
+    try:
+        found = dart_minhash.merged_labels(texts, list(range(n)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(found) == [(k, 0) for k in range(1, n)]
+    assert peak < 64 * n * (n - 1) / 2
