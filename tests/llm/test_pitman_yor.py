@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -69,6 +70,89 @@ def test_words_before_are_contexts_of_their_own(spark, monkeypatch):
     assert abs(p["sewing home"] - p["sewing grass"]) < 0.3
 
 
+class Restaurant:
+    """A Pitman-Yor restaurant, customer by customer: tables of each dish by their sizes. Without one above, dishes are drawn from so many words and one unknown."""
+
+    def __init__(self, above, discount, words, rng):
+        self.above, self.discount, self.words, self.rng = above, discount, words, rng
+        self.tables: dict = {}
+        self.seated = 0
+
+    def chance(self, dish):
+        sizes = self.tables.get(dish, [])
+        new = (1 + self.discount * sum(map(len, self.tables.values()))) * (self.above.chance(dish) if self.above else 1 / (self.words + 1))
+        return (sum(sizes) - self.discount * len(sizes) + new) / (1 + self.seated)
+
+    def enter(self, dish):
+        sizes = self.tables.setdefault(dish, [])
+        old = [n - self.discount for n in sizes]
+        place = self.rng.choices(range(len(sizes) + 1), [*old, self.chance(dish) * (1 + self.seated) - sum(old)])[0]
+        self.seated += 1
+        if place < len(sizes):
+            sizes[place] += 1
+        else:
+            sizes.append(1)
+            if self.above:
+                self.above.enter(dish)
+
+    def leave(self, dish):
+        sizes = self.tables[dish]
+        place = self.rng.choices(range(len(sizes)), sizes)[0]
+        sizes[place] -= 1
+        self.seated -= 1
+        if not sizes[place]:
+            del sizes[place]
+            if self.above:
+                self.above.leave(dish)
+
+
+def discount(counts):
+    one, two = counts.count(1), counts.count(2)
+    return min(0.95, max(0.05, one / max(1, one + 2 * two)))
+
+
+def gibbs(texts, asked, burn_in, sweeps):
+    """log10 probabilities of texts by a sampler that takes every customer out and seats it again, one by one, in restaurants of words, classes and the parent."""
+    rng = random.Random(4)
+    links = [(w, u) for t in texts for u, w in zip([None, *tokens(t)], tokens(t))]
+    words, of = len({w for w, _ in links}), lambda u: u and (u[-3:], min(len(u), 4))
+    parent = Restaurant(None, 0.5, words, rng)
+    classes = {of(u): Restaurant(parent, 0.5, words, rng) for _, u in links}
+    low = discount(list(Counter(links).values()))
+    leaves = {u: Restaurant(classes[of(u)], low, words, rng) for _, u in links}
+    for w, u in links:
+        leaves[u].enter(w)
+    chance = [0.0] * len(asked)
+    for turn in range(burn_in + sweeps):
+        for r, below in ((parent, classes.values()), *((k, [x for x in leaves.values() if x.above is k]) for k in classes.values())):
+            assert r.seated == sum(len(s) for x in below for s in x.tables.values())
+        for group in ([parent], classes.values()):
+            estimate = discount([sum(s) for r in group for s in r.tables.values() if s])
+            for r in group:
+                r.discount = estimate
+        for w, u in links:
+            leaves[u].leave(w)
+            leaves[u].enter(w)
+        if turn >= burn_in:
+            for k, (w, u) in enumerate(asked):
+                chance[k] += leaves.get(u, classes.get(of(u), parent)).chance(w) / sweeps
+    return [math.log10(x) for x in chance]
+
+
+def test_tables_of_every_restaurant_are_seated(spark):
+    """A word that follows "coming" sixty times has several tables there, so it is more likely behind "sewing", of the same class, than one that follows it once: as likely as a full sampler says."""
+    train = [*(f"coming w{k}" for k in range(8) for _ in range(60)), *(f"coming z{k}" for k in range(40)), *(f"p{k} r{k}" for k in range(15) for _ in range(2))]
+    asked = [*(f"sewing w{k}" for k in range(8)), *(f"sewing z{k}" for k in range(8))]
+    docs = spark.createDataFrame([*enumerate(train), *((1000 + k, t) for k, t in enumerate(asked))], "doc_id long, text string")
+    out = {r["doc_id"]: r["score"] for r in pitman_yor.score_documents(docs, F.col("doc_id") >= 1000).collect()}
+    pairs = [[(w, u) for u, w in zip([None, *tokens(t)], tokens(t))] for t in asked]
+    links = sorted({p for ps in pairs for p in ps}, key=str)
+    chance = dict(zip(links, gibbs(train, links, 10, 30)))
+    got, want = np.array([out[1000 + k] for k in range(16)]), np.array([sum(chance[p] for p in ps) for ps in pairs])
+    assert got.reshape(2, 8).mean(1) == pytest.approx(want.reshape(2, 8).mean(1), abs=0.25)
+    assert got[:8].mean() > got[8:].mean() + 0.6
+
+
 def test_seating():
     rng = np.random.default_rng(0)
     assert pitman_yor.seat(np.array([1, 1]), np.array([5.0, 0.1]), 0.5, rng).tolist() == [1, 1]
